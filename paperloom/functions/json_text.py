@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 from paperloom.functions.columns import python_float_text
 
@@ -65,7 +65,7 @@ def scalar_text(v: Column) -> Column:
     ).otherwise(F.try_variant_get(v, "$", "string"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def indented_json(text: pd.Series) -> pd.Series:
     """JSON text laid out with two blanks per level; text that is not JSON stays as it is."""
 
