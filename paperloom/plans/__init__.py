@@ -1,6 +1,6 @@
 """Registered queries. Importing the family modules fills the registry."""
 
 from paperloom.plans.registry import ORACLES, QUERIES
-from paperloom.plans import projections  # noqa: F401
+from paperloom.plans import aggregates, filters, ordering, projections  # noqa: F401
 
 __all__ = ["ORACLES", "QUERIES"]
