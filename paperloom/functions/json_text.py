@@ -10,17 +10,23 @@ from pyspark.sql import Column, functions as F, types as T
 from paperloom.functions.columns import python_float_text
 
 
+def bind(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strict_variant(text: Column) -> Column:
     """The text parsed as exactly one JSON value, else null.
 
-    Spark's parser accepts anything after a complete value. Wrapping the text as the only
-    element of a list and as the only field of an object leaves no room for trailing text:
-    what closes one of the two wrappers early breaks the other.
+    Spark's parser accepts anything after a complete value. Read as the only element of a
+    list, a text can end early only at a closing bracket of its own; texts that have one
+    must also parse as the only field of an object, which such a bracket would break.
     """
     as_list = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
     as_field = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    whole = ~F.contains(text, F.lit("]")) | as_field.isNotNull()
     items = F.try_variant_get(as_list, "$", "array<variant>")
-    return F.when(as_field.isNotNull() & (F.size(items) == 1), F.get(items, F.lit(0)))
+    return bind(items, lambda x: F.when((F.size(x) == 1) & whole, F.get(x, F.lit(0))))
 
 
 def is_strict_json(text: Column) -> Column:
@@ -39,15 +45,17 @@ def list_items(v: Column) -> Column:
 
 def kind_of(v: Column) -> Column:
     """object, list, string, number, boolean or null; SQL null where there is no value."""
-    t = F.schema_of_variant(v)
-    return (
-        F.when(t.startswith("OBJECT"), F.lit("object"))
-        .when(t.startswith("ARRAY"), F.lit("list"))
-        .when(t == "STRING", F.lit("string"))
-        .when(t == "BOOLEAN", F.lit("boolean"))
-        .when(t == "VOID", F.lit("null"))
-        .when(t.isNotNull(), F.lit("number"))
-    )
+    def decide(t):
+        return (
+            F.when(t.startswith("OBJECT"), F.lit("object"))
+            .when(t.startswith("ARRAY"), F.lit("list"))
+            .when(t == "STRING", F.lit("string"))
+            .when(t == "BOOLEAN", F.lit("boolean"))
+            .when(t == "VOID", F.lit("null"))
+            .when(t.isNotNull(), F.lit("number"))
+        )
+
+    return bind(F.schema_of_variant(v), decide)
 
 
 def is_integer(v: Column) -> Column:
@@ -59,10 +67,9 @@ def scalar_text(v: Column) -> Column:
 
     Whole numbers keep their spelling, all others are doubles (5.00 reads 5.0).
     """
-    t = F.schema_of_variant(v)
-    return F.when(
-        t.startswith("DECIMAL") | (t == "DOUBLE"), python_float_text(F.try_variant_get(v, "$", "double"))
-    ).otherwise(F.try_variant_get(v, "$", "string"))
+    return bind(F.schema_of_variant(v), lambda t: F.when(
+        t.startswith("DECIMAL") | (t == "DOUBLE"), bind(F.try_variant_get(v, "$", "double"), python_float_text)
+    ).otherwise(F.try_variant_get(v, "$", "string")))
 
 
 @F.pandas_udf(T.StringType())

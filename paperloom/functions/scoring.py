@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 
 import pandas as pd
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from paperloom.functions.json_text import kind_of, list_items, object_entries
+from paperloom.functions.json_text import bind, kind_of, list_items, object_entries
 
 # Option names of the exact scorer, in the order they apply, and the
 # characters each one removes. The dollar sign is removed at the start only.
@@ -25,22 +25,23 @@ Scorer = Callable[[Column, Column, Column], Column]
 
 def truthy(v: Column) -> Column:
     """Python truth of a VARIANT: the text "False" is on; '', 0, null and empty containers are off."""
-    kind = kind_of(v)
-    return F.coalesce(
-        F.when(kind == "string", F.try_variant_get(v, "$", "string") != "")
-        .when(kind == "boolean", F.try_variant_get(v, "$", "boolean"))
-        .when(kind == "number", F.try_variant_get(v, "$", "double") != 0)
-        .when(kind.isin("object", "list"), ~F.to_json(v).isin("{}", "[]")),
-        F.lit(False),
-    )
+    def decide(kind):
+        return (
+            F.when(kind == "string", F.try_variant_get(v, "$", "string") != "")
+            .when(kind == "boolean", F.try_variant_get(v, "$", "boolean"))
+            .when(kind == "number", F.try_variant_get(v, "$", "double") != 0)
+            .when(kind.isin("object", "list"), ~F.to_json(v).isin("{}", "[]"))
+        )
+
+    return F.coalesce(bind(kind_of(v), decide), F.lit(False))
 
 
 def options_of(config: Column, default: Mapping | None = None) -> Column:
     """Option map of a configuration VARIANT; an absent or empty one gives the default."""
-    given = object_entries(config)
     pairs = [x for name, value in (default or {}).items() for x in (F.lit(name), F.lit(value).cast("variant"))]
     fallback = F.create_map(*pairs) if pairs else F.lit(None)
-    return F.when(F.size(given) > 0, given).otherwise(fallback.cast("map<string,variant>"))
+    default_map = fallback.cast("map<string,variant>")
+    return bind(object_entries(config), lambda given: F.when(F.size(given) > 0, given).otherwise(default_map))
 
 
 def _is_on(options: Column, name: str) -> Column:
@@ -53,12 +54,11 @@ def match_score(gt: Column, actual: Column, options: Column) -> Column:
     A missing actual scores 0; a null ground truth reads "none". Accepted alternatives are
     compared as they are written.
     """
-    pair = [F.lower(F.coalesce(gt, F.lit("None"))), F.lower(actual)]
-    for name, chars in REMOVALS.items():
-        on = _is_on(options, name)
-        pair = [F.when(on, F.translate(c, chars, "")).otherwise(c) for c in pair]
-    dollar = _is_on(options, LEADING_DOLLAR)
-    truth, found = [F.when(dollar, F.ltrim(c, F.lit("$"))).otherwise(c) for c in pair]
+    removed = F.concat(*[F.when(_is_on(options, name), F.lit(chars)).otherwise(F.lit("")) for name, chars in REMOVALS.items()])
+    dollar = F.when(_is_on(options, LEADING_DOLLAR), F.lit("$")).otherwise(F.lit(""))
+    truth, found = [
+        F.ltrim(F.call_function("translate", F.lower(c), removed, F.lit("")), dollar) for c in (F.coalesce(gt, F.lit("None")), actual)
+    ]
     listed = F.transform(
         list_items(F.try_element_at(options, F.lit(ALSO_ACCEPTED))),
         lambda x: F.when(kind_of(x) == "string", F.try_variant_get(x, "$", "string")),
@@ -124,22 +124,38 @@ def _window_percent(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([score(p) for p in zip(a, b)], dtype="Int32")
 
 
+def _compared(gt: Column, actual: Column) -> Column:
+    """struct(score, a, b): the score where word sets decide, else the two texts to search."""
+
+    def decide(t):
+        a, b = t["a"], t["b"]
+        empty = (F.size(a) <= 0) | (F.size(b) <= 0)
+        score = F.when(gt.isNull() | actual.isNull() | empty, F.lit(0.0)).when(F.arrays_overlap(a, b), F.lit(1.0))
+        search = score.isNull()
+        return F.struct(
+            score.alias("score"),
+            F.when(search, F.array_join(a, " ")).alias("a"),
+            F.when(search, F.array_join(b, " ")).alias("b"),
+        )
+
+    return bind(F.struct(_tokens(gt).alias("a"), _tokens(actual).alias("b")), decide)
+
+
 def fuzzy_score(gt: Column, actual: Column, options: Column | None = None) -> Column:
     """Token-set partial ratio, 0 to 1.
 
     Words are compared as sets inside the JVM: a shared word scores 1, no words score 0.
     Only pairs of disjoint word sets go to Python for the window search.
     """
-    a, b = _tokens(gt), _tokens(actual)
-    empty = (F.size(a) <= 0) | (F.size(b) <= 0)
-    shared = F.size(F.array_intersect(a, b)) > 0
-    search = ~empty & ~shared
-    percent = _window_percent(F.when(search, F.array_join(a, " ")), F.when(search, F.array_join(b, " ")))
-    return (
-        F.when(gt.isNull() | actual.isNull() | empty, F.lit(0.0))
-        .when(shared, F.lit(1.0))
-        .otherwise(percent / F.lit(100.0))
-    )
+    c = _compared(gt, actual)
+    return F.coalesce(c["score"], _window_percent(c["a"], c["b"]) / F.lit(100.0))
+
+
+def with_fuzzy_score(df: DataFrame, out: str, gt: Column, actual: Column, options: Column | None = None) -> DataFrame:
+    """``fuzzy_score`` as a new column, the words of each pair being read once."""
+    c = F.col("__cmp")
+    score = F.coalesce(c["score"], _window_percent(c["a"], c["b"]) / F.lit(100.0))
+    return df.withColumn("__cmp", _compared(gt, actual)).withColumn(out, score).drop("__cmp")
 
 
 def cosine_score(a: Column, b: Column) -> Column:

@@ -200,10 +200,14 @@ def scatter_points(rows: DataFrame) -> DataFrame:
     """Point sets (id, series, x, y, pages): size and pages against seconds, and seconds over time."""
     t, pages = F.col("total_time_seconds"), F.col("num_pages")
     epoch = F.unix_timestamp(F.col("request_timestamp").cast("timestamp")).cast("double")
+
+    def point(series, x):
+        return F.struct(F.lit(series).alias("series"), x.cast("double").alias("x"))
+
     sets = F.array(
-        F.when(t.isNotNull(), F.struct(F.lit("size").alias("series"), F.col("blob_size").cast("double").alias("x"))),
-        F.when((pages != 0) & (t != 0), F.struct(F.lit("pages"), pages.cast("double"))),
-        F.when((pages > 0) & t.isNotNull(), F.struct(F.lit("time"), epoch)),
+        F.when(t.isNotNull(), point("size", F.col("blob_size"))),
+        F.when((pages != 0) & (t != 0), point("pages", pages)),
+        F.when((pages > 0) & t.isNotNull(), point("time", epoch)),
     )
     points = rows.select("id", F.explode(F.array_compact(sets)).alias("p"), t.alias("y"), pages.alias("pages"))
     return points.select("id", "p.series", "p.x", "y", "pages")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -17,16 +17,18 @@ class Evaluator:
     """A scorer under the name its configuration and results use.
 
     ``score`` builds a Column from (ground truth, actual, options): built-in functions, or a
-    ``pandas_udf`` of the user.
+    ``pandas_udf`` of the user. ``attach`` may add the score to a frame instead, where that
+    lets intermediate results be computed once.
     """
 
     name: str
     score: S.Scorer
     default_config: Mapping = field(default_factory=dict)
+    attach: Callable[..., DataFrame] | None = None
 
 
 EXACT = Evaluator("CustomStringEvaluator", S.match_score)
-FUZZY = Evaluator("FuzzStringEvaluator", S.fuzzy_score)
+FUZZY = Evaluator("FuzzStringEvaluator", S.fuzzy_score, attach=S.with_fuzzy_score)
 DEFAULT_EVALUATORS = (EXACT, FUZZY)
 
 _REGISTRY: dict[str, Evaluator] = {e.name: e for e in DEFAULT_EVALUATORS}
@@ -121,8 +123,12 @@ def apply_evaluators(
     scored = leaves
     for i, e in enumerate(chosen):
         own = F.try_element_at(object_entries(F.col("config")), F.lit(e.name)) if has_config else F.lit(None).cast("variant")
-        options = S.options_of(own, e.default_config)
-        scored = scored.withColumn(f"__s{i}", e.score(F.col("gt"), F.col("actual"), options).cast("double"))
+        scored = scored.withColumn("__o", S.options_of(own, e.default_config))
+        sides = F.col("gt"), F.col("actual"), F.col("__o")
+        if e.attach:
+            scored = e.attach(scored, f"__s{i}", *sides)
+        else:
+            scored = scored.withColumn(f"__s{i}", e.score(*sides).cast("double"))
     rows = F.array(*[
         F.struct(F.lit(e.name).alias("evaluator"), F.col(f"__s{i}").alias("score")) for i, e in enumerate(chosen)
     ])

@@ -159,7 +159,7 @@ SELECT id, CAST(sum(i) AS DOUBLE) AS n,
   CASE WHEN max(last) = 0 THEN NULL WHEN (max(last) % 3) = 1 THEN '"text"' ELSE '7' END AS mix
 FROM c GROUP BY id""")
 def merge_chunks(spark, sf):
-    merged = CH.merge_chunks(data_chunks(spark, sf)).select("id", F.parse_json("json").alias("v"))
+    merged = CH.merge_chunks(data_chunks(spark, sf), max_depth=2).select("id", F.parse_json("json").alias("v"))
 
     def number(path):
         as_bool = F.try_variant_get("v", path, "boolean").cast("double")
