@@ -204,7 +204,7 @@ def python_float_text(d: Column) -> Column:
     long_power = F.concat(F.when(exp < 0, F.lit("-")).otherwise(F.lit("+")), F.abs(exp).cast("string"))
     wide = F.concat(sign, mantissa, F.lit("e"), F.when(F.abs(exp) > 99, long_power).otherwise(power))
     return (
-        F.when(exp.isNull(), s)
+        F.when(~F.contains(s, F.lit("E")), s)
         .when((exp >= 7) & (exp < 16), large)
         .when((exp < 0) & (exp >= -4), small)
         .otherwise(wide)

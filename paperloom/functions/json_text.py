@@ -43,33 +43,36 @@ def list_items(v: Column) -> Column:
     return F.try_variant_get(v, "$", "array<variant>")
 
 
-def kind_of(v: Column) -> Column:
-    """object, list, string, number, boolean or null; SQL null where there is no value."""
-    def decide(t):
-        return (
-            F.when(t.startswith("OBJECT"), F.lit("object"))
-            .when(t.startswith("ARRAY"), F.lit("list"))
-            .when(t == "STRING", F.lit("string"))
-            .when(t == "BOOLEAN", F.lit("boolean"))
-            .when(t == "VOID", F.lit("null"))
-            .when(t.isNotNull(), F.lit("number"))
-        )
+def kind_of_type(t: Column) -> Column:
+    """object, list, string, number, boolean or null, from a VARIANT's type text."""
+    return (
+        F.when(t.startswith("OBJECT"), F.lit("object"))
+        .when(t.startswith("ARRAY"), F.lit("list"))
+        .when(t == "STRING", F.lit("string"))
+        .when(t == "BOOLEAN", F.lit("boolean"))
+        .when(t == "VOID", F.lit("null"))
+        .when(t.isNotNull(), F.lit("number"))
+    )
+
 
-    return bind(F.schema_of_variant(v), decide)
+def kind_of(v: Column) -> Column:
+    """The kind of a VARIANT; SQL null where there is no value."""
+    return bind(F.schema_of_variant(v), kind_of_type)
 
 
 def is_integer(v: Column) -> Column:
     return F.schema_of_variant(v) == "BIGINT"
 
 
-def scalar_text(v: Column) -> Column:
-    """A scalar spelled as Python's ``str`` would, but true/false in lower case; null stays null.
+def scalar_text(v: Column, t: Column) -> Column:
+    """A scalar of type text ``t`` spelled as Python's ``str`` would, but true/false in lower case.
 
-    Whole numbers keep their spelling, all others are doubles (5.00 reads 5.0).
+    Null stays null. Whole numbers keep their spelling, all others are doubles (5.00 reads 5.0).
     """
-    return bind(F.schema_of_variant(v), lambda t: F.when(
-        t.startswith("DECIMAL") | (t == "DOUBLE"), bind(F.try_variant_get(v, "$", "double"), python_float_text)
-    ).otherwise(F.try_variant_get(v, "$", "string")))
+    double = F.try_variant_get(v, "$", "double")
+    return F.when(t.startswith("DECIMAL") | (t == "DOUBLE"), python_float_text(double)).otherwise(
+        F.try_variant_get(v, "$", "string")
+    )
 
 
 @F.pandas_udf(T.StringType())

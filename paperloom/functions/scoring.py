@@ -124,13 +124,24 @@ def _window_percent(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([score(p) for p in zip(a, b)], dtype="Int32")
 
 
-def _compared(gt: Column, actual: Column) -> Column:
+# A word character that survives the dropping of Latin-1 letters.
+_WORD = r"(?U)[\w&&[^\x{80}-\x{ff}]]"
+
+
+def _plain_score(gt: Column, actual: Column) -> Column:
+    """The score where no words need to be read: a missing side, or equal texts."""
+    return F.when(gt.isNull() | actual.isNull(), F.lit(0.0)).when(
+        gt == actual, F.when(gt.rlike(_WORD), F.lit(1.0)).otherwise(F.lit(0.0))
+    )
+
+
+def _word_score(gt: Column, actual: Column) -> Column:
     """struct(score, a, b): the score where word sets decide, else the two texts to search."""
 
     def decide(t):
         a, b = t["a"], t["b"]
         empty = (F.size(a) <= 0) | (F.size(b) <= 0)
-        score = F.when(gt.isNull() | actual.isNull() | empty, F.lit(0.0)).when(F.arrays_overlap(a, b), F.lit(1.0))
+        score = F.when(empty, F.lit(0.0)).when(F.arrays_overlap(a, b), F.lit(1.0))
         search = score.isNull()
         return F.struct(
             score.alias("score"),
@@ -147,15 +158,19 @@ def fuzzy_score(gt: Column, actual: Column, options: Column | None = None) -> Co
     Words are compared as sets inside the JVM: a shared word scores 1, no words score 0.
     Only pairs of disjoint word sets go to Python for the window search.
     """
-    c = _compared(gt, actual)
-    return F.coalesce(c["score"], _window_percent(c["a"], c["b"]) / F.lit(100.0))
+    plain = _plain_score(gt, actual)
+    c = F.when(plain.isNull(), _word_score(gt, actual))
+    return F.coalesce(plain, c["score"], _window_percent(c["a"], c["b"]) / F.lit(100.0))
 
 
 def with_fuzzy_score(df: DataFrame, out: str, gt: Column, actual: Column, options: Column | None = None) -> DataFrame:
     """``fuzzy_score`` as a new column, the words of each pair being read once."""
-    c = F.col("__cmp")
-    score = F.coalesce(c["score"], _window_percent(c["a"], c["b"]) / F.lit(100.0))
-    return df.withColumn("__cmp", _compared(gt, actual)).withColumn(out, score).drop("__cmp")
+    plain, c = F.col("__plain"), F.col("__cmp")
+    staged = df.withColumn("__plain", _plain_score(gt, actual)).withColumn(
+        "__cmp", F.when(plain.isNull(), _word_score(gt, actual))
+    )
+    score = F.coalesce(plain, c["score"], _window_percent(c["a"], c["b"]) / F.lit(100.0))
+    return staged.withColumn(out, score).drop("__plain", "__cmp")
 
 
 def cosine_score(a: Column, b: Column) -> Column:

@@ -8,8 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, functions as F
 
 from paperloom.functions import scoring as S
-from paperloom.functions.json_text import kind_of, list_items, object_entries, scalar_text
-from paperloom.operators.jsontree import DEFAULT_DEPTH, child_path, item_path
+from paperloom.functions.json_text import list_items, object_entries, scalar_text
+from paperloom.operators.jsontree import DEFAULT_DEPTH, is_container, next_level, step_path
 
 
 @dataclass(frozen=True)
@@ -70,35 +70,32 @@ def aligned_leaves(items: DataFrame, keys: Sequence[str], max_depth: int = DEFAU
         _as_variant(items, "eval_schema").alias("s"),
     ).filter(F.col("g").isNotNull())
 
-    def row(path, g, a, s):
-        return F.struct(path.alias("path"), g.alias("g"), a.alias("a"), s.alias("s"))
-
-    path = F.col("path")
+    key, pos = F.col("key"), F.col("pos")
     for _ in range(max_depth):
+        # The other two trees are opened once per container, before the fields are spread.
         rows = rows.withColumns({
-            "gm": object_entries(F.col("g")), "gl": list_items(F.col("g")),
             "am": object_entries(F.col("a")), "al": list_items(F.col("a")),
             "sm": object_entries(F.col("s")), "sl": list_items(F.col("s")),
         })
-        by_key = F.transform(F.map_entries("gm"), lambda e: row(
-            child_path(path, e["key"]), e["value"],
-            F.try_element_at(F.col("am"), e["key"]), F.try_element_at(F.col("sm"), e["key"]),
-        ))
-        by_place = F.transform("gl", lambda g, i: row(
-            item_path(path, i), g, F.get("al", i), F.get("sl", i),
-        ))
-        kept = F.array(row(path, F.col("g"), F.col("a"), F.col("s")))
-        step = F.when(F.col("gm").isNotNull(), by_key).when(F.col("gl").isNotNull(), by_place).otherwise(kept)
-        rows = rows.select(*keys, F.explode(step).alias("n")).select(*keys, "n.*")
-    kind = kind_of(F.col("g"))
-    deep = F.concat(F.lit("ground truth deeper than max_depth at "), path)
-    fits = F.when(kind.isin("object", "list") & ~F.to_json("g").isin("{}", "[]"), F.raise_error(deep)).otherwise(kind)
-    found = F.when(~kind_of(F.col("a")).isin("object", "list"), scalar_text(F.col("a")))
+        rows = next_level(rows, "g", [*keys, "path", "a", "s", "am", "al", "sm", "sl"]).select(
+            *keys,
+            step_path(F.col("path")).alias("path"),
+            "g",
+            *[
+                F.when(key.isNotNull(), F.try_element_at(F.col(f"{x}m"), key))
+                .when(pos.isNotNull(), F.get(f"{x}l", pos)).otherwise(F.col(x)).alias(x)
+                for x in ("a", "s")
+            ],
+        )
+    deep = F.raise_error(F.concat(F.lit("ground truth deeper than max_depth at "), F.col("path"))).cast("boolean")
+    gt_type, found_type = F.col("__gt"), F.col("__at")
     return (
-        rows.withColumn("kind", fits).filter(~F.col("kind").isin("object", "list"))
+        rows.withColumns({"__gt": F.schema_of_variant("g"), "__at": F.schema_of_variant("a")})
+        .filter(F.when(is_container(gt_type), ~F.to_json("g").isin("{}", "[]") & deep).otherwise(F.lit(True)))
         .select(
-            *keys, F.coalesce("path", F.lit("")).alias("path"), scalar_text(F.col("g")).alias("gt"),
-            found.alias("actual"), F.col("s").alias("config"),
+            *keys, F.coalesce("path", F.lit("")).alias("path"), scalar_text(F.col("g"), gt_type).alias("gt"),
+            F.when(~is_container(found_type), scalar_text(F.col("a"), found_type)).alias("actual"),
+            F.col("s").alias("config"),
         )
     )
 

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from paperloom.functions.json_text import kind_of, list_items, object_entries, scalar_text
+from paperloom.functions.json_text import kind_of_type, list_items, object_entries, scalar_text
 
 DEFAULT_DEPTH = 8
 
@@ -30,25 +30,36 @@ def pointer_step(key: Column) -> Column:
     return F.concat(F.lit("/"), escaped)
 
 
-def _expand(path: Column, pointer: Column, ords: Column, node: Column, m: Column, a: Column) -> Column:
-    def row(p, q, o, v):
-        return F.struct(p.alias("path"), q.alias("pointer"), o.alias("ords"), v.alias("node"))
+def next_level(rows: DataFrame, node: str, others: Sequence[str]) -> DataFrame:
+    """One step down: a row per field or item of ``node``; scalars stay.
 
-    def place(i):
-        return F.concat(ords, F.array(i.cast("int")))
-
-    from_object = F.transform(
-        F.map_entries(m),
-        lambda e, i: row(child_path(path, e["key"]), F.concat(pointer, pointer_step(e["key"])), place(i), e["value"]),
-    )
-    from_list = F.transform(
-        a, lambda x, i: row(item_path(path, i), F.concat(pointer, F.lit("/#"), i), place(i), x)
-    )
-    return F.when(m.isNotNull(), from_object).when(a.isNotNull(), from_list).otherwise(
-        F.array(row(path, pointer, ords, node))
+    Adds ``pos`` and ``key``; ``key`` is null for list items, ``pos`` for scalars. Only the
+    entries are built inside the generator, so what a caller derives from them is compiled.
+    """
+    c = F.col(node)
+    rows = rows.withColumns({"__m": object_entries(c), "__a": list_items(c)})
+    no_key = F.lit(None).cast("string")
+    from_list = F.transform("__a", lambda x: F.struct(no_key.alias("key"), x.alias("value")))
+    itself = F.array(F.struct(no_key.alias("key"), c.alias("value")))
+    entries = F.when(F.col("__m").isNotNull(), F.map_entries("__m")).when(F.col("__a").isNotNull(), from_list).otherwise(itself)
+    scalar = F.col("__m").isNull() & F.col("__a").isNull()
+    return (
+        rows.select(*others, scalar.alias("__s"), F.posexplode(entries).alias("pos", "e"))
+        .select(*others, F.when(~F.col("__s"), F.col("pos")).alias("pos"), F.col("e.key").alias("key"), F.col("e.value").alias(node))
     )
 
 
+def step_path(path: Column) -> Column:
+    """The display path after ``next_level``."""
+    key, pos = F.col("key"), F.col("pos")
+    return F.when(key.isNotNull(), child_path(path, key)).when(pos.isNotNull(), item_path(path, pos)).otherwise(path)
+
+
+def is_container(t: Column) -> Column:
+    """Whether a type text is that of an object or a list."""
+    return t.startswith("OBJECT") | t.startswith("ARRAY")
+
+
 def json_leaves(df: DataFrame, column: str, keys: Sequence[str], max_depth: int = DEFAULT_DEPTH) -> DataFrame:
     """Leaf rows (keys, path, pointer, ords, type, value, json) of a VARIANT column.
 
@@ -64,23 +75,26 @@ def json_leaves(df: DataFrame, column: str, keys: Sequence[str], max_depth: int
         F.array().cast("array<int>").alias("ords"),
         F.col(column).alias("node"),
     )
+    key, pos = F.col("key"), F.col("pos")
     for _ in range(max_depth):
-        rows = (
-            rows.withColumns({"__m": object_entries(F.col("node")), "__a": list_items(F.col("node"))})
-            .select(*keys, F.explode(_expand(*[F.col(c) for c in ("path", "pointer", "ords", "node", "__m", "__a")])).alias("n"))
-            .select(*keys, "n.*")
+        rows = next_level(rows, "node", [*keys, "path", "pointer", "ords"]).select(
+            *keys,
+            step_path(F.col("path")).alias("path"),
+            F.when(key.isNotNull(), F.concat("pointer", pointer_step(key)))
+            .when(pos.isNotNull(), F.concat("pointer", F.lit("/#"), pos)).otherwise(F.col("pointer")).alias("pointer"),
+            F.when(pos.isNotNull(), F.concat("ords", F.array(pos))).otherwise(F.col("ords")).alias("ords"),
+            "node",
         )
-    kind = kind_of(F.col("node"))
-    deep = F.concat(F.lit("JSON deeper than max_depth at "), F.coalesce("pointer", F.lit("/")))
-    checked = F.when(
-        kind.isin("object", "list") & ~F.to_json("node").isin("{}", "[]"), F.raise_error(deep)
-    ).otherwise(kind)
+    t = F.col("__t")
+    deep = F.raise_error(F.concat(F.lit("JSON deeper than max_depth at "), F.col("pointer"))).cast("boolean")
+    text = F.to_json("node")
     return (
-        rows.select(
-            *keys, F.coalesce("path", F.lit("")).alias("path"), "pointer", "ords", checked.alias("type"),
-            scalar_text(F.col("node")).alias("value"), F.to_json("node").alias("json"),
+        rows.withColumn("__t", F.schema_of_variant("node"))
+        .filter(F.when(is_container(t), ~text.isin("{}", "[]") & deep).otherwise(F.lit(True)))
+        .select(
+            *keys, F.coalesce("path", F.lit("")).alias("path"), "pointer", "ords", kind_of_type(t).alias("type"),
+            scalar_text(F.col("node"), t).alias("value"), text.alias("json"),
         )
-        .filter(~F.col("type").isin("object", "list"))
     )
 
 
