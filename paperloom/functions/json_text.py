@@ -75,6 +75,12 @@ def scalar_text(v: Column, t: Column) -> Column:
     )
 
 
+def json_fragment(v: Column, t: Column) -> Column:
+    """JSON text of a VARIANT of type text ``t``; a number that is not whole by type keeps its point (5.0)."""
+    is_float = t.startswith("DECIMAL") | (t == "DOUBLE")
+    return F.when(is_float, scalar_text(v, t)).otherwise(F.to_json(v))
+
+
 @F.pandas_udf(T.StringType())
 def indented_json(text: pd.Series) -> pd.Series:
     """JSON text laid out with two blanks per level; text that is not JSON stays as it is."""

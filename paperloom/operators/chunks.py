@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from paperloom.functions.json_text import is_integer, kind_of, list_items, object_entries
+from paperloom.functions.json_text import json_fragment, kind_of_type, list_items, object_entries
 from paperloom.functions.columns import python_float_text
 from paperloom.functions.scoring import truthy
 from paperloom.operators.jsontree import assemble_json, pointer_step
@@ -156,19 +156,20 @@ def merge_chunks(chunks: DataFrame, keys: Sequence[str] = ("id",), max_depth: in
         data.alias("node"), F.lit(None).cast("string").alias("json"),
     ).filter(F.col("node").isNotNull())
     for depth in range(max_depth + 1):
-        node = F.col("node")
-        kind = kind_of(node)
+        node, kind = F.col("node"), F.col("__kind")
+        rows = rows.withColumn("__t", F.schema_of_variant("node")).withColumn("__kind", kind_of_type(F.col("__t")))
         part = F.struct(
             "chunk_idx", _merge_kind(kind).alias("kind"), truthy(node).alias("truthy"),
-            F.coalesce(F.col("json"), F.to_json(node)).alias("json"),
+            F.coalesce(F.col("json"), json_fragment(node, F.col("__t"))).alias("json"), object_entries(node).alias("fields"),
             F.coalesce(
                 F.try_variant_get(node, "$", "double"), F.try_variant_get(node, "$", "boolean").cast("double")
             ).alias("num"),
-            (is_integer(node) | (kind == "boolean")).alias("whole"),
+            F.col("__t").isin("BIGINT", "BOOLEAN").alias("whole"),
             F.when(kind == "string", F.try_variant_get(node, "$", "string")).alias("text"),
-            F.transform(list_items(node), lambda x: F.to_json(x)).alias("items"),
+            F.transform(list_items(node), lambda x: json_fragment(x, F.schema_of_variant(x))).alias("items"),
         )
-        grouped = rows.groupBy(*keys, "pointer", "done").agg(F.array_sort(F.collect_list(part)).alias("parts"))
+        in_order = F.array_sort(F.collect_list(part), lambda p, q: p["chunk_idx"] - q["chunk_idx"])
+        grouped = rows.groupBy(*keys, "pointer", "done").agg(in_order.alias("parts"))
         run = grouped.withColumn("run", _last_run(F.col("parts")))
         tail = F.slice(F.col("parts"), F.col("run.at") + 1, F.size("parts"))
         kept = F.when(F.col("done"), F.col("parts")).otherwise(F.filter(tail, lambda p: p["kind"] == F.col("run.kind")))
@@ -196,7 +197,7 @@ def merge_chunks(chunks: DataFrame, keys: Sequence[str] = ("id",), max_depth: in
             )
 
         fields = F.flatten(F.transform("parts", lambda p: F.transform(
-            F.map_entries(object_entries(F.try_parse_json(p["json"]))), lambda e: child(p, e)
+            F.map_entries(p["fields"]), lambda e: child(p, e)
         )))
         itself = F.array(F.struct(
             "pointer", F.lit(True).alias("done"), F.lit(0).alias("chunk_idx"),

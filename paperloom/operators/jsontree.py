@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from paperloom.functions.json_text import kind_of_type, list_items, object_entries, scalar_text
+from paperloom.functions.json_text import json_fragment, kind_of_type, list_items, object_entries, scalar_text
 
 DEFAULT_DEPTH = 8
 
@@ -93,7 +93,7 @@ def json_leaves(df: DataFrame, column: str, keys: Sequence[str], max_depth: int
         .filter(F.when(is_container(t), ~text.isin("{}", "[]") & deep).otherwise(F.lit(True)))
         .select(
             *keys, F.coalesce("path", F.lit("")).alias("path"), "pointer", "ords", kind_of_type(t).alias("type"),
-            scalar_text(F.col("node"), t).alias("value"), text.alias("json"),
+            scalar_text(F.col("node"), t).alias("value"), json_fragment(F.col("node"), t).alias("json"),
         )
     )
 

@@ -32,7 +32,7 @@ def json_leaves(spark, sf):
 
 @query("J-02_leaves_to_json", views=("chunk_view",), sql="""
 SELECT id, chunk_idx, concat('{"list":[', chunk_idx, ',"a"],"mix":', CASE chunk_idx % 3 WHEN 1 THEN '"text"' WHEN 2 THEN '7' ELSE 'null' END,
-  ',"n":', chunk_idx, ',"sub":{"k', chunk_idx % 2, '":true,"seconds":', regexp_replace(CAST(CAST(ocr_seconds AS DOUBLE) AS VARCHAR), '\\.0$', ''),
+  ',"n":', chunk_idx, ',"sub":{"k', chunk_idx % 2, '":true,"seconds":', CAST(CAST(ocr_seconds AS DOUBLE) AS VARCHAR),
   '},"tag":" t', chunk_idx, '  x"}') AS json FROM chunk_view""")
 def leaves_to_json(spark, sf):
     keys = ["id", "chunk_idx"]

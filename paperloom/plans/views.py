@@ -95,8 +95,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The table's file as a stream."""
+    schema = table(spark, sf_dir, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
 def doc_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    return doc_view_of(table(spark, sf_dir, "documents"))
+
+
+def doc_view_of(d: DataFrame) -> DataFrame:
     step = F.col("doc_id") % 12
     prefix = F.lit(ERROR_PREFIXES[-1])
     for i, text in enumerate(ERROR_PREFIXES[:-1]):
@@ -133,7 +142,10 @@ def doc_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The store's nested records, shaped from ``doc_view``."""
-    d = doc_view(spark, sf_dir)
+    return documents_of(doc_view(spark, sf_dir))
+
+
+def documents_of(d: DataFrame) -> DataFrame:
     total = F.col("total_time_seconds")
     # Shares of the total time by step; powers of two keep the doubles exact.
     shares = {
@@ -327,8 +339,12 @@ def turn_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def blob_event_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blob_event_view_of(table(spark, sf_dir, "pages"))
+
+
+def blob_event_view_of(pages: DataFrame) -> DataFrame:
     key = F.col("page_id")
-    return table(spark, sf_dir, "pages").select(
+    return pages.select(
         key.alias("event_id"),
         F.when(key % 9 == 0, F.lit("Microsoft.Storage.BlobDeleted"))
         .otherwise(F.lit("Microsoft.Storage.BlobCreated")).alias("event_type"),
