@@ -99,42 +99,57 @@ def repair_json(
     if mode not in ("fixed", "strict"):
         raise ValueError(f"unknown mode {mode!r}")
     keep_last_duplicate_key(df.sparkSession)
-    raw = F.col(column)
-    looked_at = raw if mode == "strict" else strip_fence(raw)
-    out = df.withColumn("__direct", strict_variant(raw)).withColumn(
-        "indicators", F.when(F.col("__direct").isNull(), truncation_signs(looked_at))
-    )
-    # One step per repair; a row is touched only while nothing before has worked.
-    missing = F.lit(None).cast("variant")
-    out = out.withColumns({"__data": missing, "__strategy": F.lit(None).cast("string")})
-    for name, fix in repairs:
-        open_ = F.col("__direct").isNull() & (F.size("indicators") == 0) & F.col("__data").isNull()
-        out = out.withColumn("__text", F.when(open_, fix(raw)))
-        usable = (F.col("__text") != raw) & (F.col("__text") != "")
-        out = out.withColumn("__parsed", F.when(usable, strict_variant(F.col("__text")))).withColumns({
-            "__strategy": F.when(F.col("__parsed").isNotNull(), F.lit(name)).otherwise(F.col("__strategy")),
-            "__data": F.coalesce("__data", "__parsed"),
-        })
-    status = (
-        F.when(F.col("__direct").isNotNull(), F.lit("ok"))
-        .when(F.size("indicators") > 0, F.lit("likely_truncation"))
-        .when(F.col("__data").isNotNull(), F.lit("repaired"))
-        .otherwise(F.lit("json_parse_error"))
-    )
-    out = out.withColumn("status", status)
-    failed = F.col("status").isin("likely_truncation", "json_parse_error")
+    out = df.withColumn("__r", _parse_or_repair(F.col(column), mode, list(repairs)))
+    status = F.col("__r.status")
+    failed = status.isin("likely_truncation", "json_parse_error")
     return out.select(
         *df.columns,
-        "status",
-        F.col("__strategy").alias("strategy"),
-        F.coalesce("__direct", "__data").alias("data"),
-        F.when(failed, F.col("status")).alias("error_type"),
-        F.when(F.col("status") == "likely_truncation", F.col("indicators")).alias("indicators"),
-        F.when(failed, preview(raw, RAW_PREVIEW)).alias("raw_content"),
+        status.alias("status"),
+        F.col("__r.strategy").alias("strategy"),
+        F.col("__r.data").alias("data"),
+        F.when(failed, status).alias("error_type"),
+        F.col("__r.indicators").alias("indicators"),
+        F.when(failed, preview(F.col(column), RAW_PREVIEW)).alias("raw_content"),
         failed.alias("extraction_failed"),
     )
 
 
+def _parse_or_repair(raw: Column, mode: str, repairs: list[tuple[str, Fix]]) -> Column:
+    """struct(status, strategy, data, indicators) as one expression.
+
+    Each intermediate text is bound once, so the expression grows linearly with the number
+    of repairs and stays small where the optimizer copies it, as into a pushed-down filter.
+    A repair is evaluated only when nothing before it worked.
+    """
+    no_text, no_data, no_signs = (F.lit(None).cast(t) for t in ("string", "variant", "array<string>"))
+
+    def result(status, strategy=no_text, data=no_data, signs=no_signs):
+        return F.struct(
+            F.lit(status).alias("status"), strategy.alias("strategy"), data.alias("data"), signs.alias("indicators")
+        )
+
+    def attempt(k: int) -> Column:
+        if k == len(repairs):
+            return result("json_parse_error")
+        name, fix = repairs[k]
+
+        def judged(text):
+            parsed = F.when((text != raw) & (text != ""), strict_variant(text))
+            return bind(parsed, lambda d: F.when(
+                d.isNotNull(), result("repaired", F.lit(name), d)
+            ).otherwise(attempt(k + 1)))
+
+        return bind(fix(raw), judged)
+
+    def broken():
+        looked_at = raw if mode == "strict" else strip_fence(raw)
+        return bind(truncation_signs(looked_at), lambda s: F.when(
+            F.size(s) > 0, result("likely_truncation", signs=s)
+        ).otherwise(attempt(0)))
+
+    return bind(strict_variant(raw), lambda d: F.when(d.isNotNull(), result("ok", data=d)).otherwise(broken()))
+
+
 def _cut_after_balance(c: Column, open_: str, close: str) -> Column:
     """Text up to where the bracket opened first is closed; unchanged if it never is."""
     pieces = F.regexp_extract_all(c, F.lit(rf"[\{open_}\{close}][^\{open_}\{close}]*"), F.lit(0))
