@@ -185,27 +185,34 @@ def truncate(c: Column, n: int) -> Column:
     return F.when(F.length(text) <= n, text).otherwise(F.concat(F.left(text, F.lit(n - 3)), F.lit("...")))
 
 
-def python_float_text(d: Column) -> Column:
-    """A double spelled as Python's ``str`` does.
+def python_float_sql(d: str) -> str:
+    """SQL text spelling a double as Python's ``str`` does.
 
-    Spark switches to E notation at 1e7 and below 1e-3; Python at 1e16 and below 1e-4.
+    Spark switches to E notation at 1e7 and below 1e-3; Python at 1e16 and below 1e-4. Only
+    numbers in E notation are taken apart: sign, digits and exponent, then put together again.
     """
-    s = d.cast("string")
-    sign = F.regexp_extract(s, "^(-?)", 1)
-    exp = F.regexp_extract(s, r"E(-?\d+)$", 1).try_cast("int")
-    frac = F.regexp_replace(F.regexp_extract(s, r"\.(\d+)E", 1), "^0$", "")
-    digits = F.concat(F.regexp_extract(s, r"^-?(\d)\.", 1), frac)
-    whole = F.rpad(F.substring(digits, F.lit(1), exp + 1), exp + 1, F.lit("0"))
-    tail = F.substring(digits, exp + 2, F.lit(400))
-    large = F.concat(sign, whole, F.lit("."), F.when(tail == "", F.lit("0")).otherwise(tail))
-    small = F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), -exp - 1), digits)
-    mantissa = F.concat(F.left(digits, F.lit(1)), F.when(frac == "", F.lit("")).otherwise(F.concat(F.lit("."), frac)))
-    power = F.concat(F.when(exp < 0, F.lit("-")).otherwise(F.lit("+")), F.lpad(F.abs(exp).cast("string"), 2, "0"))
-    long_power = F.concat(F.when(exp < 0, F.lit("-")).otherwise(F.lit("+")), F.abs(exp).cast("string"))
-    wide = F.concat(sign, mantissa, F.lit("e"), F.when(F.abs(exp) > 99, long_power).otherwise(power))
+    parts = (
+        "named_struct('sign', regexp_extract(s, r'^(-?)', 1), "
+        "'digits', concat(regexp_extract(s, r'^-?(\\d)\\.', 1), regexp_replace(regexp_extract(s, r'\\.(\\d+)E', 1), '^0$', '')), "
+        "'exp', CAST(regexp_extract(s, r'E(-?\\d+)$', 1) AS INT))"
+    )
+    large = (
+        "concat(p.sign, rpad(left(p.digits, p.exp + 1), p.exp + 1, '0'), '.', "
+        "coalesce(nullif(substr(p.digits, p.exp + 2), ''), '0'))"
+    )
+    small = "concat(p.sign, '0.', repeat('0', -p.exp - 1), p.digits)"
+    wide = (
+        "concat(p.sign, left(p.digits, 1), if(length(p.digits) > 1, concat('.', substr(p.digits, 2)), ''), 'e', "
+        "if(p.exp < 0, '-', '+'), if(abs(p.exp) < 10, '0', ''), abs(p.exp))"
+    )
+    spelled = f"CASE WHEN p.exp BETWEEN 7 AND 15 THEN {large} WHEN p.exp BETWEEN -4 AND -1 THEN {small} ELSE {wide} END"
+    text = f"CAST({d} AS STRING)"
     return (
-        F.when(~F.contains(s, F.lit("E")), s)
-        .when((exp >= 7) & (exp < 16), large)
-        .when((exp < 0) & (exp >= -4), small)
-        .otherwise(wide)
+        f"CASE WHEN contains({text}, 'E') THEN "
+        f"transform(transform(array({text}), s -> {parts}), p -> {spelled})[0] ELSE {text} END"
     )
+
+
+def python_float_text(name: str) -> Column:
+    """The named double column spelled as Python does."""
+    return F.expr(python_float_sql(f"`{name}`"))

@@ -7,7 +7,10 @@ import json
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
-from paperloom.functions.columns import python_float_text
+from paperloom.functions.columns import python_float_sql
+
+
+_JSON_ENDS = r'(?s)^\s*(\{\s*".*\}|\{\s*\}|\[.*\]|".*"|[tfn\d-][\w.+-]*)\s*$'
 
 
 def bind(value: Column, body) -> Column:
@@ -25,7 +28,8 @@ def strict_variant(text: Column) -> Column:
     as_list = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
     as_field = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
     whole = ~F.contains(text, F.lit("]")) | as_field.isNotNull()
-    items = F.try_variant_get(as_list, "$", "array<variant>")
+    # A failing parse is costly, so texts that cannot be JSON by their two ends skip it.
+    items = F.when(text.rlike(_JSON_ENDS), F.try_variant_get(as_list, "$", "array<variant>"))
     return bind(items, lambda x: F.when((F.size(x) == 1) & whole, F.get(x, F.lit(0))))
 
 
@@ -43,42 +47,41 @@ def list_items(v: Column) -> Column:
     return F.try_variant_get(v, "$", "array<variant>")
 
 
-def kind_of_type(t: Column) -> Column:
+# The same rules as SQL text on named columns, for long plans: one call builds each.
+def kind_sql(t: str) -> str:
     """object, list, string, number, boolean or null, from a VARIANT's type text."""
     return (
-        F.when(t.startswith("OBJECT"), F.lit("object"))
-        .when(t.startswith("ARRAY"), F.lit("list"))
-        .when(t == "STRING", F.lit("string"))
-        .when(t == "BOOLEAN", F.lit("boolean"))
-        .when(t == "VOID", F.lit("null"))
-        .when(t.isNotNull(), F.lit("number"))
+        f"CASE WHEN startswith({t}, 'OBJECT') THEN 'object' WHEN startswith({t}, 'ARRAY') THEN 'list' "
+        f"WHEN {t} = 'STRING' THEN 'string' WHEN {t} = 'BOOLEAN' THEN 'boolean' WHEN {t} = 'VOID' THEN 'null' "
+        f"WHEN {t} IS NOT NULL THEN 'number' END"
     )
 
 
-def kind_of(v: Column) -> Column:
-    """The kind of a VARIANT; SQL null where there is no value."""
-    return bind(F.schema_of_variant(v), kind_of_type)
-
-
-def is_integer(v: Column) -> Column:
-    return F.schema_of_variant(v) == "BIGINT"
-
-
-def scalar_text(v: Column, t: Column) -> Column:
+def scalar_sql(v: str, t: str) -> str:
     """A scalar of type text ``t`` spelled as Python's ``str`` would, but true/false in lower case.
 
     Null stays null. Whole numbers keep their spelling, all others are doubles (5.00 reads 5.0).
     """
-    double = F.try_variant_get(v, "$", "double")
-    return F.when(t.startswith("DECIMAL") | (t == "DOUBLE"), python_float_text(double)).otherwise(
-        F.try_variant_get(v, "$", "string")
-    )
+    double = python_float_sql(f"try_variant_get({v}, '$', 'double')")
+    return f"CASE WHEN startswith({t}, 'DECIMAL') OR {t} = 'DOUBLE' THEN {double} ELSE try_variant_get({v}, '$', 'string') END"
 
 
-def json_fragment(v: Column, t: Column) -> Column:
+def fragment_sql(v: str, t: str) -> str:
     """JSON text of a VARIANT of type text ``t``; a number that is not whole by type keeps its point (5.0)."""
-    is_float = t.startswith("DECIMAL") | (t == "DOUBLE")
-    return F.when(is_float, scalar_text(v, t)).otherwise(F.to_json(v))
+    double = python_float_sql(f"try_variant_get({v}, '$', 'double')")
+    return f"CASE WHEN startswith({t}, 'DECIMAL') OR {t} = 'DOUBLE' THEN {double} ELSE to_json({v}) END"
+
+
+def kind_of(v: Column) -> Column:
+    """The kind of a VARIANT; SQL null where there is no value."""
+    return bind(F.schema_of_variant(v), lambda t: (
+        F.when(t.startswith("OBJECT"), F.lit("object"))
+        .when(t.startswith("ARRAY"), F.lit("list"))
+        .when(t == "STRING", F.lit("string"))
+        .when(t == "BOOLEAN", F.lit("boolean"))
+        .when(t == "VOID", F.lit("null"))
+        .when(t.isNotNull(), F.lit("number"))
+    ))
 
 
 @F.pandas_udf(T.StringType())

@@ -6,10 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from paperloom.functions.json_text import json_fragment, kind_of_type, list_items, object_entries
-from paperloom.functions.columns import python_float_text
-from paperloom.functions.scoring import truthy
-from paperloom.operators.jsontree import assemble_json, pointer_step
+from paperloom.functions.columns import python_float_sql
+from paperloom.functions.json_text import fragment_sql, kind_sql
+from paperloom.operators.jsontree import LIST, OBJECT, assemble_json, is_container, opened_sql, pointer_key, quoted
 from paperloom.operators.predicates import chunk_size_guard
 
 MAX_IMAGES = 10
@@ -105,11 +104,6 @@ def page_range_map(chunks: DataFrame, chunk_size: Column | int = 10, single_key:
     return chunks.groupBy("id").agg(range_map(F.col("data"), range_key(chunk_size), single_key).alias("extraction"))
 
 
-def _merge_kind(kind: Column) -> Column:
-    """Booleans add up like numbers."""
-    return F.when(kind == "boolean", F.lit("number")).otherwise(kind)
-
-
 def _last_run(parts: Column) -> Column:
     """Where the fold over a field's occurrences last started afresh: struct(kind, at).
 
@@ -131,11 +125,25 @@ def _last_run(parts: Column) -> Column:
     return F.aggregate(parts, start, step)
 
 
-def _merged_number(parts: Column) -> Column:
-    whole = F.forall(parts, lambda p: p["whole"])
-    as_int = F.aggregate(parts, F.lit(0).cast("decimal(38,0)"), lambda s, p: (s + p["num"].cast("decimal(20,0)")).cast("decimal(38,0)"))
-    as_float = F.aggregate(parts, F.lit(0.0), lambda s, p: s + p["num"])
-    return F.when(whole, as_int.cast("string")).otherwise(python_float_text(as_float))
+# One occurrence of a field. Booleans count as numbers.
+_PART = f"""named_struct(
+  'chunk_idx', chunk_idx,
+  'kind', replace({kind_sql('__t')}, 'boolean', 'number'),
+  'truthy', coalesce(CASE
+    WHEN __t = 'STRING' THEN try_variant_get(node, '$', 'string') <> ''
+    WHEN __t = 'BOOLEAN' THEN try_variant_get(node, '$', 'boolean')
+    WHEN {is_container('__t')} THEN to_json(node) NOT IN ('{{}}', '[]')
+    ELSE try_variant_get(node, '$', 'double') <> 0 END, FALSE),
+  'json', coalesce(json, {fragment_sql('node', '__t')}),
+  'fields', {opened_sql('node', OBJECT)},
+  'num', coalesce(try_variant_get(node, '$', 'double'), CAST(try_variant_get(node, '$', 'boolean') AS DOUBLE)),
+  'whole', __t IN ('BIGINT', 'BOOLEAN'),
+  'text', CASE WHEN __t = 'STRING' THEN try_variant_get(node, '$', 'string') END,
+  'items', transform({opened_sql('node', LIST)}, x -> {fragment_sql('x', 'schema_of_variant(x)')}))"""
+
+_SUM = f"""CASE WHEN forall(parts, p -> p.whole)
+  THEN CAST(aggregate(parts, CAST(0 AS DECIMAL(38, 0)), (s, p) -> CAST(s + CAST(p.num AS DECIMAL(20, 0)) AS DECIMAL(38, 0))) AS STRING)
+  ELSE {python_float_sql('aggregate(parts, CAST(0 AS DOUBLE), (s, p) -> s + p.num)')} END"""
 
 
 def merge_chunks(chunks: DataFrame, keys: Sequence[str] = ("id",), max_depth: int = 6) -> DataFrame:
@@ -148,6 +156,7 @@ def merge_chunks(chunks: DataFrame, keys: Sequence[str] = ("id",), max_depth: in
     again.
     """
     keys = list(keys)
+    kept = quoted(keys)
     data = F.col("data")
     if dict(chunks.dtypes)["data"] != "variant":
         data = F.try_parse_json(data)
@@ -156,24 +165,14 @@ def merge_chunks(chunks: DataFrame, keys: Sequence[str] = ("id",), max_depth: in
         data.alias("node"), F.lit(None).cast("string").alias("json"),
     ).filter(F.col("node").isNotNull())
     for depth in range(max_depth + 1):
-        node, kind = F.col("node"), F.col("__kind")
-        rows = rows.withColumn("__t", F.schema_of_variant("node")).withColumn("__kind", kind_of_type(F.col("__t")))
-        part = F.struct(
-            "chunk_idx", _merge_kind(kind).alias("kind"), truthy(node).alias("truthy"),
-            F.coalesce(F.col("json"), json_fragment(node, F.col("__t"))).alias("json"), object_entries(node).alias("fields"),
-            F.coalesce(
-                F.try_variant_get(node, "$", "double"), F.try_variant_get(node, "$", "boolean").cast("double")
-            ).alias("num"),
-            F.col("__t").isin("BIGINT", "BOOLEAN").alias("whole"),
-            F.when(kind == "string", F.try_variant_get(node, "$", "string")).alias("text"),
-            F.transform(list_items(node), lambda x: json_fragment(x, F.schema_of_variant(x))).alias("items"),
-        )
+        rows = rows.selectExpr(*kept, "pointer", "done", "chunk_idx", "node", "json", "schema_of_variant(node) AS __t")
+        part = F.expr(_PART).alias("part")
         in_order = F.array_sort(F.collect_list(part), lambda p, q: p["chunk_idx"] - q["chunk_idx"])
         grouped = rows.groupBy(*keys, "pointer", "done").agg(in_order.alias("parts"))
         run = grouped.withColumn("run", _last_run(F.col("parts")))
         tail = F.slice(F.col("parts"), F.col("run.at") + 1, F.size("parts"))
-        kept = F.when(F.col("done"), F.col("parts")).otherwise(F.filter(tail, lambda p: p["kind"] == F.col("run.kind")))
-        run = run.select(*keys, "pointer", "done", kept.alias("parts"), F.col("run.kind").alias("kind"))
+        used = F.when(F.col("done"), F.col("parts")).otherwise(F.filter(tail, lambda p: p["kind"] == F.col("run.kind")))
+        run = run.select(*keys, "pointer", "done", used.alias("parts"), F.col("run.kind").alias("kind"))
         alone = F.col("done") | (F.size("parts") == 1) | (F.col("kind") == "null")
         blank = F.forall("parts", lambda p: p["json"] == "{}")
         joined = F.trim(F.regexp_replace(F.array_join(F.transform("parts", lambda p: p["text"]), " "), r"(?U)\s+", " "))
@@ -182,7 +181,7 @@ def merge_chunks(chunks: DataFrame, keys: Sequence[str] = ("id",), max_depth: in
             F.when(alone | ((F.col("kind") == "object") & blank), F.get("parts", F.lit(0))["json"])
             .when(F.col("kind") == "list", F.concat(F.lit("["), lists, F.lit("]")))
             .when(F.col("kind") == "string", F.to_json(joined.cast("variant")))
-            .when(F.col("kind") == "number", _merged_number(F.col("parts")))
+            .when(F.col("kind") == "number", F.expr(_SUM))
         )
         resolved = run.select(*keys, "pointer", "parts", value.alias("value"))
         if depth == max_depth:
@@ -192,7 +191,7 @@ def merge_chunks(chunks: DataFrame, keys: Sequence[str] = ("id",), max_depth: in
 
         def child(p, e):
             return F.struct(
-                F.concat("pointer", pointer_step(e["key"])).alias("pointer"), F.lit(False).alias("done"),
+                F.concat("pointer", F.lit("/"), pointer_key(e["key"])).alias("pointer"), F.lit(False).alias("done"),
                 p["chunk_idx"].alias("chunk_idx"), e["value"].alias("node"), F.lit(None).cast("string").alias("json"),
             )
 

@@ -8,8 +8,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, functions as F
 
 from paperloom.functions import scoring as S
-from paperloom.functions.json_text import list_items, object_entries, scalar_text
-from paperloom.operators.jsontree import DEFAULT_DEPTH, is_container, next_level, step_path
+from paperloom.functions.json_text import object_entries, scalar_sql
+from paperloom.operators.jsontree import (
+    DEFAULT_DEPTH, LIST, OBJECT, STEP_PATH, is_container, next_level, only_leaves, opened_sql, quoted,
+)
 
 
 @dataclass(frozen=True)
@@ -70,32 +72,22 @@ def aligned_leaves(items: DataFrame, keys: Sequence[str], max_depth: int = DEFAU
         _as_variant(items, "eval_schema").alias("s"),
     ).filter(F.col("g").isNotNull())
 
-    key, pos = F.col("key"), F.col("pos")
+    kept = quoted(keys)
+    opened = [f"{opened_sql(x, k)} AS {x}{n}" for x in "as" for n, k in (("m", OBJECT), ("l", LIST))]
+    beside = [
+        f"CASE WHEN key IS NOT NULL THEN try_element_at({x}m, key) WHEN pos IS NOT NULL THEN get({x}l, pos) ELSE {x} END AS {x}"
+        for x in "as"
+    ]
     for _ in range(max_depth):
         # The other two trees are opened once per container, before the fields are spread.
-        rows = rows.withColumns({
-            "am": object_entries(F.col("a")), "al": list_items(F.col("a")),
-            "sm": object_entries(F.col("s")), "sl": list_items(F.col("s")),
-        })
-        rows = next_level(rows, "g", [*keys, "path", "a", "s", "am", "al", "sm", "sl"]).select(
-            *keys,
-            step_path(F.col("path")).alias("path"),
-            "g",
-            *[
-                F.when(key.isNotNull(), F.try_element_at(F.col(f"{x}m"), key))
-                .when(pos.isNotNull(), F.get(f"{x}l", pos)).otherwise(F.col(x)).alias(x)
-                for x in ("a", "s")
-            ],
-        )
-    deep = F.raise_error(F.concat(F.lit("ground truth deeper than max_depth at "), F.col("path"))).cast("boolean")
-    gt_type, found_type = F.col("__gt"), F.col("__at")
+        rows = rows.selectExpr(*kept, "path", "g", "a", "s", *opened)
+        rows = next_level(rows, "g", [*keys, "path", "a", "s", "am", "al", "sm", "sl"]).selectExpr(*kept, STEP_PATH, "g", *beside)
     return (
-        rows.withColumns({"__gt": F.schema_of_variant("g"), "__at": F.schema_of_variant("a")})
-        .filter(F.when(is_container(gt_type), ~F.to_json("g").isin("{}", "[]") & deep).otherwise(F.lit(True)))
-        .select(
-            *keys, F.coalesce("path", F.lit("")).alias("path"), scalar_text(F.col("g"), gt_type).alias("gt"),
-            F.when(~is_container(found_type), scalar_text(F.col("a"), found_type)).alias("actual"),
-            F.col("s").alias("config"),
+        rows.selectExpr(*kept, "path", "g", "a", "s", "schema_of_variant(g) AS __gt", "schema_of_variant(a) AS __at")
+        .filter(only_leaves("g", "__gt", "path"))
+        .selectExpr(
+            *kept, "coalesce(path, '') AS path", f"{scalar_sql('g', '__gt')} AS gt",
+            f"CASE WHEN NOT {is_container('__at')} THEN {scalar_sql('a', '__at')} END AS actual", "s AS config",
         )
     )
 

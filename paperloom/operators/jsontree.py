@@ -10,24 +10,21 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from paperloom.functions.json_text import json_fragment, kind_of_type, list_items, object_entries, scalar_text
+from paperloom.functions.json_text import fragment_sql, kind_sql, object_entries, scalar_sql
 
 DEFAULT_DEPTH = 8
 
 
-def child_path(path: Column, key: Column) -> Column:
-    """``a`` then ``b`` is ``a.b``; the first step has no dot. Keys are not escaped."""
-    return F.when(path.isNull(), key).otherwise(F.concat(path, F.lit("."), key))
+OBJECT, LIST = "map<string,variant>", "array<variant>"
 
 
-def item_path(path: Column, i: Column) -> Column:
-    return F.concat(F.coalesce(path, F.lit("")), F.lit("["), i, F.lit("]"))
+def quoted(names: Sequence[str]) -> list[str]:
+    return [f"`{n}`" for n in names]
 
 
-def pointer_step(key: Column) -> Column:
-    """A key as one step of the unambiguous path: ``/`` starts a step, ``#`` a list position."""
-    escaped = F.replace(F.replace(F.replace(key, F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1")), F.lit("#"), F.lit("~2"))
-    return F.concat(F.lit("/"), escaped)
+def opened_sql(node: str, kind: str) -> str:
+    """SQL text of a node's fields or items; null when it is of another kind."""
+    return f"try_variant_get({node}, '$', '{kind}')"
 
 
 def next_level(rows: DataFrame, node: str, others: Sequence[str]) -> DataFrame:
@@ -36,28 +33,45 @@ def next_level(rows: DataFrame, node: str, others: Sequence[str]) -> DataFrame:
     Adds ``pos`` and ``key``; ``key`` is null for list items, ``pos`` for scalars. Only the
     entries are built inside the generator, so what a caller derives from them is compiled.
     """
-    c = F.col(node)
-    rows = rows.withColumns({"__m": object_entries(c), "__a": list_items(c)})
-    no_key = F.lit(None).cast("string")
-    from_list = F.transform("__a", lambda x: F.struct(no_key.alias("key"), x.alias("value")))
-    itself = F.array(F.struct(no_key.alias("key"), c.alias("value")))
-    entries = F.when(F.col("__m").isNotNull(), F.map_entries("__m")).when(F.col("__a").isNotNull(), from_list).otherwise(itself)
-    scalar = F.col("__m").isNull() & F.col("__a").isNull()
+    kept, no_key = quoted(others), "CAST(NULL AS STRING)"
+    entries = (
+        "CASE WHEN __m IS NOT NULL THEN map_entries(__m) "
+        f"WHEN __a IS NOT NULL THEN transform(__a, x -> named_struct('key', {no_key}, 'value', x)) "
+        f"ELSE array(named_struct('key', {no_key}, 'value', {node})) END"
+    )
     return (
-        rows.select(*others, scalar.alias("__s"), F.posexplode(entries).alias("pos", "e"))
-        .select(*others, F.when(~F.col("__s"), F.col("pos")).alias("pos"), F.col("e.key").alias("key"), F.col("e.value").alias(node))
+        rows.selectExpr(*kept, node, f"{opened_sql(node, OBJECT)} AS __m", f"{opened_sql(node, LIST)} AS __a")
+        .selectExpr(*kept, "__m IS NULL AND __a IS NULL AS __s", f"posexplode({entries}) AS (pos, e)")
+        .selectExpr(*kept, "CASE WHEN NOT __s THEN pos END AS pos", "e.key AS key", f"e.value AS {node}")
     )
 
 
-def step_path(path: Column) -> Column:
-    """The display path after ``next_level``."""
-    key, pos = F.col("key"), F.col("pos")
-    return F.when(key.isNotNull(), child_path(path, key)).when(pos.isNotNull(), item_path(path, pos)).otherwise(path)
+# The display path after ``next_level``: ``a`` then ``b`` is ``a.b``, a position is ``a[0]``.
+# Keys are not escaped.
+STEP_PATH = (
+    "CASE WHEN key IS NOT NULL THEN concat(coalesce(concat(path, '.'), ''), key) "
+    "WHEN pos IS NOT NULL THEN concat(coalesce(path, ''), '[', pos, ']') ELSE path END AS path"
+)
+
+# The unambiguous path: ``/`` starts a step, ``#`` a list position; both, and ``~``, are
+# written as codes inside keys.
+POINTER_STEP = "concat('/', replace(replace(replace({0}, '~', '~0'), '/', '~1'), '#', '~2'))"
+
+
+def pointer_key(key: Column) -> Column:
+    """A key as written in the unambiguous path."""
+    return F.replace(F.replace(F.replace(key, F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1")), F.lit("#"), F.lit("~2"))
+
 
+def is_container(t: str) -> str:
+    """SQL text: whether a type text is that of an object or a list."""
+    return f"(startswith({t}, 'OBJECT') OR startswith({t}, 'ARRAY'))"
 
-def is_container(t: Column) -> Column:
-    """Whether a type text is that of an object or a list."""
-    return t.startswith("OBJECT") | t.startswith("ARRAY")
+
+def only_leaves(node: str, t: str, where: str) -> str:
+    """SQL filter dropping empty containers and failing on any other one."""
+    deep = f"CAST(raise_error(concat('JSON deeper than max_depth at ', coalesce({where}, ''))) AS BOOLEAN)"
+    return f"CASE WHEN {is_container(t)} THEN to_json({node}) NOT IN ('{{}}', '[]') AND {deep} ELSE TRUE END"
 
 
 def json_leaves(df: DataFrame, column: str, keys: Sequence[str], max_depth: int = DEFAULT_DEPTH) -> DataFrame:
@@ -68,32 +82,23 @@ def json_leaves(df: DataFrame, column: str, keys: Sequence[str], max_depth: int
     as JSON text. Empty containers have no leaf. A tree deeper than ``max_depth`` fails the
     job rather than losing leaves.
     """
-    rows = df.filter(F.col(column).isNotNull()).select(
-        *keys,
-        F.lit(None).cast("string").alias("path"),
-        F.lit("").alias("pointer"),
-        F.array().cast("array<int>").alias("ords"),
-        F.col(column).alias("node"),
+    kept = quoted(keys)
+    rows = df.filter(F.col(column).isNotNull()).selectExpr(
+        *kept, "CAST(NULL AS STRING) AS path", "'' AS pointer", "CAST(array() AS ARRAY<INT>) AS ords", f"`{column}` AS node",
+    )
+    pointer = (
+        f"CASE WHEN key IS NOT NULL THEN concat(pointer, {POINTER_STEP.format('key')}) "
+        "WHEN pos IS NOT NULL THEN concat(pointer, '/#', pos) ELSE pointer END AS pointer"
     )
-    key, pos = F.col("key"), F.col("pos")
+    ords = "CASE WHEN pos IS NOT NULL THEN concat(ords, array(pos)) ELSE ords END AS ords"
     for _ in range(max_depth):
-        rows = next_level(rows, "node", [*keys, "path", "pointer", "ords"]).select(
-            *keys,
-            step_path(F.col("path")).alias("path"),
-            F.when(key.isNotNull(), F.concat("pointer", pointer_step(key)))
-            .when(pos.isNotNull(), F.concat("pointer", F.lit("/#"), pos)).otherwise(F.col("pointer")).alias("pointer"),
-            F.when(pos.isNotNull(), F.concat("ords", F.array(pos))).otherwise(F.col("ords")).alias("ords"),
-            "node",
-        )
-    t = F.col("__t")
-    deep = F.raise_error(F.concat(F.lit("JSON deeper than max_depth at "), F.col("pointer"))).cast("boolean")
-    text = F.to_json("node")
+        rows = next_level(rows, "node", [*keys, "path", "pointer", "ords"]).selectExpr(*kept, STEP_PATH, pointer, ords, "node")
     return (
-        rows.withColumn("__t", F.schema_of_variant("node"))
-        .filter(F.when(is_container(t), ~text.isin("{}", "[]") & deep).otherwise(F.lit(True)))
-        .select(
-            *keys, F.coalesce("path", F.lit("")).alias("path"), "pointer", "ords", kind_of_type(t).alias("type"),
-            scalar_text(F.col("node"), t).alias("value"), json_fragment(F.col("node"), t).alias("json"),
+        rows.selectExpr(*kept, "path", "pointer", "ords", "node", "schema_of_variant(node) AS __t")
+        .filter(only_leaves("node", "__t", "pointer"))
+        .selectExpr(
+            *kept, "coalesce(path, '') AS path", "pointer", "ords", f"{kind_sql('__t')} AS type",
+            f"{scalar_sql('node', '__t')} AS value", f"{fragment_sql('node', '__t')} AS json",
         )
     )
 
