@@ -87,7 +87,7 @@ def _common(a: str, b: str) -> int:
     return len(a) - row.bit_count()
 
 
-def best_window_percent(a: str, b: str) -> float:
+def bestwindow_percent(a: str, b: str) -> float:
     """Best similarity of the shorter text with any stretch of the longer one, 0 to 100.
 
     Stretches are all windows of the shorter length and all shorter prefixes and suffixes;
@@ -111,14 +111,14 @@ def best_window_percent(a: str, b: str) -> float:
 
 
 @F.pandas_udf(T.IntegerType())
-def _window_percent(a: pd.Series, b: pd.Series) -> pd.Series:
+def window_percent(a: pd.Series, b: pd.Series) -> pd.Series:
     seen: dict[tuple[str, str], int] = {}
 
     def score(pair):
         if pair[0] is None or pair[1] is None:
             return None
         if pair not in seen:
-            seen[pair] = round(best_window_percent(*pair))
+            seen[pair] = round(bestwindow_percent(*pair))
         return seen[pair]
 
     return pd.Series([score(p) for p in zip(a, b)], dtype="Int32")
@@ -160,7 +160,7 @@ def fuzzy_score(gt: Column, actual: Column, options: Column | None = None) -> Co
     """
     plain = _plain_score(gt, actual)
     c = F.when(plain.isNull(), _word_score(gt, actual))
-    return F.coalesce(plain, c["score"], _window_percent(c["a"], c["b"]) / F.lit(100.0))
+    return F.coalesce(plain, c["score"], window_percent(c["a"], c["b"]) / F.lit(100.0))
 
 
 def with_fuzzy_score(df: DataFrame, out: str, gt: Column, actual: Column, options: Column | None = None) -> DataFrame:
@@ -169,7 +169,7 @@ def with_fuzzy_score(df: DataFrame, out: str, gt: Column, actual: Column, option
     staged = df.withColumn("__plain", _plain_score(gt, actual)).withColumn(
         "__cmp", F.when(plain.isNull(), _word_score(gt, actual))
     )
-    score = F.coalesce(plain, c["score"], _window_percent(c["a"], c["b"]) / F.lit(100.0))
+    score = F.coalesce(plain, c["score"], window_percent(c["a"], c["b"]) / F.lit(100.0))
     return staged.withColumn(out, score).drop("__plain", "__cmp")
 
 

@@ -11,6 +11,7 @@ from paperloom.operators import repair as R
 from paperloom.plans import views as V
 from paperloom.plans.aggregates import data_chunks
 from paperloom.plans.registry import query
+from paperloom.session import spread
 
 NO_COMMAS = '{"IGNORE_COMMAS":true}'
 NO_DOLLAR = '{"IGNORE_DOLLAR_SIGN":"x","IGNORE_NUMBER_SIGN":true}'
@@ -26,7 +27,8 @@ UNION ALL SELECT id, i, 'sub.seconds', 'number', CAST(CAST(s AS DOUBLE) AS VARCH
 UNION ALL SELECT id, i, concat('sub.k', i % 2), 'boolean', 'true' FROM c
 UNION ALL SELECT id, i, 'mix', CASE i % 3 WHEN 1 THEN 'string' WHEN 2 THEN 'number' ELSE 'null' END, CASE i % 3 WHEN 1 THEN 'text' WHEN 2 THEN '7' END FROM c""")
 def json_leaves(spark, sf):
-    tree = data_chunks(spark, sf).select("id", "chunk_idx", F.try_parse_json("data").alias("v"))
+    texts = spread(data_chunks(spark, sf).select("id", "chunk_idx", "data"))
+    tree = texts.select("id", "chunk_idx", F.try_parse_json("data").alias("v"))
     return JT.json_leaves(tree, "v", ["id", "chunk_idx"]).select("id", "chunk_idx", "path", "type", "value")
 
 

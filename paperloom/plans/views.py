@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from paperloom.schemas import OPTION_FLAGS, SKIP_FLAGS
+from paperloom.session import spread
 
 ERROR_PREFIXES = [
     "OCR processing error",
@@ -212,7 +213,7 @@ def chunk_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gt_leaf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part")
+    p = spread(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_retailprice"))
     key, price = F.col("p_partkey"), F.col("p_retailprice").cast("string")
     described = (
         F.when(key % 5 == 0, F.lit(None))
@@ -237,7 +238,7 @@ def eval_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     The trees hold the same leaves as ``gt_leaf``; the price is a number in the ground
     truth and the schema tells the scorer to ignore commas in the description.
     """
-    p = table(spark, sf_dir, "part")
+    p = spread(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_retailprice"))
     key, price = F.col("p_partkey"), F.col("p_retailprice").cast("string")
     described = F.when(key % 5 == 1, F.replace("p_name", F.lit(" "), F.lit(", "))).otherwise(F.col("p_name"))
     shown = F.when(key % 3 == 0, F.concat(F.lit("$"), price)).otherwise(price)
@@ -268,7 +269,7 @@ def response_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(rest == 6, F.concat(F.lit("["), props, F.lit("]")))
         .otherwise(F.replace(props, F.lit(":"), F.lit("")))
     )
-    return table(spark, sf_dir, "events").select(
+    return spread(table(spark, sf_dir, "events").select("event_id", "event_type", "ts", "props")).select(
         F.col("event_id").alias("response_id"),
         F.col("event_type").alias("model"),
         "ts",

@@ -50,6 +50,16 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> Dat
     return F.broadcast(df) if estimated_bytes(df) <= limit else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on a scan of few splits, before work that is heavy per row.
+
+    A scan that already has a split per core, as any large table has, is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(cores) if splits < cores else df
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """Folder for stream checkpoints and written tables.
 
