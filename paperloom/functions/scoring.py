@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Mapping
 
 import pandas as pd
@@ -87,26 +88,40 @@ def _common(a: str, b: str) -> int:
     return len(a) - row.bit_count()
 
 
-def bestwindow_percent(a: str, b: str) -> float:
+def _stretches(a: str, b: str) -> list[tuple[float, tuple[int, int]]]:
+    """Stretches of ``b`` to compare with ``a``, each with a bound on its similarity, best first.
+
+    All windows of a's length and all shorter prefixes and suffixes. The bound counts the
+    letters both share, kept up while a window slides, so most stretches are never compared.
+    """
+    n, need, found = len(a), Counter(a), []
+    for text, back in ((b, False), (b[::-1][: n - 1], True)):
+        have, shared = Counter(), 0
+        for i, ch in enumerate(text, 1):
+            have[ch] += 1
+            shared += have[ch] <= need[ch]
+            if i > n:
+                gone = text[i - n - 1]
+                shared -= have[gone] <= need[gone]
+                have[gone] -= 1
+            lo = max(0, i - n)
+            piece = (len(b) - i, len(b)) if back else (lo, i)
+            found.append((2 * shared / (n + i - lo), piece))
+    return sorted(found, reverse=True)
+
+
+def best_window_percent(a: str, b: str) -> float:
     """Best similarity of the shorter text with any stretch of the longer one, 0 to 100.
 
-    Stretches are all windows of the shorter length and all shorter prefixes and suffixes;
-    the similarity of two texts is 2·common/(len+len).
+    The similarity of two texts is 2·common/(len+len); equal lengths are searched both ways.
     """
-    if len(a) > len(b):
-        a, b = b, a
-    n, extra = len(a), len(b) - len(a)
-    spans = [(i, i + n) for i in range(extra + 1)]
-    spans += [(0, k) for k in range(1, n)] + [(len(b) - k, len(b)) for k in range(1, n)]
-    letters = set(a)
+    a, b = sorted((a, b), key=len)
     best = 0.0
-    for lo, hi in spans:
-        possible = sum(ch in letters for ch in b[lo:hi])
-        if 2 * possible / (n + hi - lo) > best:
-            best = max(best, 2 * _common(a, b[lo:hi]) / (n + hi - lo))
-    if extra == 0 and best < 1:
-        spans = [(0, k) for k in range(1, n)] + [(n - k, n) for k in range(1, n)]
-        best = max([best, *(2 * _common(b, a[lo:hi]) / (n + hi - lo) for lo, hi in spans)])
+    for short, long in ((a, b), (b, a)) if len(a) == len(b) else ((a, b),):
+        for bound, (lo, hi) in _stretches(short, long):
+            if bound <= best:
+                break
+            best = max(best, 2 * _common(short, long[lo:hi]) / (len(short) + hi - lo))
     return 100 * best
 
 
@@ -118,7 +133,7 @@ def window_percent(a: pd.Series, b: pd.Series) -> pd.Series:
         if pair[0] is None or pair[1] is None:
             return None
         if pair not in seen:
-            seen[pair] = round(bestwindow_percent(*pair))
+            seen[pair] = round(best_window_percent(*pair))
         return seen[pair]
 
     return pd.Series([score(p) for p in zip(a, b)], dtype="Int32")

@@ -97,16 +97,19 @@ def value_counts(rows: DataFrame, column: str) -> DataFrame:
     return rows.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
 
 
-def exact_percentiles(rows: DataFrame, column: str, shares: Sequence[float], bucket_width: float = 1.0) -> DataFrame:
+def exact_percentiles(rows: DataFrame, column: str, shares: Sequence[float], buckets: int = 4096) -> DataFrame:
     """Exact interpolated percentiles as rows (share, value), without one task seeing all values.
 
-    Values are counted first, ranked through buckets of ``bucket_width``, and only the two
-    neighbours of each wanted rank are kept.
+    Values are counted first, ranked through equal ranges between the least and greatest
+    value, and only the two neighbours of each wanted rank are kept.
     """
     counts = rows.filter(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(
         F.count(F.lit(1)).alias("n")
     )
-    ranked = skew.running_sum(counts, [], ["v"], F.floor(F.col("v") / bucket_width), "upto", F.col("n"))
+    bounds = counts.agg(F.struct(F.min("v").alias("lo"), F.max("v").alias("hi")).alias("b")).scalar()
+    width = (bounds["hi"] - bounds["lo"]) / buckets
+    place = F.when(width > 0, F.floor((F.col("v") - bounds["lo"]) / width)).otherwise(F.lit(0))
+    ranked = skew.running_sum(counts, [], ["v"], place, "upto", F.col("n"))
     total = counts.agg(F.sum("n")).scalar()
     wanted = F.explode(F.array(*[F.lit(float(s)) for s in shares]))
     at = F.col("share") * (F.col("total") - 1)
@@ -135,7 +138,7 @@ def error_classes(rows: DataFrame) -> DataFrame:
     )
 
 
-def service_metrics(rows: DataFrame, since: Column, bucket_width: float = 1.0) -> DataFrame:
+def service_metrics(rows: DataFrame, since: Column) -> DataFrame:
     """Report rows (metric, value) on documents requested at or after ``since``."""
     recent = rows.filter(F.col("request_timestamp") >= since)
     n, done, failed = F.count(F.lit(1)), F.count_if(F.col("status") == "completed"), F.count_if(F.col("status") == "failed")
@@ -147,7 +150,7 @@ def service_metrics(rows: DataFrame, since: Column, bucket_width: float = 1.0) -
         F.round(F.avg("total_time_seconds"), 4).alias("avg_processing_time"),
     )
     long = summary.unpivot([], summary.columns, "metric", "value")
-    times = exact_percentiles(recent, "total_time_seconds", [0.5, 0.95, 0.99], bucket_width).select(
+    times = exact_percentiles(recent, "total_time_seconds", [0.5, 0.95, 0.99]).select(
         F.concat(F.lit("p"), F.round(F.col("share") * 100).cast("int"), F.lit("_processing_time")).alias("metric"),
         F.round("value", 4).alias("value"),
     )

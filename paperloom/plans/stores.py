@@ -31,7 +31,7 @@ SELECT concat('src=', dataset) AS folder, count(*) AS n, 'txt' AS extension FROM
 def read_blobs(spark, sf):
     root = shared_dir(spark, "blobs")
     texts = V.doc_view(spark, sf).select(F.col("dataset").alias("src"), F.concat(F.lit("b"), "doc_id").alias("value"))
-    texts.repartition("src").write.mode("overwrite").partitionBy("src").text(root)
+    texts.write.mode("overwrite").partitionBy("src").text(root)
     found = SD.read_blobs(spark, root).filter(F.col("extension") == "txt")
     lines = spark.read.text(root).select(F.concat(F.lit("src="), "src").alias("folder"), "value")
     per_folder = lines.groupBy("folder").agg(F.count("value").alias("n"))
@@ -102,7 +102,7 @@ def stream_blob_events(spark, sf):
 
 
 def pushed_events(spark, sf):
-    """Event pushes as JSON lists, one line each, with a handshake after every tenth event."""
+    """Event pushes as JSON lists of up to 64 events, with a handshake after every tenth event."""
     e = V.blob_event_view(spark, sf)
     event = F.concat(
         F.lit('{"id":"'), "event_id", F.lit('","eventType":"'), "event_type",
@@ -111,7 +111,7 @@ def pushed_events(spark, sf):
     )
     handshake = F.lit(',{"id":"h","eventType":"Microsoft.EventGrid.SubscriptionValidationEvent","data":{"validationCode":"x"}}')
     extra = F.when(F.col("event_id") % 10 == 0, handshake).otherwise(F.lit(""))
-    pushes = e.select((F.col("event_id") % 16).alias("push"), F.concat(event, extra).alias("v"))
+    pushes = e.select(F.floor(F.col("event_id") / 64).alias("push"), F.concat(event, extra).alias("v"))
     return pushes.groupBy("push").agg(F.concat(F.lit("["), F.array_join(F.collect_list("v"), ","), F.lit("]")).alias("value")).select("value").repartition(16)
 
 
