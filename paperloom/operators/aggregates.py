@@ -106,17 +106,16 @@ def exact_percentiles(rows: DataFrame, column: str, shares: Sequence[float], buc
     counts = rows.filter(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(
         F.count(F.lit(1)).alias("n")
     )
-    bounds = counts.agg(F.struct(F.min("v").alias("lo"), F.max("v").alias("hi")).alias("b")).scalar()
+    bounds = counts.agg(F.struct(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("n")).alias("b")).scalar()
     width = (bounds["hi"] - bounds["lo"]) / buckets
     place = F.when(width > 0, F.floor((F.col("v") - bounds["lo"]) / width)).otherwise(F.lit(0))
     ranked = skew.running_sum(counts, [], ["v"], place, "upto", F.col("n"))
-    total = counts.agg(F.sum("n")).scalar()
     wanted = F.explode(F.array(*[F.lit(float(s)) for s in shares]))
     at = F.col("share") * (F.col("total") - 1)
     lo, hi = F.floor(at), F.ceil(at)
     first, last = F.col("upto") - F.col("n"), F.col("upto") - 1
     near = (
-        ranked.withColumn("total", total).withColumn("share", wanted)
+        ranked.withColumn("total", bounds["n"]).withColumn("share", wanted)
         .filter(lo.between(first, last) | hi.between(first, last))
     )
     low = F.max(F.when(lo.between(first, last), F.col("v")))

@@ -83,11 +83,10 @@ def test_strict_json(spark):
     assert [got[i] for i in range(len(texts))] == [parses(t) for t in texts]
 
 
-GROUND = {
-    "k1": "value1", "k2": {"k1": "value2", "k2": {"k1": "value3"}, "k3": ["value4", "value5"],
-                           "k4": {"k1": [{"k1": "value6", "k2": "value7"}]}, "k5": "value8"},
-    "k3": "value9", "k4": "value10",
+INVOICE = {
+    "seller": "Northgate", "total": 12.5, "lines": [{"sku": "A-1", "qty": 2}, {"sku": "B-2", "qty": 1}], "paid": True,
 }
+READ = {"seller": "northgate", "total": "12.50", "lines": [{"sku": "A1", "qty": "2"}], "paid": "True", "page": 3}
 
 
 def ratios(spark, gt, actual, schema=None, chosen=E.DEFAULT_EVALUATORS):
@@ -98,39 +97,32 @@ def ratios(spark, gt, actual, schema=None, chosen=E.DEFAULT_EVALUATORS):
 
 
 def test_evaluation_without_schema(spark):
-    actual = {"k1": "wrong_value", "k2": {"k1": "value2", "k2": {"k1": "value,3"}, "k3": ["value4", "value5"],
-                                          "k4": {"k1": [{"k1": "value6", "k2": "value7"}]}}, "k4": "value10"}
-    ratio, _ = ratios(spark, GROUND, actual)
-    assert ratio["CustomStringEvaluator"] == pytest.approx(0.6)
-    assert ratio["FuzzStringEvaluator"] == pytest.approx(0.782)
+    ratio, by_path = ratios(spark, INVOICE, READ)
+    exact = {"seller": 1, "total": 0, "lines[0].sku": 0, "lines[0].qty": 1, "lines[1].sku": 0, "lines[1].qty": 0, "paid": 1}
+    fuzzy = {"seller": 1, "total": 1, "lines[0].sku": 0.67, "lines[0].qty": 1, "lines[1].sku": 0, "lines[1].qty": 0, "paid": 1}
+    assert by_path == {
+        **{("CustomStringEvaluator", k): v for k, v in exact.items()}, **{("FuzzStringEvaluator", k): v for k, v in fuzzy.items()}
+    }
+    assert ratio == {"CustomStringEvaluator": pytest.approx(3 / 7), "FuzzStringEvaluator": pytest.approx(4.67 / 7)}
 
 
 def test_evaluation_with_schema_and_with_defaults(spark):
-    actual = {"k1": "wrong_value", "k2": {"k1": "value.2", "k2": {"k1": "$value3"}, "k3": ["value4", "value,5"],
-                                          "k4": {"k1": [{"k1": "value,6", "k2": "value7"}]}}, "k4": "value10"}
-
-    def only(option):
-        return {"CustomStringEvaluator": {option: "True"}}
-
-    schema = {"k2": {"k1": only("IGNORE_DOTS"), "k2": {"k1": only("IGNORE_DOLLAR_SIGN")},
-                     "k4": {"k1": [{"k1": only("IGNORE_COMMAS"), "k2": {}}]}}}
-    ratio, _ = ratios(spark, GROUND, actual, schema)
-    assert ratio["CustomStringEvaluator"] == pytest.approx(0.6)
-    assert ratio["FuzzStringEvaluator"] == pytest.approx(0.764)
-    lenient = E.Evaluator("CustomStringEvaluator", E.EXACT.score, {"IGNORE_DOLLAR_SIGN": True, "IGNORE_DASHES": True, "IGNORE_DOTS": True})
-    ratio, _ = ratios(spark, GROUND, actual, None, [lenient])
-    assert ratio["CustomStringEvaluator"] == pytest.approx(0.5)
+    no_dashes = {"CustomStringEvaluator": {"IGNORE_DASHES": "True"}}
+    ratio, _ = ratios(spark, INVOICE, READ, {"seller": {}, "lines": [{"sku": no_dashes, "qty": {}}]})
+    assert ratio == {"CustomStringEvaluator": pytest.approx(4 / 7), "FuzzStringEvaluator": pytest.approx(4.67 / 7)}
+    lenient = E.Evaluator("CustomStringEvaluator", E.EXACT.score, {"IGNORE_DASHES": True})
+    assert ratios(spark, INVOICE, READ, None, [lenient])[0]["CustomStringEvaluator"] == pytest.approx(4 / 7)
+    # A field's own configuration replaces the default one.
+    own = {"lines": [{"sku": {"CustomStringEvaluator": {"IGNORE_DOTS": True}}}]}
+    assert ratios(spark, INVOICE, READ, own, [lenient])[0]["CustomStringEvaluator"] == pytest.approx(3 / 7)
 
 
 def test_lists_and_mismatches(spark):
-    ratio, by_path = ratios(spark, {"a": "v", "b": ["t1", "t2", "t3"]}, {"a": "v", "b": ["t1"]}, None, [E.EXACT])
-    assert ratio["CustomStringEvaluator"] == 0.5
-    assert [by_path["CustomStringEvaluator", p] for p in ("a", "b[0]", "b[1]", "b[2]")] == [1, 1, 0, 0]
-    rooted = [{"a": "v"}, {"b": ["1", "2", "3"]}, "z"]
-    ratio, by_path = ratios(spark, rooted, [{"a": "v"}, {"b": ["1", "wrong", "3"]}, "z"], None, [E.EXACT])
-    assert ratio["CustomStringEvaluator"] == pytest.approx(0.8)
-    assert by_path["CustomStringEvaluator", "[1].b[1]"] == 0 and by_path["CustomStringEvaluator", "[2]"] == 1
-    ratio, by_path = ratios(spark, rooted, {"a": "v", "b": ["1"]}, None, [E.EXACT])
+    rooted = [["p", "q"], {"pages": [4, 5, 6]}]
+    ratio, by_path = ratios(spark, rooted, [["p"], {"pages": [4, 7, 6, 8]}], None, [E.EXACT])
+    assert ratio["CustomStringEvaluator"] == pytest.approx(3 / 5)
+    assert {p: v for (_, p), v in by_path.items()} == {"[0][0]": 1, "[0][1]": 0, "[1].pages[0]": 1, "[1].pages[1]": 0, "[1].pages[2]": 1}
+    ratio, by_path = ratios(spark, rooted, {"pages": [4, 5, 6]}, None, [E.EXACT])
     assert ratio["CustomStringEvaluator"] == 0 and len(by_path) == 5
     ratio, _ = ratios(spark, {"a": None, "b": "x", "c": 5.0}, {"a": None, "b": {"y": 1}, "c": "5.00"}, None)
     assert ratio == {"CustomStringEvaluator": 0, "FuzzStringEvaluator": pytest.approx(1 / 3)}

@@ -10,26 +10,27 @@ from paperloom.functions import scoring as S
 
 EXACT_VECTORS = [
     # ground truth, actual, options, score
-    ("value", "value", {}, 1),
-    ("value", "not_value", {}, 0),
-    ("Value", "vALUE", {}, 1),
-    ("value", "va,lue", {"IGNORE_COMMAS": True}, 1),
-    ("value", "va,lue", {"IGNORE_COMMAS": False}, 0),
-    ("value", "va.lue", {"IGNORE_DOTS": True}, 1),
-    ("value", "va.lue", {"IGNORE_DOTS": False}, 0),
-    ("$10", "10", {"IGNORE_DOLLAR_SIGN": True}, 1),
-    ("$10", "10", {"IGNORE_DOLLAR_SIGN": False}, 0),
-    ("$$10", "10", {"IGNORE_DOLLAR_SIGN": True}, 1),
-    ("1$0", "10", {"IGNORE_DOLLAR_SIGN": True}, 0),
-    ("(256)3300488", "2563300488", {"IGNORE_PARENTHETHES": True}, 1),
-    ("(256)3300488", "2563300488", {"IGNORE_PARENTHETHES": False}, 0),
-    ("(256)330-0488", "(256)3300488", {"IGNORE_DASHES": True}, 1),
-    ("(256)3300-488", "(256)3300488", {"IGNORE_DASHES": False}, 0),
-    ("correct", "yes", {"ADDITIONAL_MATCHES": ["yes", "true"]}, 1),
-    ("correct", "false", {"ADDITIONAL_MATCHES": ["yes", "true"]}, 0),
-    ("correct", "correct", {"ADDITIONAL_MATCHES": ["yes"]}, 1),
-    ("correct", "YES", {"ADDITIONAL_MATCHES": ["yes"]}, 1),
-    ("correct", "yes", {"ADDITIONAL_MATCHES": ["YES"]}, 0),
+    ("net 30 days", "net 30 days", {}, 1),
+    ("net 30 days", "net 60 days", {}, 0),
+    ("Net 30 Days", "nET 30 dAYS", {}, 1),
+    ("1200", "1,200", {"IGNORE_COMMAS": True}, 1),
+    ("1200", "1,200", {"IGNORE_COMMAS": False}, 0),
+    ("No 7", "No. 7", {"IGNORE_DOTS": True}, 1),
+    ("No 7", "No. 7", {"IGNORE_DOTS": False}, 0),
+    ("$45", "45", {"IGNORE_DOLLAR_SIGN": True}, 1),
+    ("$45", "45", {"IGNORE_DOLLAR_SIGN": False}, 0),
+    ("$$45", "45", {"IGNORE_DOLLAR_SIGN": True}, 1),
+    ("4$5", "45", {"IGNORE_DOLLAR_SIGN": True}, 0),
+    ("(02) 11", "02 11", {"IGNORE_PARENTHETHES": True}, 1),
+    ("(02) 11", "02 11", {"IGNORE_PARENTHETHES": False}, 0),
+    ("A-17-b", "a17B", {"IGNORE_DASHES": True}, 1),
+    ("A-17-b", "a17B", {"IGNORE_DASHES": False}, 0),
+    ("(02)-1.1,0", "02110", {"IGNORE_DASHES": 1, "IGNORE_DOTS": 1, "IGNORE_COMMAS": 1, "IGNORE_PARENTHETHES": 1}, 1),
+    ("paid", "settled", {"ADDITIONAL_MATCHES": ["settled", "closed"]}, 1),
+    ("paid", "open", {"ADDITIONAL_MATCHES": ["settled", "closed"]}, 0),
+    ("paid", "paid", {"ADDITIONAL_MATCHES": ["settled"]}, 1),
+    ("paid", "SETTLED", {"ADDITIONAL_MATCHES": ["settled"]}, 1),
+    ("paid", "settled", {"ADDITIONAL_MATCHES": ["SETTLED"]}, 0),
     ("a.b", "ab", {"IGNORE_DOTS": "False"}, 1),
     ("#5", "5", {"IGNORE_NUMBER_SIGN": True}, 0),
     ("5.0", "5.00", {}, 0),
@@ -52,6 +53,7 @@ def test_empty_configuration_means_default(spark):
     assert [r.s for r in df.select(score.alias("s")).collect()] == [1, 1, 0]
 
 
+# The first three scores are stored results to match.
 FUZZY_VECTORS = [
     ("Happiest Valley Farms", "Henry Ross", 0.33),
     ("value1", "wrong_value", 0.91),
