@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from paperloom.llm import exact, mixing, quality
+from paperloom.llm import exact, mixing, quality, quotes, shards, warc
+from paperloom.llm.store import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -71,3 +72,44 @@ FROM d""",
 def op10(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return exact.exact_groups(docs, keep="max")
+
+
+@query("op2_sharding")
+def op2(spark, sf_dir):
+    names = [f"shard-{i:05d}" for i in range(256)]
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    return shards.place(docs, F.col("doc_id"), names).select("__row.doc_id", "slot", "shard")
+
+
+def quoting_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations as mail: every turn quotes the one before it, and below it, one level deeper, the one before that."""
+    turns = W.partitionBy("conv_id").orderBy("turn")
+    quoted = lambda k, mark: F.regexp_replace(F.lag("text", k).over(turns), "(?m)^", mark)
+    text = F.concat_ws("\n", quoted(1, "> "), quoted(2, "> > "), F.when(F.col("turn") > 0, ""), F.col("text"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", text.alias("text"))
+
+
+@query("op3_quotes")
+def op3(spark, sf_dir):
+    linked = quotes.link_quotes(quoting_messages(spark, sf_dir))
+    return linked.select("__row.conv_id", "__row.turn", "parent", "root", "depth", "position", "n_quotes", "n_linked",
+                         F.md5("reply").alias("reply_md5"))
+
+
+@query(
+    "op4_warc",
+    """
+WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+f AS (SELECT page_id, strlen(t) AS payload_bytes, sha1(t) AS h, min(page_id) OVER (PARTITION BY t) AS first FROM p)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
+       translate(to_base(('0x' || substr(h, 1, 10))::BIGINT, 32, 8) || to_base(('0x' || substr(h, 11, 10))::BIGINT, 32, 8)
+              || to_base(('0x' || substr(h, 21, 10))::BIGINT, 32, 8) || to_base(('0x' || substr(h, 31, 10))::BIGINT, 32, 8),
+                 '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM f""",
+)
+def op4(spark, sf_dir):
+    path = new_path(spark, "warc")
+    warc.write_warc(warc.page_records(table(spark, sf_dir, "pages").select("page_id", "url", "html")), path)
+    return warc.page_archive(spark, path)
