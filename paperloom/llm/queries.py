@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from paperloom.llm import exact, mixing, quality, quotes, shards, warc
+from paperloom.llm import exact, mixing, pieces, quality, quotes, shards, toxicity, warc
 from paperloom.llm.store import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,3 +113,15 @@ def op4(spark, sf_dir):
     path = new_path(spark, "warc")
     warc.write_warc(warc.page_records(table(spark, sf_dir, "pages").select("page_id", "url", "html")), path)
     return warc.page_archive(spark, path)
+
+
+@query("op6_toxicity")
+def op6(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.toxicity_scores(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+
+
+@query("op7_pieces")
+def op7(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.encode_texts(docs, carry=["doc_id"], ids=False)
