@@ -4,7 +4,7 @@
    log odds. They are dealt to lexicon voters by kind and hash; pattern voters look at shouting and at repeated hits.
 2. One pass over all texts gives each row its votes (a bit per voter) and its mined features; votes are counted by pattern.
 3. The label model is fitted on those counts. A latent class explains the votes; EM estimates the class
-   balance and each voter's rates under both classes. Voters that stay correlated given the class are joined to blocks with a rate for
+   balance and each voter's rates under both classes, with the class of labelled rows that may be learned from held fixed. Voters that stay correlated given the class are joined to blocks with a rate for
    each of their joint votes, and EM runs again, so that voters which repeat one another do not count twice.
 4. A logistic regression on the features learns the posteriors of a bounded sample; its linear form is the score.
 
@@ -133,10 +133,10 @@ class LabelModel:
     def _codes(self, patterns: np.ndarray) -> list[np.ndarray]:
         return [sum(((patterns >> v) & 1) << k for k, v in enumerate(block)) for block in self.blocks]
 
-    def _em(self, codes: list[np.ndarray], counts: np.ndarray, posterior: np.ndarray) -> np.ndarray:
+    def _em(self, codes: list[np.ndarray], counts: np.ndarray, known: np.ndarray, posterior: np.ndarray) -> np.ndarray:
         for _ in range(self.rounds):
-            soft = np.stack([counts * (1 - posterior), counts * posterior])
-            self.prior = float((soft[1].sum() + 1) / (counts.sum() + 2))
+            soft = np.stack([counts * (1 - posterior), counts * posterior]) + known
+            self.prior = float((soft[1].sum() + 1) / (soft.sum() + 2))
             self.rates = []
             for code, block in zip(codes, self.blocks):
                 got = np.stack([np.bincount(code, s, 1 << len(block)) for s in soft]) + 0.05
@@ -149,12 +149,13 @@ class LabelModel:
             np.log(rate[1][code]) - np.log(rate[0][code]) for rate, code in zip(self.rates, codes))
         return 1 / (1 + np.exp(-np.clip(log, -50, 50)))
 
-    def fit(self, patterns: np.ndarray, counts: np.ndarray) -> "LabelModel":
+    def fit(self, patterns: np.ndarray, counts: np.ndarray, known: np.ndarray) -> "LabelModel":
+        """``counts`` of rows without a class and ``known[class]`` counts of rows with one, per pattern of votes."""
         votes = np.stack([(patterns >> v) & 1 for v in range(self.voters)]).astype(float)
         start = np.clip(votes.mean(0) * 4, 0.02, 0.98)  # votes are toxic or absent: more of them, likelier
-        posterior = self._em(self._codes(patterns), counts, start)
+        posterior = self._em(self._codes(patterns), counts, known, start)
         self.accuracy = [(float(r[1][1]), float(r[0][1])) for r in self.rates]  # vote rates under toxic and under clean
-        for soft in (counts * posterior, counts * (1 - posterior)):
+        for soft in (counts * posterior + known[1], counts * (1 - posterior) + known[0]):
             n = max(soft.sum(), 1e-9)
             mean = votes @ soft / n
             cov = (votes * soft) @ votes.T / n - np.outer(mean, mean)
@@ -162,7 +163,7 @@ class LabelModel:
             corr = cov / np.outer(sd, sd)
             self.correlation = np.where(np.abs(corr) > np.abs(self.correlation), corr, self.correlation)
         self._join()
-        self._em(self._codes(patterns), counts, posterior)
+        self._em(self._codes(patterns), counts, known, posterior)
         return self
 
     def _join(self) -> None:
@@ -214,9 +215,17 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
         return docs.select(id_col, held_out(id_col).alias("held_out"), F.lit(share).alias("score"), F.lit(int(share >= 0.5)).alias("predicted"))
     votes = written(vote(docs, mined, id_col, text_col), "votes")
     learned = votes.where("NOT held_out")
-    counted = learned.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()  # at most 2^VOTERS rows
-    patterns, counts = np.array([r["votes"] for r in counted], np.int64), np.array([r["n"] for r in counted], float)
-    model = LabelModel().fit(patterns, counts)
+    classes = taught.groupBy(F.col(id_col).alias("id")).agg(F.max("toxic").alias("toxic"))
+    counted = (  # at most 2^VOTERS rows
+        learned.join(classes, "id", "left").groupBy("votes").agg(
+            *[F.sum(F.when(c, 1).otherwise(0)).alias(n) for n, c in
+              (("free", F.col("toxic").isNull()), ("clean", F.col("toxic") == 0), ("bad", F.col("toxic") > 0))]
+        ).collect()
+    )
+    patterns = np.array([r["votes"] for r in counted], np.int64)
+    free, known = np.array([r["free"] for r in counted], float), np.array([[r["clean"] for r in counted], [r["bad"] for r in counted]], float)
+    counts = free + known.sum(0)
+    model = LabelModel().fit(patterns, free, known)
     # a share of each pattern, so that rare ones are in the sample
     room = dict(zip(patterns.tolist(), (FIT_ROWS / len(patterns) / np.maximum(counts, 1)).tolist()))
     share = F.element_at(F.create_map(*[F.lit(x) for kv in room.items() for x in kv]), F.col("votes")) if room else F.lit(0.0)
