@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from paperloom.llm import exact, mixing, pieces, quality, quotes, shards, toxicity, warc
+from paperloom.llm import exact, jaccard, mixing, pieces, quality, quotes, shards, toxicity, warc
 from paperloom.llm.store import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,3 +125,8 @@ def op6(spark, sf_dir):
 def op7(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pieces.encode_texts(docs, carry=["doc_id"], ids=False)
+
+
+@query("op8_near_copies")
+def op8(spark, sf_dir):
+    return jaccard.near_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
