@@ -65,9 +65,9 @@ def _powers(base: int) -> np.ndarray:
     return out
 
 
-def pieces(text: bytes, length: int = LENGTH, anchor: int = ANCHOR) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Per chunk of a text: ``(offset, first, last, anchors, contents)``: pieces hold the windows that start from
-    first to last; ``anchors`` and ``contents`` are hashes of the anchor and of all bytes of the piece."""
+def pieces(text: bytes, length: int = LENGTH, anchor: int = ANCHOR) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Per chunk of a text: ``(offset, first, last, anchors)``: pieces hold the windows that start from first to
+    last; ``anchors`` are hashes of their anchors."""
     up, down = _powers(_BASE), _powers(pow(_BASE, -1, 1 << 64))
     span = length - anchor + 1
     for offset in range(0, len(text) - length + 1, CHUNK):
@@ -83,8 +83,7 @@ def pieces(text: bytes, length: int = LENGTH, anchor: int = ANCHOR) -> Iterator[
         at = (np.minimum(left[: len(key) - span + 1], right[span - 1 : len(key)]) & _LOW).astype(np.int64)
         first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
         last = np.r_[first[1:], len(at)] - 1
-        contents = _mix(((sums[last + length] - sums[first]) * up[first]) ^ _mix((last - first).astype(np.uint64)))
-        yield offset, first, last, hashes[at[first]] >> np.uint64(16), contents
+        yield offset, first, last, hashes[at[first]] >> np.uint64(16)
 
 
 def repeated_windows(texts: list[bytes], order: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
@@ -180,7 +179,7 @@ def _split(key: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, list[np
 
 
 def _anchors(texts: DataFrame, buckets: int, parts: int) -> DataFrame:
-    """``part, kind = 1, blob``: anchors, and flags of the hot ones, that two texts or two pieces of a text share."""
+    """``part, kind = 1, blob``: anchors, and flags of the hot ones, that two texts or two pieces of one text share."""
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, sent, total = [], set(), 0
 
@@ -196,11 +195,10 @@ def _anchors(texts: DataFrame, buckets: int, parts: int) -> DataFrame:
                 if cls in sent or len(text) < LENGTH:
                     continue
                 sent.add(cls)
-                found = [(a, c) for _, _, _, a, c in pieces(text.encode())]
-                if not found:
+                found = np.concatenate([p[3] for p in pieces(text.encode())] or [np.zeros(0, np.uint64)])
+                anchor, counts = np.unique(found, return_counts=True)
+                if not len(anchor):
                     continue
-                both = np.unique(np.stack([np.concatenate([f[i] for f in found]) for i in (0, 1)]), axis=1)
-                anchor, counts = np.unique(both[0], return_counts=True)
                 twice = anchor[counts > 1]  # as if another text had them too
                 held.append((np.concatenate([anchor, twice]), np.r_[np.full(len(anchor), cls), np.full(len(twice), cls ^ 1)].astype(np.int64)))
                 total += len(anchor) + len(twice)
@@ -328,7 +326,7 @@ def _shared_pieces(rows: DataFrame, buckets: int, parts: int) -> DataFrame:
 
             for cls, text in texts if len(known) else ():
                 ref = refs[cls]
-                for offset, start, last, anchor, _ in pieces(text):
+                for offset, start, last, anchor in pieces(text):
                     at = np.minimum(np.searchsorted(known, anchor), len(known) - 1)
                     for i in np.flatnonzero(known[at] == anchor).tolist():
                         a, z, key = int(start[i]) + offset, int(last[i]) + offset, int(anchor[i])
