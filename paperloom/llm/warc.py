@@ -75,7 +75,7 @@ def write_warc(records: DataFrame, path: str, records_per_file: int = RECORDS_PE
     ]
     text = F.concat(*[F.coalesce(x, F.lit("")) for x in lines], F.col("block"))
     (records.withColumn("block", block).select(text.alias("value"))
-     .write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records_per_file).text(path))
+     .write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records_per_file).option("compression", "gzip").text(path))
 
 
 def header_of(entry: Column) -> Column:
