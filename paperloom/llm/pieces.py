@@ -90,14 +90,14 @@ class Transducer:
             for t, k in zip(self.texts, kinds)
         ]
         self.trie = {t[:k]: -1 for t in self.ids for k in range(1, len(t))} | self.ids  # -1: inside a path
+        self.inside = {t[k : k + 2] for t in self.ids for k in range(len(t) - 1)}
         self.byte_cost = 10.0 - min(self.scores)
         chars = {c for t in self.ids for c in t}
-        lone = "".join(map(re.escape, (c for c in "\n\r\t" if c not in chars)))
-        lone = f"[{lone}]" if lone else "(?!)"
-        inner = f"(?!{lone})[^{BLANK}]"
+        lone = "".join(re.escape(c) for c in "\n\r\t" if c not in chars)
+        inner = f"[^{BLANK}{lone}]"
         # a blank starts a cut unless blanks precede it, if no piece has a blank behind another character
         apart = not any(BLANK in t.lstrip(BLANK) for t in self.ids)
-        self.cut = re.compile(f"{lone}|{BLANK}+(?:{inner})*|(?:{inner})+" if apart else "(?s).+").findall
+        self.cut = re.compile(f"{BLANK}+{inner}*|{inner}+" + (f"|[{lone}]" if lone else "") if apart else "(?s).+").findall
         self.replace = re.compile("|".join(map(re.escape, sorted(self.rules, key=len, reverse=True)))).sub if self.rules else None
         self.accepted: dict[int, bool] = {}
         self.solved: dict[str, bytes] = {}
@@ -133,54 +133,85 @@ class Transducer:
 
     def shortest_path(self, cut: str) -> list[int]:
         """Ids on the cheapest path through the lattice of a normalised cut."""
-        n, trie, accepted = len(cut), self.trie, self.accepted
-        cost, begun, piece_at = [0.0] + [_INF] * n, [0] * (n + 1), [-1] * (n + 1)  # last arc into a position; -1: bytes
-        for start in range(n):
-            base, last = cost[start], piece_at[start]
-            if base == _INF:
-                continue
-            if cut[start] not in self.ids:
-                weight = base + (0.0 if self.bpe else self.byte_cost)
-                if weight < cost[start + 1]:
-                    cost[start + 1], begun[start + 1], piece_at[start + 1] = weight, start, -1
-            for end in range(start + 1, n + 1):
-                piece = trie.get(cut[start:end])
-                if piece is None:
-                    break
-                if piece < 0 or base >= cost[end]:
-                    continue
-                weight = base
-                if self.bpe:
-                    ok = accepted.get((last << 32) + piece)
-                    if ok is None:
-                        ok = self._accepts(last, piece)
-                    if not ok:
-                        continue
-                else:
-                    weight -= self.scores[piece]
-                if weight < cost[end]:
-                    cost[end], begun[end], piece_at[end] = weight, start, piece
+        begun, piece_at = self._merge_path(cut) if self.bpe else self._scored_path(cut)
         ids: list[int] = []
+        n = len(cut)
         while n:
             start, piece = begun[n], piece_at[n]
             ids += [piece] if piece >= 0 else [self.bytes_at[b] for b in reversed(cut[start:n].encode("utf-8", "replace"))]
             n = start
         return ids[::-1]
 
+    def _merge_path(self, cut: str) -> tuple[list[int], list[int]]:
+        """Last arc into each position: start and piece (-1: bytes). Weights are zero or infinite, so the first accepted
+        arc into a position is its cheapest."""
+        n, step, accepted = len(cut), self.trie.get, self.accepted.get
+        begun, piece_at = [0] * (n + 1), [-1] + [-2] * n
+        for start in range(n):
+            left, end = piece_at[start] << 32, start + 1
+            piece = step(cut[start])
+            if piece is None:
+                begun[end], piece_at[end] = start, -1
+            while piece is not None:
+                if piece >= 0 and piece_at[end] == -2:
+                    ok = accepted(left + piece)
+                    if ok is None:
+                        ok = self._accepts(piece_at[start], piece)
+                    if ok:
+                        begun[end], piece_at[end] = start, piece
+                end += 1
+                if end > n:
+                    break
+                piece = step(cut[start:end])
+        return begun, piece_at
+
+    def _scored_path(self, cut: str) -> tuple[list[int], list[int]]:
+        """The same where an arc costs minus its piece's score; a character without a piece costs more than any."""
+        n = len(cut)
+        cost, begun, piece_at = [0.0] + [_INF] * n, [0] * (n + 1), [-1] * (n + 1)
+        for start in range(n):
+            arcs = [(start + 1, self.byte_cost, -1)] if cut[start] not in self.ids else []
+            for end in range(start + 1, n + 1):
+                piece = self.trie.get(cut[start:end])
+                if piece is None:
+                    break
+                if piece >= 0:
+                    arcs.append((end, -self.scores[piece], piece))
+            for end, weight, piece in arcs:
+                if cost[start] + weight < cost[end]:
+                    cost[end], begun[end], piece_at[end] = cost[start] + weight, start, piece
+        return begun, piece_at
+
+    def _solve(self, cut: str) -> bytes:
+        """Packed ids of a cut; parts between characters that no piece has side by side are solved, and kept, alone."""
+        inside, at = self.inside, 0
+        parts: list[str] = []
+        for i in range(1, len(cut)):
+            if cut[i - 1 : i + 1] not in inside:
+                parts.append(cut[at:i])
+                at = i
+        if not parts:
+            path = self.shortest_path(cut)
+            return struct.pack(f"<{len(path)}i", *path)
+        return b"".join(self._kept(p) or self._keep(p, self._solve(p)) for p in [*parts, cut[at:]])
+
+    def _kept(self, cut: str) -> bytes | None:
+        return self.solved.get(cut) or self.older.get(cut)
+
+    def _keep(self, cut: str, ids: bytes) -> bytes:
+        if len(cut) <= 64:
+            if len(self.solved) >= KEPT:  # what was not met since the last turn goes
+                self.older, self.solved = self.solved, {}
+            self.solved[cut] = ids
+        return ids
+
     def encode(self, text: str) -> np.ndarray:
-        solved, parts = self.solved, []
+        kept, parts = self.solved.get, []
         for cut in self.cut(self.normalise(text)):
-            ids = solved.get(cut)
+            ids = kept(cut)
             if ids is None:
-                ids = self.older.get(cut)
-                if ids is None:
-                    path = self.shortest_path(cut)
-                    ids = struct.pack(f"<{len(path)}i", *path)
-                if len(cut) <= 64:
-                    if len(solved) >= KEPT:  # cuts not met since the last turn go
-                        self.older, self.solved = solved, {}
-                        solved = self.solved
-                    solved[cut] = ids
+                ids = self._keep(cut, self.older.get(cut) or self._solve(cut))
+                kept = self.solved.get
             parts.append(ids)
         return np.frombuffer(b"".join(parts), "<i4")
 
@@ -214,7 +245,8 @@ def encode_texts(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fst = _compiled(model, fixed)
-        fallback = np.array(fst.bytes_at)
+        is_byte = np.zeros(len(fst.texts), bool)
+        is_byte[fst.bytes_at] = True
         for batch in batches:
             # long texts: few rows at a time
             for at in range(0, batch.num_rows, 256):
@@ -222,7 +254,7 @@ def encode_texts(
                 coded = []
                 for text in part.column(part.num_columns - 1).to_pylist():
                     got = fst.encode(text or "")
-                    coded.append((got, int(np.isin(got, fallback).sum()), hashlib.sha256(got.tobytes()).hexdigest(), fst.decode(got.tolist()) == (text or "")))
+                    coded.append((got, int(is_byte[got].sum()), hashlib.sha256(got.tobytes()).hexdigest(), fst.decode(got.tolist()) == (text or "")))
                 columns = [part.column(i) for i in range(part.num_columns - 1)]
                 columns += [pa.array([len(c[0]) for c in coded], pa.int64()), pa.array([c[1] for c in coded], pa.int64())]
                 if ids:
