@@ -112,7 +112,7 @@ def pushed_events(spark, sf):
     handshake = F.lit(',{"id":"h","eventType":"Microsoft.EventGrid.SubscriptionValidationEvent","data":{"validationCode":"x"}}')
     extra = F.when(F.col("event_id") % 10 == 0, handshake).otherwise(F.lit(""))
     pushes = e.select(F.floor(F.col("event_id") / 64).alias("push"), F.concat(event, extra).alias("v"))
-    return pushes.groupBy("push").agg(F.concat(F.lit("["), F.array_join(F.collect_list("v"), ","), F.lit("]")).alias("value")).select("value").repartition(16)
+    return pushes.groupBy("push").agg(F.concat(F.lit("["), F.array_join(F.collect_list("v"), ","), F.lit("]")).alias("value")).select("value")
 
 
 def updates_of(spark, sf):

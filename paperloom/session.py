@@ -64,10 +64,13 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     """Folder for stream checkpoints and written tables.
 
     The cluster names it in ``spark.checkpoint.dir``; a temporary one is used only where
-    that is unset, as in local tests.
+    that is unset on a local master, as in tests. A cluster without it is an error: each
+    executor would write to a disk of its own.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         token = spark.sparkContext._jvm.java.util.UUID.randomUUID().toString()
         return f"{base.rstrip('/')}/paperloom/{purpose}-{token}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return tempfile.mkdtemp(prefix=f"spark-{purpose}-", dir=os.environ.get("TMPDIR"))

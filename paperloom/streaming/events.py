@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from paperloom.functions import columns as C
+from paperloom.functions.json_text import is_strict_json
 from paperloom.operators.joins import with_config
 from paperloom.operators.predicates import VALIDATION_EVENT, filter_events
 from paperloom.operators.projections import init_document
@@ -14,16 +15,40 @@ from paperloom.schemas import EVENT
 EVENT_LIFE = "24 hours"
 
 
-def stream_blob_events(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
-    """Stream of pushed event files: one event or a list of them each; handshakes are dropped.
+def stream_pushes(spark: SparkSession, path: str, max_files: int | None = None, layout: str = "files") -> DataFrame:
+    """Stream of pushes: ``body`` (one JSON value), ``events`` (array, null if it does not parse), ``error``.
 
-    Columns: event_id, event_type, event_time, subject, url, content_length.
+    Layout "files" takes a file as one value if it is exactly one, and otherwise every line of it as one; "lines"
+    always takes lines, for files too large to be held whole. A value is an event or a list of events.
     """
-    reader = spark.readStream.schema(EVENT).option("multiLine", "true")
+    reader = spark.readStream
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
+    text = F.col("value")
+    bodies = F.split(text, "[\r\n]+")
+    if layout == "files":
+        bodies = F.when(is_strict_json(text), F.array(text)).otherwise(bodies)
+    rows = reader.text(path, wholetext=layout == "files").select(F.explode(bodies).alias("body")).filter(F.trim("body") != "")
+    parsed = F.when(is_strict_json(F.col("body")), F.from_json("body", T.ArrayType(EVENT)))
+    events = F.when(~F.exists(parsed, lambda e: e["id"].isNull()), parsed)
+    return rows.select("body", events.alias("events")).withColumn(
+        "error", F.when(F.col("events").isNull(), F.lit("not an event or a list of events"))
+    )
+
+
+def stream_push_errors(spark: SparkSession, path: str, max_files: int | None = None, layout: str = "files") -> DataFrame:
+    """Pushes that ``stream_blob_events`` cannot read: ``body, error``."""
+    return stream_pushes(spark, path, max_files, layout).filter(F.col("error").isNotNull()).select("body", "error")
+
+
+def stream_blob_events(spark: SparkSession, path: str, max_files: int | None = None, layout: str = "files") -> DataFrame:
+    """Stream of pushed events; handshakes are dropped, broken pushes go to ``stream_push_errors``.
+
+    Columns: event_id, event_type, event_time, subject, url, content_length.
+    """
     return (
-        reader.json(path)
+        stream_pushes(spark, path, max_files, layout)
+        .select(F.explode("events").alias("e")).select("e.*")
         .filter(F.col("eventType") != VALIDATION_EVENT)
         .select(
             F.col("id").alias("event_id"),
