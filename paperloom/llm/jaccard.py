@@ -14,7 +14,9 @@ parts) is joined by its rarest shingles, so nothing is lost.
 
 Copies of a set are one class, found by a 64-bit hash of the set; only classes are joined. Classes that share a signature are first compared with
 one of them; only those that are still unconnected are paired, so a cluster of n near copies costs about n comparisons.
-Every comparison is exact, on the sets of 64-bit shingle hashes.
+Before sets travel, a parity sketch (one bit per shingle hash, bits that are hit twice cancel) bounds the number of differing
+shingles from below, without error, and rules strangers out; what it leaves is compared exactly, on the sets of 64-bit shingle
+hashes, which are recomputed for just those texts.
 
 Signatures travel as packed arrays, by hash bucket; the number of buckets grows with the input, so that a bucket has bounded size. A signature
 that a sample shows to be very frequent is spread over several buckets.
@@ -27,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from paperloom.llm.graph import components
 from paperloom.llm.store import forget, written
@@ -41,6 +43,8 @@ CENTER_ROWS = 5_000
 #: One of so many ids is sampled to find signatures that need several buckets.
 SAMPLE = 64
 GROWTH = 1.6  # of size bands
+#: Size of the filter on texts whose sets are asked for: 4 MB are broadcast, always.
+FILTER_BITS = 1 << 25
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -89,6 +93,25 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * common >= 80 * (len(a) + len(b) - common)
 
 
+def sketch(tokens: np.ndarray) -> bytes:
+    """Parity of the number of shingles per bit, over the next power of two above twice their number."""
+    bits = 64 << max(0, int(2 * len(tokens) - 1).bit_length() - 6)
+    odd = np.bincount((_mix(tokens + np.uint64(7)) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def may_link(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray]) -> bool:
+    """False only if sizes or sketches (as ``(size, uint64 array)``) prove that two sets are not linked."""
+    (n, x), (m, y) = a, b
+    if 5 * min(n, m) < 4 * max(n, m):
+        return False
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return 9 * int(np.bitwise_count(x ^ y).sum()) <= n + m
+
+
 def subsets(tokens: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """Per band a set takes part in: ``(band, H, segments, starts, mixed)``.
 
@@ -154,20 +177,22 @@ def _arrow(rows: dict[str, pa.Array]) -> pa.RecordBatch:
 
 
 def _classes(rows: DataFrame) -> DataFrame:
-    """``id, h, n, cls, short`` from ``id, h, text``."""
+    """``id, h, n, cls, short, sketch`` from ``id, h, text``."""
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, cls, few = [], [], []
+            n, cls, few, bits = [], [], [], []
             for text in batch.column(2).to_pylist():
                 s = shingles(text)
                 n.append(len(s))
                 cls.append(set_hash(s))
                 few.append(len(s) > 0 and short(s))
-            yield _arrow({"id": batch.column(0), "h": batch.column(1), "n": pa.array(n, pa.int64()), "cls": pa.array(cls, pa.int64()), "short": pa.array(few, pa.bool_())})
+                bits.append(sketch(s))
+            yield _arrow({"id": batch.column(0), "h": batch.column(1), "n": pa.array(n, pa.int64()), "cls": pa.array(cls, pa.int64()),
+                          "short": pa.array(few, pa.bool_()), "sketch": pa.array(bits, pa.binary())})
 
-    return rows.mapInArrow(run, f"id {kind}, h string, n long, cls long, short boolean")
+    return rows.mapInArrow(run, f"id {kind}, h string, n long, cls long, short boolean, sketch binary")
 
 
 def _hot_signatures(rows: DataFrame, limit: int) -> set[int]:
@@ -249,47 +274,77 @@ def _groups(rows: DataFrame, buckets: int, hot: set[int]) -> DataFrame:
     return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "sig long, cls long")
 
 
+def _bit(h: str) -> Column:
+    """Place of a text's hash in the filter, from 1."""
+    return F.pmod(F.xxhash64(h), F.lit(FILTER_BITS)) + 1
+
+
+def _bitmap(needed: DataFrame) -> np.ndarray:
+    """Bits of the text hashes in ``needed``: ``FILTER_BITS``, whatever their number."""
+    parts = needed.select(_bit("h").alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    for bucket, bits in parts.collect():
+        out[(bucket - 1) * 4096 : bucket * 4096] = np.frombuffer(bits, np.uint8)
+    return out
+
+
 def _sets(rows: DataFrame, needed: DataFrame) -> DataFrame:
-    """``cls, tokens`` (8 bytes each) for the classes of ``needed`` (``id, h, cls``), recomputed from their texts."""
+    """Written ``cls, tokens`` (8 bytes each) for the classes of ``needed`` (``id, h, cls``), recomputed from their texts.
+
+    A filter of fixed size spares most other texts the join; the join alone decides.
+    """
+    needed = written(needed, "near-needed")
+    bits = rows.sparkSession.sparkContext.broadcast(_bitmap(needed))
+
+    def narrow(batches):
+        for batch in batches:
+            at = batch.column(3).to_numpy() - 1
+            mask = (bits.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1
+            yield batch.filter(pa.array(mask.astype(bool))).select([0, 1, 2])
+
     def run(batches):
         for batch in batches:
-            cls, sets = [], []
-            for want, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                s = shingles(text)
-                cls.append(want)
-                sets.append(s.tobytes())
-            yield _arrow({"cls": pa.array(cls, pa.int64()), "tokens": pa.array(sets, pa.binary())})
+            sets = [shingles(text).tobytes() for text in batch.column(1).to_pylist()]
+            yield _arrow({"cls": batch.column(0), "tokens": pa.array(sets, pa.binary())})
+
+    kind = rows.schema["id"].dataType.simpleString()
+    some = rows.select("id", "h", "text", _bit("h").alias("at")).mapInArrow(narrow, f"__id {kind}, __h string, text string")
+    found = some.join(needed, F.col("__id").eqNullSafe(F.col("id")) & (F.col("__h") == F.col("h"))).dropDuplicates(["__id", "__h"])
+    out = written(found.select("cls", "text").mapInArrow(run, "cls long, tokens binary"), "near-sets")
+    forget(needed)
+    return out
 
-    found = rows.withColumnRenamed("id", "__id").join(needed, (F.col("__id").eqNullSafe(F.col("id"))) & (rows["h"] == needed["h"]))
-    return found.select("cls", "text").mapInArrow(run, "cls long, tokens binary").dropDuplicates(["cls"])
 
+def _compare(pairs: DataFrame, table: DataFrame, exact: bool) -> DataFrame:
+    """The ``pairs`` (``a, b``) that are linked, or that sketches do not rule out; written.
 
-def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Linked pairs among ``pairs`` (``a, b``). Sets travel to the first of the pair, whose own comes first."""
+    What ``table`` (``cls, n, body``: tokens or a sketch) has of b travels to a, whose own comes first.
+    """
     counts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / CENTER_ROWS).alias("parts"))
     members = pairs.join(counts, "a").select(
         F.col("b").alias("cls"), F.col("a").alias("at"), F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), F.lit(1).alias("member"))
     centers = counts.select(
         F.col("a").alias("cls"), F.col("a").alias("at"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(0).alias("member"))
-    sent = members.unionByName(centers).join(sets, "cls")
+    sent = members.unionByName(centers).join(table, "cls")
+    test = linked if exact else may_link
 
     def run(batches):
-        center, at = np.zeros(0, np.uint64), None
+        center, at = None, None
         for batch in batches:
             a, b = [], []
-            for cls, where, part, member, tokens in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                s = np.frombuffer(tokens, np.uint64)
+            for cls, where, part, member, n, body in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                s = np.frombuffer(body, np.uint64)
+                s = s if exact else (n, s)
                 if not member:
                     center, at = s, (where, part)
-                elif at == (where, part) and linked(center, s):
+                elif at == (where, part) and test(center, s):
                     a.append(where)
                     b.append(cls)
             yield _arrow({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return (
-        sent.select("cls", "at", "part", "member", "tokens").repartition("at", "part")
-        .sortWithinPartitions("at", "part", "member").mapInArrow(run, "a long, b long")
-    )
+    moved = sent.select("cls", "at", "part", "member", "n", "body").repartition("at", "part").sortWithinPartitions("at", "part", "member")
+    return written(moved.mapInArrow(run, "a long, b long"), "near-pairs")
 
 
 def _labelled(groups: DataFrame, labels: DataFrame) -> DataFrame:
@@ -307,63 +362,82 @@ def _cross(keyed: DataFrame, key: str, limit: int | None) -> tuple[DataFrame, Da
     return pairs, mixed.where(F.col("about") > limit).select(key) if limit is not None else mixed.limit(0).select(key)
 
 
+class _Join:
+    """One run of the join: the tables it has written, and the links so far."""
+
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str):
+        text = F.coalesce(F.col(text_col), F.lit(""))
+        self.rows = docs.select(F.col(id_col).alias("id"), F.md5(text).alias("h"), text.alias("text"))
+        self.table = written(_classes(self.rows), "near-classes")
+        own = F.struct("id", "h")
+        classes = self.table.where("n > 0").groupBy("cls").agg(F.min(own).alias("r"), F.first("n").alias("n"), F.first("sketch").alias("body"), F.first("short").alias("short"))
+        self.classes = written(classes, "near-sketches")
+        self.links: DataFrame | None = None
+        self.labels: DataFrame | None = None
+
+    def sets(self, wanted: DataFrame) -> DataFrame:
+        needed = self.classes.join(wanted.select("cls").distinct(), "cls").select("r.id", "r.h", "cls")
+        return _sets(self.rows, needed).select("cls", F.lit(0).alias("n"), F.col("tokens").alias("body"))
+
+    def verify(self, pairs: DataFrame) -> None:
+        """Add the links among ``pairs`` and label the components anew."""
+        near = _compare(pairs, self.classes.select("cls", "n", "body"), exact=False)
+        if not near.isEmpty():
+            sets = self.sets(near.select(F.col("a").alias("cls")).union(near.select("b")))
+            found = _compare(near, sets, exact=True)
+            self.links = found if self.links is None else self.links.unionByName(found)
+            forget(sets)
+        if self.labels is None or not near.isEmpty():
+            none = near.limit(0)
+            self.labels = written(components(self.links if self.links is not None else none), "near-labels")
+
+
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Written tables ``(id, h, n, cls, short)`` per row and ``(node, label)`` per class that is linked to another.
+    """Written tables ``(id, h, n, cls, ...)`` per row and ``(node, label)`` per class that is linked to another.
 
     ``h`` is the MD5 of the text.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), F.md5(text).alias("h"), text.alias("text"))
-    table = written(_classes(rows), "near-classes")
-    total = table.agg(F.sum("n")).first()[0] or 0
+    join = _Join(docs, id_col, text_col)
+    total = join.table.agg(F.sum("n")).first()[0] or 0
     buckets = int(0.5 * total / BUCKET_ROWS) + 1
-    hot = _hot_signatures(rows, BUCKET_ROWS // 4)
-    groups = written(_groups(rows, buckets, hot), "near-groups")
-
-    wanted = groups.select("cls").unionByName(table.where("short").select("cls")).distinct()
-    first = table.where("n > 0").groupBy("cls").agg(F.min(F.struct("id", "h")).alias("r"))
-    needed = first.join(wanted, "cls").select("r.id", "r.h", "cls")
-    sets = written(_sets(rows, needed), "near-sets")
+    hot = _hot_signatures(join.rows, BUCKET_ROWS // 4)
+    groups = written(_groups(join.rows, buckets, hot), "near-groups")
 
     # one round of stars, then whatever is still apart
     centers = groups.groupBy("sig").agg(F.min("cls").alias("a"))
-    stars = groups.join(centers, "sig").where("cls <> a").select("a", F.col("cls").alias("b")).distinct()
-    links = written(_verify(stars, sets), "near-links")
-    labels = written(components(links), "near-labels")
-    pairs, frequent = _cross(_labelled(groups, labels), "sig", FREQUENT)
-    more = written(_verify(pairs, sets), "near-links")
+    join.verify(groups.join(centers, "sig").where("cls <> a").select("a", F.col("cls").alias("b")).distinct())
+    pairs, frequent = _cross(_labelled(groups, join.labels), "sig", FREQUENT)
     unused = written(frequent, "near-frequent")
-    links = links.unionByName(more)
-    labels = written(components(links), "near-labels")
+    join.verify(pairs)
 
-    rest = _uncovered(table, groups, unused, sets)
+    rest, sets = _uncovered(join, groups, unused)
     if not rest.isEmpty():
-        for step in (_by_neighbourhoods, _by_rarest):
-            rest, found = step(rest, sets, labels)
-            links = links.unionByName(written(found, "near-links"))
-            labels = written(components(links), "near-labels")
-            if rest is None or rest.isEmpty():
-                break
+        rest, pairs = _by_neighbourhoods(rest, sets, join.labels)
+        join.verify(pairs)
+        if not rest.isEmpty():
+            join.verify(_by_rarest(rest, sets, join.labels))
     forget(groups, sets, unused)
-    return table, labels
+    return join.table, join.labels
 
 
-def _uncovered(table: DataFrame, groups: DataFrame, unused: DataFrame, sets: DataFrame) -> DataFrame:
-    """``cls`` of the classes that have too few usable signatures; written."""
+def _uncovered(join: _Join, groups: DataFrame, unused: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``cls`` of the classes that have too few usable signatures, and the sets of all that might; both written."""
     lost = groups.join(unused, "sig").groupBy("cls").agg(F.collect_set("sig").alias("lost"))  # at most a class's own segments
+    few = join.classes.where("short").select("cls")
+    sets = join.sets(lost.select("cls").union(few)).select("cls", F.col("body").alias("tokens"))
 
     def run(batches):
         for batch in batches:
             rows = zip(*(batch.column(i).to_pylist() for i in range(3)))
-            few = [cls for cls, tokens, gone in rows if short(np.frombuffer(tokens, np.uint64), set(gone))]
-            yield _arrow({"cls": pa.array(few, pa.int64())})
+            found = [cls for cls, tokens, gone in rows if short(np.frombuffer(tokens, np.uint64), set(gone))]
+            yield _arrow({"cls": pa.array(found, pa.int64())})
 
     fewer = sets.join(lost, "cls").select("cls", "tokens", "lost").mapInArrow(run, "cls long")
-    return written(fewer.unionByName(table.where("short").select("cls")).distinct(), "near-rest")
+    return written(fewer.union(few).distinct(), "near-rest"), sets
 
 
 def _by_neighbourhoods(rest: DataFrame, sets: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Classes that even one-deletion neighbourhoods do not cover, and the links those give."""
+    """Classes that even one-deletion neighbourhoods do not cover, and the pairs those give."""
     def run(batches):
         for batch in batches:
             for cls, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -379,12 +453,11 @@ def _by_neighbourhoods(rest: DataFrame, sets: DataFrame, labels: DataFrame) -> t
     # 2 where the subset and all its neighbours can be used, 1 where the subset can
     cost = F.when(F.col("exact_off").isNotNull(), 0).when(F.col("any_off").isNotNull() | (F.col("size") == 1), 1).otherwise(2)
     got = share.groupBy("cls", F.shiftright("at", 48).alias("band"), "need").agg(F.sum(cost).alias("got"))
-    left = written(got.where("got < need").select("cls").distinct(), "near-rest")
-    return left, _verify(pairs, sets)
+    return written(got.where("got < need").select("cls").distinct(), "near-rest"), pairs
 
 
-def _by_rarest(rest: DataFrame, sets: DataFrame, labels: DataFrame) -> tuple[None, DataFrame]:
-    """Links among the rest by their rarest shingles: two linked sets share one among the first n - ceil(0.8 n) + 1."""
+def _by_rarest(rest: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs among the rest by their rarest shingles: two linked sets share one among the first n - ceil(0.8 n) + 1."""
     def run(batches):
         for batch in batches:
             for cls, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -396,8 +469,7 @@ def _by_rarest(rest: DataFrame, sets: DataFrame, labels: DataFrame) -> tuple[Non
     ranked = tokens.join(counts, "token").groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("count", "token"))).alias("all"))  # one set
     first = F.expr("slice(all, 1, cast(size(all) - ceil(size(all) * 4 / 5.0) + 1 as int))")
     keyed = ranked.select("cls", F.explode(first).alias("t")).select("cls", F.col("t.token").alias("key"))
-    pairs, _ = _cross(_labelled(keyed, labels), "key", None)
-    return None, _verify(pairs, sets)
+    return _cross(_labelled(keyed, labels), "key", None)[0]
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
