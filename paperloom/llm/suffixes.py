@@ -36,11 +36,11 @@ from paperloom.llm.store import written
 LENGTH = 100
 ANCHOR = 40
 #: Bytes of text per document partition and per anchor bucket, bytes of pieces per collection.
-PART_BYTES = 16 << 20
-BUCKET_BYTES = 8 << 20
-COLLECTION_BYTES = 3 << 20
+PART_BYTES = 8 << 20
+BUCKET_BYTES = 4 << 20
+COLLECTION_BYTES = 1 << 20
 #: Documents that share an anchor before it is cut to single windows.
-HOT = 50_000
+HOT = 6_000
 CHUNK = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -94,12 +94,12 @@ def repeated_windows(texts: list[bytes], order: np.ndarray, length: int = LENGTH
     _, suffix, common = build(texts, length)
     sizes = np.array([len(t) for t in texts])
     ends = np.cumsum(sizes)
-    piece = np.searchsorted(ends, suffix, "right")
-    piece[piece == len(texts)] = len(texts) - 1
-    full = ends[piece] - suffix >= length
-    group = np.cumsum(common < length)
+    group = np.cumsum(common < length, dtype=np.int32)
+    alike = np.r_[group[1:] == group[:-1], False]
+    alike[1:] |= alike[:-1]  # groups of one have nothing to compare
+    group, suffix = group[alike], suffix[alike]
+    piece = np.searchsorted(ends, suffix, "right").astype(np.int32)
     rank = order[piece] + (suffix - (ends - sizes)[piece])
-    group, rank, piece, suffix = group[full], rank[full], piece[full], suffix[full]
     o = np.lexsort((rank, group))
     again = np.zeros(len(o), bool)
     again[1:] = group[o][1:] == group[o][:-1]
@@ -335,6 +335,9 @@ def _shared_pieces(rows: DataFrame, buckets: int, parts: int) -> DataFrame:
                                 meet(text[p : p + LENGTH], (ref, cls, p, key))
                         else:
                             meet(text[a : z + LENGTH], (ref, cls, a, key))
+                if len(again) > 100_000:
+                    yield _runs_by_part(np.array(again, _RUN), parts)
+                    again.clear()
             if again:
                 yield _runs_by_part(np.array(again, _RUN), parts)
             if first:
