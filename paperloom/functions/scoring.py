@@ -201,14 +201,31 @@ def cosine_score(a: Column, b: Column) -> Column:
 
 
 def text_cosine(a: Column, b: Column) -> Column:
-    """Cosine of the word counts of two texts."""
-    def words(text):
-        return F.filter(F.split(F.lower(text), r"(?U)\W+"), lambda w: w != "")
+    """Cosine of the word counts of two texts.
 
-    wa, wb = words(a), words(b)
-    vocabulary = F.array_union(wa, wb)
+    The words of both are sorted together; equal words of one side are a run, and a word of both sides is two
+    neighbouring runs, so one pass over the runs gives products and lengths.
+    """
+    def tagged(text, side):
+        words = F.filter(F.split(F.lower(text), r"(?U)\W+"), lambda w: w != "")
+        return F.transform(words, lambda w: F.struct(w.alias("w"), F.lit(side).alias("s")))
+
+    def runs_of(c):
+        starts = F.filter(F.sequence(F.lit(0), F.size(c) - 1), lambda i: (i == 0) | (F.get(c, i) != F.get(c, i - 1)))
+        return bind(starts, lambda at: F.transform(at, lambda p, k: F.struct(
+            F.get(c, p)["w"].alias("w"), F.get(c, p)["s"].alias("s"),
+            (F.coalesce(F.get(at, k + 1), F.size(c)) - p).cast("double").alias("n"))))
+
+    def total(values):
+        return F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v)
+
+    def score(r):
+        both = total(F.transform(r, lambda x, k: F.when(F.get(r, k - 1)["w"] == x["w"], x["n"] * F.get(r, k - 1)["n"]).otherwise(0.0)))
+
+        def length(side):
+            return F.sqrt(total(F.transform(r, lambda x: F.when(x["s"] == side, x["n"] * x["n"]).otherwise(0.0))))
 
-    def counts(tokens):
-        return F.transform(vocabulary, lambda w: F.size(F.filter(tokens, lambda t: t == w)).cast("double"))
+        return bind(length(0) * length(1), lambda norm: F.when(norm > 0, both / norm))
 
-    return F.coalesce(cosine_score(counts(wa), counts(wb)), F.lit(0.0))
+    words = F.array_sort(F.concat(tagged(a, 0), tagged(b, 1)))
+    return F.coalesce(bind(words, lambda c: F.when(F.size(c) > 0, bind(runs_of(c), score))), F.lit(0.0))

@@ -1,39 +1,23 @@
-"""Scorers and the leaf walk as SQL functions."""
+"""The window search and the leaf walk as SQL functions."""
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
 from pyspark.sql import SparkSession
-from pyspark.sql.functions import udtf
 
 from paperloom.functions import scoring
-
-
-@udtf(returnType="path: string, json: string")
-class JsonLeafRows:
-    """Rows (path, json) of one JSON text; text that is not JSON has none."""
-
-    def eval(self, text: str) -> Iterator[tuple[str, str]]:
-        try:
-            stack = [("", json.loads(text))]
-        except (TypeError, ValueError):
-            return
-        while stack:
-            path, node = stack.pop()
-            if isinstance(node, dict):
-                stack += [(f"{path}.{k}" if path else k, v) for k, v in node.items()]
-            elif isinstance(node, list):
-                stack += [(f"{path}[{i}]", v) for i, v in enumerate(node)]
-            else:
-                yield path, json.dumps(node)
+from paperloom.functions.json_text import fragment_sql
+from paperloom.operators.jsontree import leaf_walk_sql
 
 
 def register_sql_functions(spark: SparkSession) -> None:
     """Make ``json_leaf_rows(text)`` and ``window_percent(a, b)`` callable from SQL.
 
-    For DataFrames ``json_leaves`` and ``fuzzy_score`` do the same inside the JVM.
+    ``json_leaf_rows`` is a table function over built-in expressions: rows (path, json) of one JSON text, none
+    for a text that is not JSON. For DataFrames ``json_leaves`` and ``fuzzy_score`` do the same.
     """
-    spark.udtf.register("json_leaf_rows", JsonLeafRows)
+    leaf = fragment_sql("n.node", "schema_of_variant(n.node)")
+    spark.sql(f"""
+        CREATE OR REPLACE TEMPORARY FUNCTION json_leaf_rows(doc STRING) RETURNS TABLE(path STRING, json STRING)
+        RETURN SELECT coalesce(n.path, ''), {leaf} FROM (SELECT explode({leaf_walk_sql("doc")}) AS n)
+        WHERE NOT (schema_of_variant(n.node) LIKE 'OBJECT%' OR schema_of_variant(n.node) LIKE 'ARRAY%')""")
     spark.udf.register("window_percent", scoring.window_percent)

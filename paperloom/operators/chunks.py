@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from paperloom.functions.columns import python_float_sql
 from paperloom.functions.json_text import fragment_sql, kind_sql
-from paperloom.operators.jsontree import LIST, OBJECT, assemble_json, is_container, opened_sql, pointer_key, quoted
+from paperloom.operators.jsontree import json_leaves, LIST, OBJECT, assemble_json, is_container, opened_sql, pointer_key, quoted
 from paperloom.operators.predicates import chunk_size_guard
 
 MAX_IMAGES = 10
@@ -137,29 +137,33 @@ _PART = f"""named_struct(
   'json', coalesce(json, {fragment_sql('node', '__t')}),
   'fields', {opened_sql('node', OBJECT)},
   'num', coalesce(try_variant_get(node, '$', 'double'), CAST(try_variant_get(node, '$', 'boolean') AS DOUBLE)),
+  'exact', coalesce(try_variant_get(node, '$', 'decimal(38,0)'), CAST(CAST(try_variant_get(node, '$', 'boolean') AS INT) AS DECIMAL(38, 0))),
   'whole', __t IN ('BIGINT', 'BOOLEAN'),
   'text', CASE WHEN __t = 'STRING' THEN try_variant_get(node, '$', 'string') END,
   'items', transform({opened_sql('node', LIST)}, x -> {fragment_sql('x', 'schema_of_variant(x)')}))"""
 
 _SUM = f"""CASE WHEN forall(parts, p -> p.whole)
-  THEN CAST(aggregate(parts, CAST(0 AS DECIMAL(38, 0)), (s, p) -> CAST(s + CAST(p.num AS DECIMAL(20, 0)) AS DECIMAL(38, 0))) AS STRING)
+  THEN CAST(aggregate(parts, CAST(0 AS DECIMAL(38, 0)), (s, p) -> CAST(s + p.exact AS DECIMAL(38, 0))) AS STRING)
   ELSE {python_float_sql('aggregate(parts, CAST(0 AS DOUBLE), (s, p) -> s + p.num)')} END"""
 
 
-def merge_chunks(chunks: DataFrame, keys: Sequence[str] = ("id",), max_depth: int = 6) -> DataFrame:
+def merge_chunks(chunks: DataFrame, keys: Sequence[str] = ("id",), max_depth: int | None = None) -> DataFrame:
     """Deep merge of each document's chunk results in chunk order: (keys, json).
 
     ``chunks`` has ``chunk_idx`` and ``data`` (JSON text or VARIANT). Lists concatenate,
     texts join with single blanks, numbers add, objects merge field by field; otherwise a
     newer truthy value wins. Each level groups a field's occurrences by (document, path).
     The merged record is one row, so rows are placed by document once and no level shuffles
-    again.
+    again. The levels to plan are measured by a pass over the data unless ``max_depth`` gives them.
     """
     keys = list(keys)
     kept = quoted(keys)
     data = F.col("data")
     if dict(chunks.dtypes)["data"] != "variant":
         data = F.try_parse_json(data)
+    if max_depth is None:
+        walked = json_leaves(chunks.select(data.alias("v")), "v", [])
+        max_depth = walked.agg(F.max(F.size("ords"))).first()[0] or 0
     rows = chunks.repartition(*keys).select(
         *keys, F.lit("").alias("pointer"), F.lit(False).alias("done"), F.col("chunk_idx").cast("int").alias("chunk_idx"),
         data.alias("node"), F.lit(None).cast("string").alias("json"),

@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from paperloom.functions import scoring as S
 from paperloom.functions.json_text import object_entries, scalar_sql
 from paperloom.operators.jsontree import (
-    DEFAULT_DEPTH, LIST, OBJECT, STEP_PATH, is_container, next_level, only_leaves, opened_sql, quoted,
+    DEFAULT_DEPTH, LIST, OBJECT, STEP_PATH, deepened, is_container, next_level, only_leaves, opened_sql, quoted, unreadable_json,
 )
+from paperloom.session import keep_last_duplicate_key
 
 
 @dataclass(frozen=True)
@@ -62,8 +63,11 @@ def aligned_leaves(items: DataFrame, keys: Sequence[str], max_depth: int = DEFAU
     ``items`` has ``ground_truth``, ``actual`` and optionally ``eval_schema`` as JSON text or
     VARIANT. The three trees are walked together, one ``explode`` per level, so there is no
     join and no shuffle. A missing path, a short list or another type gives null; extra
-    actual fields are ignored. Rows: (keys, path, gt, actual, config).
+    actual fields are ignored. Rows: (keys, path, gt, actual, config). ``max_depth`` levels are unrolled in the
+    plan; deeper fields are opened row by row. A repeated key keeps its last value, whatever the session was set
+    to. Items whose ground truth is not JSON have no fields: ``unreadable_items`` lists them.
     """
+    keep_last_duplicate_key(items.sparkSession)
     rows = items.select(
         *keys,
         F.lit(None).cast("string").alias("path"),
@@ -82,9 +86,10 @@ def aligned_leaves(items: DataFrame, keys: Sequence[str], max_depth: int = DEFAU
         # The other two trees are opened once per container, before the fields are spread.
         rows = rows.selectExpr(*kept, "path", "g", "a", "s", *opened)
         rows = next_level(rows, "g", [*keys, "path", "a", "s", "am", "al", "sm", "sl"]).selectExpr(*kept, STEP_PATH, "g", *beside)
+    rows = deepened(rows, "g", *_deeper_field(kept))
     return (
         rows.selectExpr(*kept, "path", "g", "a", "s", "schema_of_variant(g) AS __gt", "schema_of_variant(a) AS __at")
-        .filter(only_leaves("g", "__gt", "path"))
+        .filter(only_leaves("g", "__gt"))
         .selectExpr(
             *kept, "coalesce(path, '') AS path", f"{scalar_sql('g', '__gt')} AS gt",
             f"CASE WHEN NOT {is_container('__at')} THEN {scalar_sql('a', '__at')} END AS actual", "s AS config",
@@ -92,6 +97,31 @@ def aligned_leaves(items: DataFrame, keys: Sequence[str], max_depth: int = DEFAU
     )
 
 
+def _deeper_field(kept: Sequence[str]) -> tuple[str, str]:
+    """One row of the joint walk as a struct, and the structs one level below the struct ``x``."""
+    element = ", ".join(f"'{k.strip('`')}', {k}" for k in [*kept, "path", "g", "a", "s"])
+    same = ", ".join(f"'{k.strip('`')}', x.{k}" for k in kept)
+    lead = f"named_struct({same}{', ' if same else ''}"
+    field = ", ".join(f"'{c}', try_element_at(try_variant_get(x.{c}, '$', '{OBJECT}'), e.key)" for c in "as")
+    item = ", ".join(f"'{c}', get(try_variant_get(x.{c}, '$', '{LIST}'), i)" for c in "as")
+    children = (
+        f"CASE WHEN try_variant_get(x.g, '$', '{OBJECT}') IS NOT NULL AND to_json(x.g) <> '{{}}' THEN "
+        f"transform(map_entries(try_variant_get(x.g, '$', '{OBJECT}')), e -> {lead}"
+        f"'path', concat(coalesce(concat(x.path, '.'), ''), e.key), 'g', e.value, {field})) "
+        f"WHEN try_variant_get(x.g, '$', '{LIST}') IS NOT NULL AND to_json(x.g) <> '[]' THEN "
+        f"transform(try_variant_get(x.g, '$', '{LIST}'), (v, i) -> {lead}"
+        f"'path', concat(coalesce(x.path, ''), '[', i, ']'), 'g', v, {item})) ELSE array(x) END"
+    )
+    return f"named_struct({element})", children
+
+
+def unreadable_items(items: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, column, error) for items with a JSON text that does not parse, in any of the three columns."""
+    keep_last_duplicate_key(items.sparkSession)
+    texts = [c for c in ("ground_truth", "actual", "eval_schema") if dict(items.dtypes).get(c) == "string"]
+    return unreadable_json(items, texts, keys)
+
+
 def compare_leaves(gt: DataFrame, actual: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The same pairing for leaf tables stored apart: ground truth left-joined with actual by path."""
     on = [*keys, "pointer"]

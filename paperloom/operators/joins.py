@@ -45,8 +45,16 @@ def align_chunks(parts: dict[str, DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.join(b, ["id", "chunk_idx"], "full_outer"), named)
 
 
-def merge_runs(runs: DataFrame, files: Sequence[str]) -> DataFrame:
-    """Run table: a row per metric, a column ``Run n`` per file; a metric missing in a run is null."""
+def merge_runs(runs: DataFrame, files: Sequence[str] | None = None) -> DataFrame:
+    """Run table: a row per metric, a column ``Run n`` per file; a metric missing in a run is null.
+
+    Without ``files`` the columns are the runs of the data in name order. With it, a run that is not listed fails the job.
+    """
+    if files is None:
+        files = [r[0] for r in runs.select("file").distinct().orderBy("file").collect()]  # as many as columns
+    else:
+        stray = F.raise_error(F.concat(F.lit("run not listed: "), F.coalesce("file", F.lit("null")))).cast("string")
+        runs = runs.withColumn("file", F.when(F.col("file").isin(*files), F.col("file")).otherwise(stray))
     wide = runs.groupBy("metric").pivot("file", list(files)).agg(F.first("value"))
     return wide.select("metric", *[F.col(f"`{f}`").alias(f"Run {i}") for i, f in enumerate(files, 1)])
 

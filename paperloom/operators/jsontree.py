@@ -68,10 +68,57 @@ def is_container(t: str) -> str:
     return f"(startswith({t}, 'OBJECT') OR startswith({t}, 'ARRAY'))"
 
 
-def only_leaves(node: str, t: str, where: str) -> str:
-    """SQL filter dropping empty containers and failing on any other one."""
-    deep = f"CAST(raise_error(concat('JSON deeper than max_depth at ', coalesce({where}, ''))) AS BOOLEAN)"
-    return f"CASE WHEN {is_container(t)} THEN to_json({node}) NOT IN ('{{}}', '[]') AND {deep} ELSE TRUE END"
+def only_leaves(node: str, t: str) -> str:
+    """SQL filter dropping empty containers."""
+    return f"NOT ({is_container(t)} AND to_json({node}) IN ('{{}}', '[]'))"
+
+
+def deepened(rows: DataFrame, node: str, element: str, children: str) -> DataFrame:
+    """Rows that still hold a container below the unrolled levels, opened to their last level.
+
+    ``element`` is a ``named_struct`` of the row's columns, ``children`` an array of such structs
+    for the struct ``x``. Other rows pass as they are. The number of opening brackets bounds the levels left, so there
+    is no limit; only rows that are so deep pay for the repeated passes over their part.
+    """
+    opening = f"length(to_json({node})) - length(translate(to_json({node}), '{{[', ''))"
+    filled = f"{is_container(f'schema_of_variant({node})')} AND to_json({node}) NOT IN ('{{}}', '[]')"
+    opened = (
+        f"aggregate(sequence(1, {opening}), array({element}), (__acc, __i) -> flatten(transform(__acc, x -> {children})))"
+    )
+    return rows.selectExpr(f"explode(CASE WHEN {filled} THEN {opened} ELSE array({element}) END) AS __n").select("__n.*")
+
+
+def _deeper_leaf(kept: Sequence[str]) -> tuple[str, str]:
+    """One row of a walk as a struct, and the structs one level below the struct ``x``."""
+    element = ", ".join(f"'{k.strip('`')}', {k}" for k in [*kept, "path", "pointer", "ords", "node"])
+    same = ", ".join(f"'{k.strip('`')}', x.{k}" for k in kept)
+    lead = f"named_struct({same}{', ' if same else ''}"
+    field = POINTER_STEP.format("e.key")
+    children = (
+        f"CASE WHEN try_variant_get(x.node, '$', '{OBJECT}') IS NOT NULL AND to_json(x.node) <> '{{}}' THEN "
+        f"transform(map_entries(try_variant_get(x.node, '$', '{OBJECT}')), (e, i) -> {lead}"
+        f"'path', concat(coalesce(concat(x.path, '.'), ''), e.key), 'pointer', concat(x.pointer, {field}), "
+        "'ords', concat(x.ords, array(i)), 'node', e.value)) "
+        f"WHEN try_variant_get(x.node, '$', '{LIST}') IS NOT NULL AND to_json(x.node) <> '[]' THEN "
+        f"transform(try_variant_get(x.node, '$', '{LIST}'), (v, i) -> {lead}"
+        "'path', concat(coalesce(x.path, ''), '[', i, ']'), 'pointer', concat(x.pointer, '/#', i), "
+        "'ords', concat(x.ords, array(i)), 'node', v)) ELSE array(x) END"
+    )
+    return f"named_struct({element})", children
+
+
+def leaf_walk_sql(text: str) -> str:
+    """SQL text of an array of structs ``(path, pointer, ords, node)``: all leaves and empty containers of a JSON text."""
+    root = (
+        "named_struct('path', CAST(NULL AS STRING), 'pointer', '', 'ords', CAST(array() AS ARRAY<INT>), "
+        f"'node', try_parse_json({text}))"
+    )
+    brackets = f"length({text}) - length(translate({text}, '{{[', ''))"
+    children = _deeper_leaf([])[1]
+    return (
+        f"CASE WHEN try_parse_json({text}) IS NOT NULL THEN aggregate(sequence(0, {brackets}), array({root}), "
+        f"(__acc, __i) -> flatten(transform(__acc, x -> {children}))) END"
+    )
 
 
 def json_leaves(df: DataFrame, column: str, keys: Sequence[str], max_depth: int = DEFAULT_DEPTH) -> DataFrame:
@@ -79,8 +126,9 @@ def json_leaves(df: DataFrame, column: str, keys: Sequence[str], max_depth: int
 
     ``path`` is the display spelling (``a[0].b``), ``pointer`` an unambiguous one to join
     on, ``ords`` the position at each level (object fields in key order), ``json`` the leaf
-    as JSON text. Empty containers have no leaf. A tree deeper than ``max_depth`` fails the
-    job rather than losing leaves.
+    as JSON text. Empty containers have no leaf. ``max_depth`` levels are unrolled in the plan;
+    what lies deeper is opened row by row, so trees have no depth limit. Null trees have no leaves:
+    ``unreadable_json`` lists texts that did not parse.
     """
     kept = quoted(keys)
     rows = df.filter(F.col(column).isNotNull()).selectExpr(
@@ -93,9 +141,10 @@ def json_leaves(df: DataFrame, column: str, keys: Sequence[str], max_depth: int
     ords = "CASE WHEN pos IS NOT NULL THEN concat(ords, array(pos)) ELSE ords END AS ords"
     for _ in range(max_depth):
         rows = next_level(rows, "node", [*keys, "path", "pointer", "ords"]).selectExpr(*kept, STEP_PATH, pointer, ords, "node")
+    rows = deepened(rows, "node", *_deeper_leaf(kept))
     return (
         rows.selectExpr(*kept, "path", "pointer", "ords", "node", "schema_of_variant(node) AS __t")
-        .filter(only_leaves("node", "__t", "pointer"))
+        .filter(only_leaves("node", "__t"))
         .selectExpr(
             *kept, "coalesce(path, '') AS path", "pointer", "ords", f"{kind_sql('__t')} AS type",
             f"{scalar_sql('node', '__t')} AS value", f"{fragment_sql('node', '__t')} AS json",
@@ -103,6 +152,21 @@ def json_leaves(df: DataFrame, column: str, keys: Sequence[str], max_depth: int
     )
 
 
+def unreadable_json(df: DataFrame, columns: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """(keys, column, error) for every JSON text that does not parse and therefore has no tree.
+
+    A repeated key is an error unless the session keeps the last one (``keep_last_duplicate_key``).
+    """
+    problems = F.array(*[
+        F.when(
+            F.col(c).isNotNull() & F.try_parse_json(c).isNull(),
+            F.struct(F.lit(c).alias("column"), F.concat(F.lit("not JSON, or beyond what a VARIANT holds: "), F.left(c, F.lit(80))).alias("error")),
+        ) for c in columns
+    ])
+    found = F.filter(problems, lambda p: p.isNotNull())
+    return df.select(*keys, F.explode(found).alias("p")).select(*keys, "p.*")
+
+
 def json_leaves_recursive(spark, view: str, column: str, key: str) -> DataFrame:
     """The same leaf paths by a recursive query over ``variant_explode``, for SQL users.
 
@@ -128,14 +192,17 @@ def _quoted(text: Column) -> Column:
 
 
 def assemble_json(
-    nodes: DataFrame, keys: Sequence[str], max_depth: int = DEFAULT_DEPTH, placed: bool = False
+    nodes: DataFrame, keys: Sequence[str], max_depth: int | None = None, placed: bool = False
 ) -> DataFrame:
     """One JSON text per key from (keys, pointer, json) fragments; inverse of the walk.
 
     Levels are closed from the deepest up by grouping on the parent. Rows are placed by key
     once, unless the caller has ``placed`` them already, so the levels need no further
-    shuffle. Object fields come in key order.
+    shuffle. Object fields come in key order. The levels to plan are measured by a pass over the
+    pointers unless ``max_depth`` gives them.
     """
+    if max_depth is None:
+        max_depth = (nodes.agg(F.max(F.size(F.split("pointer", "/")))).first()[0] or 1) - 1
     rows = nodes.select(*keys, "pointer", "json")
     if not placed:
         rows = rows.repartition(*keys)
@@ -169,12 +236,12 @@ def assemble_json(
     return rows.select(*keys, F.when(F.col("pointer") == "", F.col("json")).otherwise(too_deep).alias("json"))
 
 
-def leaves_to_json(leaves: DataFrame, keys: Sequence[str], max_depth: int = DEFAULT_DEPTH) -> DataFrame:
+def leaves_to_json(leaves: DataFrame, keys: Sequence[str], max_depth: int | None = None) -> DataFrame:
     """Leaf rows back to one JSON text per key."""
     return assemble_json(leaves, keys, max_depth)
 
 
-def template_paths(df: DataFrame, column: str, keys: Sequence[str], max_depth: int = 12) -> DataFrame:
+def template_paths(df: DataFrame, column: str, keys: Sequence[str], max_depth: int = DEFAULT_DEPTH) -> DataFrame:
     """Leaf paths of a template, list positions generalised to ``[*]``.
 
     A template is an example tree, or a JSON Schema (an object with ``properties``), whose

@@ -124,9 +124,10 @@ def lookup_with_reason(wanted: DataFrame, docs: DataFrame) -> DataFrame:
 def run_numbers(runs: DataFrame, file: str = "file") -> DataFrame:
     """Number runs by sorted file name.
 
-    Only distinct names are ranked; they are cut by leading characters, so even a very
-    long list of runs does not pass through one task.
+    Only distinct names are sorted, over range partitions, and numbered by partition offsets: no
+    name list, however long or alike in its beginnings, passes through one task.
     """
-    names = runs.select(file).distinct()
-    ranked = skew.row_numbers(names, [], [file], F.left(F.col(file), F.lit(6)), "run_number")
+    names = runs.select(file).distinct().orderBy(file)
+    numbered = names.rdd.zipWithIndex().map(lambda x: (x[0][0], x[1] + 1))
+    ranked = runs.sparkSession.createDataFrame(numbered, names.schema.add("run_number", "long"))
     return runs.join(ranked, file)

@@ -60,57 +60,48 @@ def search_names(rows: DataFrame, q: str) -> DataFrame:
 
 
 def search_content(
-    docs: DataFrame, q: str, dataset: str | None = None, limit: int = 20, salts: int = 256
+    docs: DataFrame, q: str, dataset: str | None = None, limit: int = 20
 ) -> DataFrame:
     """Documents whose name, extraction or text holds the lower-cased query.
 
     ``docs`` has ``id, dataset, file_name, status, extraction, ocr_output``. Every row says
     where it matched and how many documents matched in all; the first ``limit`` by id are
-    kept. The texts are read once: counts and candidates come out of one salted pass, and
-    only ``limit`` rows per salt meet at the end.
+    kept. Hits are not shuffled: the count is a partial aggregate, and each task keeps its
+    first ``limit`` rows. Both passes filter the texts where they are read.
     """
     needle = F.lit(q.lower())
     places = {"filename": "file_name", "extraction": "extraction", "ocr_text": "ocr_output"}
     hits = F.array_compact(F.array(*[F.when(F.contains(F.lower(c), needle), F.lit(n)) for n, c in places.items()]))
     if dataset:
         docs = docs.filter(F.col("dataset") == dataset)
-    matches = (
-        docs.select("id", F.col("file_name").alias("filename"), "dataset", "status", hits.alias("match_in"))
-        .filter(F.size("match_in") > 0)
-        .withColumn("__s", skew.salt("id", parts=salts))
-    )
-    part = W.partitionBy("__s")
-    best = (
-        matches.withColumn("__rn", F.row_number().over(part.orderBy("id")))
-        .withColumn("__n", F.count(F.lit(1)).over(part))
-        .filter(F.col("__rn") <= limit)
-    )
-    total = F.sum(F.when(F.col("__rn") == 1, F.col("__n"))).over(W.partitionBy(F.lit(1)))
-    return (
-        best.withColumn("total_matches", total)
-        .orderBy("id").limit(limit)
-        .select("id", "filename", "dataset", "status", "match_in", "total_matches")
+    matches = docs.select("id", F.col("file_name").alias("filename"), "dataset", "status", hits.alias("match_in")).filter(
+        F.size("match_in") > 0
     )
+    total = matches.agg(F.count(F.lit(1))).scalar()
+    return matches.orderBy("id").limit(limit).withColumn("total_matches", total)
 
 
 def filter_events(events: DataFrame) -> DataFrame:
-    """Blob-created events of the datasets container as (filename, dataset, blob_path).
+    """Blob-created events of the datasets container as (filename, dataset, blob_path, blob_name).
 
-    Files must lie in a folder. Works on batch and streaming frames with
-    ``event_id, event_type, url``.
+    Files must lie in a folder. The place is read from the URL, or from ``subject``, where the frame has
+    it, if the URL gives none. Works on batch and streaming frames with ``event_id, event_type, url``.
     """
-    parts = F.col("p")
+    parts = C.blob_url_parts(F.col("url"))
     segments = F.split(parts["blob_name"], "/")
+    of_url = F.when(
+        F.contains("url", F.lit("/datasets/")) & (parts["container"] == "datasets") & (F.size(segments) >= 2),
+        F.struct(
+            F.element_at(segments, -1).alias("filename"), segments[0].alias("dataset"),
+            F.concat(F.lit("/datasets/"), parts["blob_name"]).alias("blob_path"),
+        ),
+    )
+    place = F.coalesce(of_url, subject_parts(F.col("subject"))) if "subject" in events.columns else of_url
     return (
-        events.filter((F.col("event_type") == BLOB_CREATED) & F.contains("url", F.lit("/datasets/")))
-        .withColumn("p", C.blob_url_parts(F.col("url")))
-        .filter((parts["container"] == "datasets") & (F.size(segments) >= 2))
+        events.filter(F.col("event_type") == BLOB_CREATED).withColumn("p", place).filter(F.col("p").isNotNull())
         .select(
-            *[c for c in events.columns if c != "event_type"],
-            F.element_at(segments, -1).alias("filename"),
-            segments[0].alias("dataset"),
-            F.concat(F.lit("/datasets/"), parts["blob_name"]).alias("blob_path"),
-            parts["blob_name"].alias("blob_name"),
+            *[c for c in events.columns if c != "event_type"], "p.filename", "p.dataset", "p.blob_path",
+            F.substring("p.blob_path", F.lit(len("/datasets/") + 1), F.length("p.blob_path")).alias("blob_name"),
         )
     )
 

@@ -159,7 +159,7 @@ SELECT id, CAST(sum(i) AS DOUBLE) AS n,
   CASE WHEN max(last) = 0 THEN NULL WHEN (max(last) % 3) = 1 THEN '"text"' ELSE '7' END AS mix
 FROM c GROUP BY id""")
 def merge_chunks(spark, sf):
-    merged = CH.merge_chunks(data_chunks(spark, sf), max_depth=2).select("id", F.parse_json("json").alias("v"))
+    merged = CH.merge_chunks(data_chunks(spark, sf)).select("id", F.parse_json("json").alias("v"))
 
     def number(path):
         as_bool = F.try_variant_get("v", path, "boolean").cast("double")
@@ -263,7 +263,7 @@ def align_chunks(spark, sf):
     "SELECT metric, " + ", ".join(f"max(value) FILTER (file = '{f}') AS \"Run {i}\"" for i, f in enumerate(RUN_FILES, 1))
     + " FROM run_view GROUP BY metric"))
 def merge_runs(spark, sf):
-    return J.merge_runs(V.run_view(spark, sf), RUN_FILES)
+    return J.merge_runs(V.run_view(spark, sf))
 
 
 @query("D-07_select_rows", views=("doc_view",), sql="""
@@ -299,4 +299,4 @@ def schema_coverage(spark, sf):
     d = V.doc_view(spark, sf).filter(F.col("extraction").isNotNull())
     template = d.select("id", F.parse_json(F.lit('{"lang":"","total":""}')).alias("v"))
     extracted = d.select("id", F.try_parse_json("extraction").alias("v"))
-    return J.schema_coverage(JT.template_paths(template, "v", ["id"], 2), JT.json_leaves(extracted, "v", ["id"], 2))
+    return J.schema_coverage(JT.template_paths(template, "v", ["id"]), JT.json_leaves(extracted, "v", ["id"]))

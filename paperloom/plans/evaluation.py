@@ -39,7 +39,7 @@ SELECT id, chunk_idx, concat('{"list":[', chunk_idx, ',"a"],"mix":', CASE chunk_
 def leaves_to_json(spark, sf):
     keys = ["id", "chunk_idx"]
     tree = data_chunks(spark, sf).select(*keys, F.try_parse_json("data").alias("v"))
-    return JT.leaves_to_json(JT.json_leaves(tree, "v", keys, 3), keys, 3)
+    return JT.leaves_to_json(JT.json_leaves(tree, "v", keys), keys)
 
 
 # What each way of damaging a response comes to; see response_view.
@@ -105,7 +105,7 @@ def template_paths(spark, sf):
     )
     text = F.when(F.col("p_partkey") % 2 == 0, schema).otherwise(example)
     templates = V.table(spark, sf, "part").select("p_partkey", F.try_parse_json(text).alias("v"))
-    return JT.template_paths(templates, "v", ["p_partkey"], 7)
+    return JT.template_paths(templates, "v", ["p_partkey"])
 
 
 @query("E-01_match_score", views=("gt_leaf",), sql="""
@@ -198,7 +198,7 @@ _SCORED = """scored AS (
 
 @query("E-06_evaluate_json", views=("gt_leaf",), sql=f"WITH {_SCORED} SELECT item, evaluator, path, score FROM scored")
 def evaluate_json(spark, sf):
-    return E.evaluate_json(V.eval_items(spark, sf), ["item"], max_depth=2)
+    return E.evaluate_json(V.eval_items(spark, sf), ["item"])
 
 
 @query("E-06_wide_results", views=("gt_leaf",), sql=f"""
@@ -207,7 +207,7 @@ SELECT item, max(score) FILTER (evaluator = 'CustomStringEvaluator' AND path = '
   max(score) FILTER (evaluator = 'CustomStringEvaluator' AND path = 'Item.Price') AS price,
   avg(score) FILTER (evaluator = 'FuzzStringEvaluator') AS fuzzy_ratio FROM scored GROUP BY item""")
 def wide_results(spark, sf):
-    wide = E.wide_results(E.evaluate_json(V.eval_items(spark, sf), ["item"], max_depth=2), ["item"])
+    wide = E.wide_results(E.evaluate_json(V.eval_items(spark, sf), ["item"]), ["item"])
     value = lambda name: F.try_element_at("results", F.lit(name))
     return wide.select(
         "item", value("CustomStringEvaluator.Item.Description").alias("description"),
@@ -218,8 +218,8 @@ def wide_results(spark, sf):
 def stored_leaves(spark, sf):
     """Ground-truth and actual leaves walked apart, as two tables."""
     items = V.eval_items(spark, sf)
-    gt = JT.json_leaves(items.select("item", F.try_parse_json("ground_truth").alias("v")), "v", ["item"], 2)
-    actual = JT.json_leaves(items.select("item", F.try_parse_json("actual").alias("v")), "v", ["item"], 2)
+    gt = JT.json_leaves(items.select("item", F.try_parse_json("ground_truth").alias("v")), "v", ["item"])
+    actual = JT.json_leaves(items.select("item", F.try_parse_json("actual").alias("v")), "v", ["item"])
     return gt, actual
 
 
@@ -253,7 +253,7 @@ def apply_evaluators(spark, sf):
 @query("A-01_evaluator_ratio", views=("gt_leaf",), sql=f"""
 WITH {_SCORED} SELECT item, evaluator, count(*) AS compared, sum(score) AS total_score, avg(score) AS ratio FROM scored GROUP BY item, evaluator""")
 def evaluator_ratio(spark, sf):
-    return E.evaluator_ratio(E.evaluate_json(V.eval_items(spark, sf), ["item"], max_depth=2), ["item"])
+    return E.evaluator_ratio(E.evaluate_json(V.eval_items(spark, sf), ["item"]), ["item"])
 
 
 @query("A-02_field_average", views=("run_view",), sql="""
@@ -265,5 +265,5 @@ def field_average(spark, sf):
 @query("A-03_run_metrics", views=("gt_leaf",), sql=f"""
 WITH {_SCORED} SELECT evaluator, path, round(avg(score), 9) AS value FROM scored GROUP BY evaluator, path""")
 def run_metrics(spark, sf):
-    scores = E.evaluate_json(V.eval_items(spark, sf), ["item"], max_depth=2)
+    scores = E.evaluate_json(V.eval_items(spark, sf), ["item"])
     return E.run_metrics(scores).withColumn("value", F.round("value", 9))

@@ -181,6 +181,6 @@ def field_diff(spark, sf):
 
     def leaves(column):
         tree = chain.select("correction_id", F.try_parse_json(column).alias("data"))
-        return JT.json_leaves(tree, "data", ["correction_id"], max_depth=2)
+        return JT.json_leaves(tree, "data", ["correction_id"])
 
     return S.field_diff(leaves("original_data"), leaves("corrected_data"), ["correction_id"])

@@ -77,7 +77,7 @@ def eval_jsonl(spark, sf):
     sides = [items.select("item", F.col(c).alias("data")) for c in ("ground_truth", "actual", "eval_schema")]
     SE.write_eval_jsonl(SE.eval_lines(*sides), path)
     back = SE.read_eval_jsonl(spark, path).withColumn("item", F.try_variant_get("record", "$.item", "bigint"))
-    return E.aligned_leaves(back, ["item"], max_depth=2).select("item", "path", "gt", "actual")
+    return E.aligned_leaves(back, ["item"]).select("item", "path", "gt", "actual")
 
 
 @query("S-05_read_eval_runs", views=("run_view",), sql="""
@@ -86,8 +86,8 @@ def read_eval_runs(spark, sf):
     path = shared_dir(spark, "runs")
     metrics = F.map_from_entries(F.collect_list(F.struct("metric", "value")))
     files = V.run_view(spark, sf).groupBy("file").agg(metrics.alias("metrics"))
-    # One file per run, in run order: a range partition each.
-    files.repartitionByRange(7, "file").sortWithinPartitions("file").select("metrics").write.mode("overwrite").json(path)
+    # One file per run, in run order.
+    files.orderBy("file").select("metrics").write.mode("overwrite").option("maxRecordsPerFile", 1).json(path)
     return SE.read_eval_runs(spark, path).select("metric", "value", "run_number")
 
 

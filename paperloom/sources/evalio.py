@@ -41,9 +41,12 @@ def read_eval_jsonl(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_eval_runs(spark: SparkSession, path: str) -> DataFrame:
-    """Metrics of every run file: (file, metric, value, run_number), runs numbered by file name."""
-    runs = (
-        spark.read.schema(_RUN).option("multiLine", "true").option("pathGlobFilter", "*.json").json(path)
-        .select(F.col("_metadata.file_name").alias("file"), F.explode("metrics").alias("metric", "value"))
-    )
-    return run_numbers(runs)
+    """Metrics of every run file: (file, metric, value, run_number), runs numbered by file name.
+
+    A file must be exactly one JSON value; anything else fails the job with the file's name.
+    """
+    name = F.col("_metadata.file_name")
+    texts = spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True).select(name.alias("file"), "value")
+    broken = F.raise_error(F.concat(F.lit("not one JSON value: "), F.col("file"))).cast("string")
+    record = F.from_json(F.when(is_strict_json(F.col("value")), F.col("value")).otherwise(broken), _RUN)
+    return run_numbers(texts.select("file", F.explode(record["metrics"]).alias("metric", "value")))

@@ -31,10 +31,10 @@ def test_equal_paths_have_different_pointers(spark):
     assert len({r.pointer for r in rows}) == 4
 
 
-def test_too_deep_fails_instead_of_losing_leaves(spark):
-    frame = variant_frame(spark, ['{"a":{"b":{"c":1}}}'])
-    with pytest.raises(Exception, match="max_depth"):
-        JT.json_leaves(frame, "v", ["id"], max_depth=2).collect()
+def test_levels_below_the_unrolled_ones_are_opened_too(spark):
+    frame = variant_frame(spark, ['{"a":{"b":{"c":1,"d":[{}, 2]}}}'])
+    rows = JT.json_leaves(frame, "v", ["id"], max_depth=2).collect()
+    assert sorted((r.path, r.value) for r in rows) == [("a.b.c", "1"), ("a.b.d[1]", "2")]
 
 
 def test_recursive_query_gives_the_same_paths(spark):
