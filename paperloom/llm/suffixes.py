@@ -105,8 +105,8 @@ def repeated_windows(texts: list[bytes], order: np.ndarray, length: int = LENGTH
     again[1:] = group[o][1:] == group[o][:-1]
     piece, offset = piece[o][again], (suffix - (ends - sizes)[piece])[o][again]
     out = np.lexsort((offset, piece))
-    cuts = np.searchsorted(piece[out], np.arange(len(texts) + 1))
-    return [offset[out][a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+    piece, offset = piece[out], offset[out]
+    return np.split(offset, np.searchsorted(piece, np.arange(1, len(texts))))
 
 
 def build(texts: list[bytes], cap: int = 255) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
