@@ -120,6 +120,14 @@ def vote(docs: DataFrame, mined: list[tuple[str, float]], id_col: str = "doc_id"
     return rows.mapInArrow(run, f"id {kind}, held_out boolean, votes long, hits array<int>")
 
 
+def _correlation(votes: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    n = max(weight.sum(), 1e-9)
+    mean = votes @ weight / n
+    cov = (votes * weight) @ votes.T / n - np.outer(mean, mean)
+    sd = np.sqrt(np.maximum(np.diag(cov), 1e-6))
+    return cov / np.outer(sd, sd)
+
+
 class LabelModel:
     """Latent class over blocks of voters; ``fit`` on vote patterns with counts, ``posterior`` per pattern."""
 
@@ -152,16 +160,17 @@ class LabelModel:
     def fit(self, patterns: np.ndarray, counts: np.ndarray, known: np.ndarray) -> "LabelModel":
         """``counts`` of rows without a class and ``known[class]`` counts of rows with one, per pattern of votes."""
         votes = np.stack([(patterns >> v) & 1 for v in range(self.voters)]).astype(float)
+        # voters that all but copy each other would be taken for the class itself: one block from the start
+        self.correlation = np.where(np.abs(raw := _correlation(votes, counts + known.sum(0))) > 0.9, raw, 0.0)
+        self._join()
         start = np.clip(votes.mean(0) * 4, 0.02, 0.98)  # votes are toxic or absent: more of them, likelier
         posterior = self._em(self._codes(patterns), counts, known, start)
-        self.accuracy = [(float(r[1][1]), float(r[0][1])) for r in self.rates]  # vote rates under toxic and under clean
         for soft in (counts * posterior + known[1], counts * (1 - posterior) + known[0]):
-            n = max(soft.sum(), 1e-9)
-            mean = votes @ soft / n
-            cov = (votes * soft) @ votes.T / n - np.outer(mean, mean)
-            sd = np.sqrt(np.maximum(np.diag(cov), 1e-6))
-            corr = cov / np.outer(sd, sd)
+            corr = _correlation(votes, soft)
             self.correlation = np.where(np.abs(corr) > np.abs(self.correlation), corr, self.correlation)
+        self.accuracy = [(float(votes[v] @ (counts * posterior + known[1]) / max((counts * posterior + known[1]).sum(), 1e-9)),
+                          float(votes[v] @ (counts * (1 - posterior) + known[0]) / max((counts * (1 - posterior) + known[0]).sum(), 1e-9)))
+                         for v in range(self.voters)]  # vote rates under toxic and under clean
         self._join()
         self._em(self._codes(patterns), counts, known, posterior)
         return self
