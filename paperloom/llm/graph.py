@@ -11,15 +11,10 @@ def components(links: DataFrame) -> DataFrame:
     """``node, label`` for every node of ``links`` (``a, b``): label is the smallest node it can reach.
 
     Each step joins a node's neighbours with their minimum, found by a partial aggregation; a node with very many
-    links is split by the join, not gathered. Steps repeat until nothing moves, in about the logarithm of the longest path.
+    links is split by the join, not gathered. Steps repeat until only stars are left, in about the logarithm of the longest path.
     """
     edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    before = None
-    while True:
-        mark = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
-        if mark == before:
-            break
-        before = mark
+    while not _is_forest_of_stars(edges):
         newer = written(_small_star(_large_star(edges)), "links")
         forget(edges)
         edges = newer
@@ -27,6 +22,14 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots)
 
 
+def _is_forest_of_stars(edges: DataFrame) -> bool:
+    """Whether every node has one smaller neighbour at most, and none that has one is a neighbour of larger ones."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    seen = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return seen.where("up > 1 OR (up > 0 AND down > 0)").isEmpty()
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     lowest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))

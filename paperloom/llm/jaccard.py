@@ -36,7 +36,7 @@ from paperloom.llm.store import forget, written
 
 SHINGLE = 5
 #: Unconnected classes that may share a signature before it is allocated 0.
-FREQUENT = 40
+FREQUENT = 60
 #: Signatures per bucket, and classes compared with one center in one task.
 BUCKET_ROWS = 400_000
 CENTER_ROWS = 5_000
@@ -125,7 +125,7 @@ def subsets(tokens: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarr
             continue
         top = int(TOPS[band])
         most = top // 4  # at 0.8, |r| <= 1.25 |s|: H <= (|r| + |s|) / 9 <= |s| / 4
-        segments = most + 3 + most // 16  # some more than H + 1, for the empty and the frequent
+        segments = most + 3 + most // 8  # some more than H + 1, for the empty and the frequent
         h = min(n // 4, most) if band == own else min((n + top) // 9, most)
         where = (_mix(tokens + np.uint64(band + 1)) % np.uint64(segments)).astype(np.int64)
         order = np.argsort(where, kind="stable")
@@ -144,13 +144,18 @@ def signatures(tokens: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-def short(tokens: np.ndarray, unused: set[int] = frozenset()) -> bool:
-    """Whether some band leaves fewer than H + 1 signatures after the empty and the ``unused`` ones."""
+def margin(tokens: np.ndarray, unused: set[int] = frozenset()) -> int:
+    """Signatures that a partner shares at least, in the worst band: what is neither empty nor ``unused``, less H."""
+    found = []
     for band, h, segs, starts, mixed in subsets(tokens):
         keys = _key(np.add.reduceat(mixed, starts), segs, band)
-        if len(keys) - (sum(int(k) in unused for k in keys.astype(np.int64).tolist()) if unused else 0) < h + 1:
-            return True
-    return False
+        found.append(len(keys) - h - (sum(k in unused for k in keys.astype(np.int64).tolist()) if unused else 0))
+    return min(found)
+
+
+def short(tokens: np.ndarray, unused: set[int] = frozenset()) -> bool:
+    """Whether some band leaves fewer than H + 1 signatures after the empty and the ``unused`` ones."""
+    return margin(tokens, unused) < 1
 
 
 def neighbourhoods(tokens: np.ndarray) -> tuple[list[int], list[int], list[int], list[bool]]:
@@ -177,7 +182,7 @@ def _arrow(rows: dict[str, pa.Array]) -> pa.RecordBatch:
 
 
 def _classes(rows: DataFrame) -> DataFrame:
-    """``id, h, n, cls, short, sketch`` from ``id, h, text``."""
+    """``id, h, n, cls, margin, sketch`` from ``id, h, text``."""
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,12 +192,12 @@ def _classes(rows: DataFrame) -> DataFrame:
                 s = shingles(text)
                 n.append(len(s))
                 cls.append(set_hash(s))
-                few.append(len(s) > 0 and short(s))
+                few.append(margin(s) if len(s) else 0)
                 bits.append(sketch(s))
             yield _arrow({"id": batch.column(0), "h": batch.column(1), "n": pa.array(n, pa.int64()), "cls": pa.array(cls, pa.int64()),
-                          "short": pa.array(few, pa.bool_()), "sketch": pa.array(bits, pa.binary())})
+                          "margin": pa.array(few, pa.int32()), "sketch": pa.array(bits, pa.binary())})
 
-    return rows.mapInArrow(run, f"id {kind}, h string, n long, cls long, short boolean, sketch binary")
+    return rows.mapInArrow(run, f"id {kind}, h string, n long, cls long, margin int, sketch binary")
 
 
 def _hot_signatures(rows: DataFrame, limit: int) -> set[int]:
@@ -351,15 +356,23 @@ def _labelled(groups: DataFrame, labels: DataFrame) -> DataFrame:
     return groups.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
 
 
-def _cross(keyed: DataFrame, key: str, limit: int | None) -> tuple[DataFrame, DataFrame]:
-    """Pairs of classes with different labels that share a key, and the keys with more than ``limit`` labels, left out."""
+def _cross(keyed: DataFrame, key: str, limit: int | None, margins: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Pairs of classes with different labels that share a key, and the keys with more than ``limit`` labels, left out.
+
+    With ``margins`` (``cls, margin``) a pair must share as many keys as each side's margin, less its keys left out.
+    """
     spread = keyed.groupBy(key).agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.approx_count_distinct("label", 0.02).alias("about"))
-    mixed = spread.where("lo <> hi")
-    used = mixed if limit is None else mixed.where(F.col("about") <= limit)
-    left = keyed.join(used.select(key), key).select(key, F.col("cls").alias("a"), F.col("label").alias("la"))
-    right = keyed.join(used.select(key), key).select(key, F.col("cls").alias("b"), F.col("label").alias("lb"))
-    pairs = left.join(right, key).where("a < b AND la <> lb").select("a", "b").distinct()
-    return pairs, mixed.where(F.col("about") > limit).select(key) if limit is not None else mixed.limit(0).select(key)
+    mixed = written(keyed.join(spread.where("lo <> hi").select(key, "about"), key), "near-mixed")
+    often = F.col("about") > (F.lit(limit) if limit is not None else F.col("about"))
+    used = mixed.where(~often).withColumn("least", F.lit(1))
+    if margins is not None:
+        own = mixed.groupBy("cls").agg(F.sum(often.cast("int")).alias("lost")).join(margins, "cls")
+        used = used.drop("least").join(own.select("cls", (F.col("margin") - F.col("lost")).alias("least")), "cls")
+    left = used.select(key, F.col("cls").alias("a"), F.col("label").alias("la"), F.col("least").alias("na"))
+    right = used.select(key, F.col("cls").alias("b"), F.col("label").alias("lb"), F.col("least").alias("nb"))
+    met = left.join(right, key).where("a < b AND la <> lb").groupBy("a", "b").agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.greatest("na", "nb")).alias("least"))
+    return met.where("n >= least").select("a", "b"), mixed.where(often).select(key).distinct()
 
 
 class _Join:
@@ -370,7 +383,7 @@ class _Join:
         self.rows = docs.select(F.col(id_col).alias("id"), F.md5(text).alias("h"), text.alias("text"))
         self.table = written(_classes(self.rows), "near-classes")
         own = F.struct("id", "h")
-        classes = self.table.where("n > 0").groupBy("cls").agg(F.min(own).alias("r"), F.first("n").alias("n"), F.first("sketch").alias("body"), F.first("short").alias("short"))
+        classes = self.table.where("n > 0").groupBy("cls").agg(F.min(own).alias("r"), F.first("n").alias("n"), F.first("sketch").alias("body"), F.first("margin").alias("margin"))
         self.classes = written(classes, "near-sketches")
         self.links: DataFrame | None = None
         self.labels: DataFrame | None = None
@@ -380,16 +393,20 @@ class _Join:
         return _sets(self.rows, needed).select("cls", F.lit(0).alias("n"), F.col("tokens").alias("body"))
 
     def verify(self, pairs: DataFrame) -> None:
-        """Add the links among ``pairs`` and label the components anew."""
+        """Add the links among ``pairs`` and, if there are any, label the components anew."""
+        pairs = written(pairs, "near-pairs")
         near = _compare(pairs, self.classes.select("cls", "n", "body"), exact=False)
+        forget(pairs)
+        found = near
         if not near.isEmpty():
             sets = self.sets(near.select(F.col("a").alias("cls")).union(near.select("b")))
             found = _compare(near, sets, exact=True)
-            self.links = found if self.links is None else self.links.unionByName(found)
             forget(sets)
-        if self.labels is None or not near.isEmpty():
-            none = near.limit(0)
-            self.labels = written(components(self.links if self.links is not None else none), "near-labels")
+        some = not found.isEmpty()
+        if some:
+            self.links = found if self.links is None else self.links.unionByName(found)
+        if some or self.labels is None:
+            self.labels = written(components(found if self.links is None else self.links), "near-labels")
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -403,10 +420,11 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     hot = _hot_signatures(join.rows, BUCKET_ROWS // 4)
     groups = written(_groups(join.rows, buckets, hot), "near-groups")
 
-    # one round of stars, then whatever is still apart
-    centers = groups.groupBy("sig").agg(F.min("cls").alias("a"))
-    join.verify(groups.join(centers, "sig").where("cls <> a").select("a", F.col("cls").alias("b")).distinct())
-    pairs, frequent = _cross(_labelled(groups, join.labels), "sig", FREQUENT)
+    # stars from two classes of each group, then whatever is still apart
+    centers = groups.groupBy("sig").agg(F.array(F.min("cls"), F.max("cls")).alias("ends"))
+    stars = groups.join(centers, "sig").select(F.explode("ends").alias("a"), F.col("cls").alias("b"))
+    join.verify(stars.where("a <> b").distinct())
+    pairs, frequent = _cross(_labelled(groups, join.labels), "sig", FREQUENT, join.classes.select("cls", "margin"))
     unused = written(frequent, "near-frequent")
     join.verify(pairs)
 
@@ -423,7 +441,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def _uncovered(join: _Join, groups: DataFrame, unused: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``cls`` of the classes that have too few usable signatures, and the sets of all that might; both written."""
     lost = groups.join(unused, "sig").groupBy("cls").agg(F.collect_set("sig").alias("lost"))  # at most a class's own segments
-    few = join.classes.where("short").select("cls")
+    few = join.classes.where("margin < 1").select("cls")
     sets = join.sets(lost.select("cls").union(few)).select("cls", F.col("body").alias("tokens"))
 
     def run(batches):
