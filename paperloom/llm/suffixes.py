@@ -192,10 +192,11 @@ def _anchors(texts: DataFrame, buckets: int, parts: int) -> DataFrame:
 
         for batch in batches:
             for cls, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                text = text.encode()
                 if cls in sent or len(text) < LENGTH:
                     continue
                 sent.add(cls)
-                found = np.concatenate([p[3] for p in pieces(text.encode())] or [np.zeros(0, np.uint64)])
+                found = np.concatenate([p[3] for p in pieces(text)] or [np.zeros(0, np.uint64)])
                 anchor, counts = np.unique(found, return_counts=True)
                 if not len(anchor):
                     continue

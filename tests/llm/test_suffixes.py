@@ -90,3 +90,12 @@ def test_long_texts_are_cut_into_chunks(monkeypatch):
     parts = {w for o, s, e, _ in suffixes.pieces(text) for a, z in zip(s, e) for w in range(int(a) + o, int(z) + o + 1)}
     suffixes._powers.cache_clear()
     assert windows == parts == set(range(len(text) - suffixes.LENGTH + 1))
+
+
+def test_texts_short_in_characters_and_long_in_bytes(spark):
+    r = random.Random(8)
+    chinese = ["".join(chr(0x4E00 + r.randrange(5000)) for _ in range(60)) for _ in range(3)]
+    russian = "".join(chr(0x430 + r.randrange(32)) for _ in range(90))
+    longer = ["".join(chr(0x4E00 + r.randrange(5000)) for _ in range(150)) + t for t in (chinese[1], "")]
+    rows = [chinese[0], "before " + chinese[0] + " after " + prose(1, 40), longer[0], chinese[1], russian, russian + prose(2, 40), chinese[2][:20] * 2 + chinese[2][:20]]
+    run(spark, list(enumerate(rows)))
