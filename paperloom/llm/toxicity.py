@@ -1,12 +1,13 @@
 """Toxicity by weak supervision: many voters, a generative label model, a linear classifier on its posteriors.
 
-1. Words and word beginnings that set toxic rows apart are mined from a bounded share of the labelled rows, by smoothed
-   log odds. They are dealt to lexicon voters by kind and hash; pattern voters look at shouting and at repeated hits.
+1. Words and word beginnings that set toxic rows apart are mined from all labelled rows that may be learned
+   from, by smoothed log odds. They are dealt to lexicon voters by kind and hash; pattern voters look at shouting and at repeated hits.
 2. One pass over all texts gives each row its votes (a bit per voter) and its mined features; votes are counted by pattern.
 3. The label model is fitted on those counts. A latent class explains the votes; EM estimates the class
    balance and each voter's rates under both classes, with the class of labelled rows that may be learned from held fixed. Voters that stay correlated given the class are joined to blocks with a rate for
    each of their joint votes, and EM runs again, so that voters which repeat one another do not count twice.
-4. A logistic regression on the features learns the posteriors of a bounded sample; its linear form is the score.
+4. A logistic regression on the features learns the posteriors of a bounded sample; its linear form is the score. Features
+   too rare for the sample keep the log odds of the full counts where these are strong enough to vote.
 
 Counts, votes and scores cover every row. The vocabulary, the 2^voters patterns and the sample have fixed bounds; only they
 reach the driver or are sent with tasks.
@@ -24,8 +25,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from paperloom.llm.store import written
 
-#: Labelled rows that the vocabulary is mined from and rows that the classifier is fitted on, at most (expected).
-LABELLED_ROWS = 40_000
+#: Rows that the classifier is fitted on, at most (expected).
 FIT_ROWS = 20_000
 #: Features kept, and how many labelled rows a feature must occur in.
 FEATURES = 2_000
@@ -190,17 +190,22 @@ class LabelModel:
         return self._posterior(self._codes(patterns))
 
 
-def fit_linear(hits: list[list[int]], target: np.ndarray, weight: np.ndarray, width: int, rounds: int = 400, ridge: float = 1e-4) -> np.ndarray:
-    """Logistic regression on indicator features by accelerated gradient steps; the last coefficient is the intercept."""
+def fit_linear(hits: list[list[int]], target: np.ndarray, weight: np.ndarray, width: int, rounds: int = 400, ridge: float = 1e-4,
+               prior: np.ndarray | None = None) -> np.ndarray:
+    """Logistic regression on indicator features by accelerated gradient steps; the last coefficient is the intercept.
+
+    Coefficients are drawn to ``prior``, zero by default, and start there.
+    """
     at = np.repeat(np.arange(len(hits)), [len(h) for h in hits])
     column = np.concatenate([np.asarray(h, np.int64) for h in hits]) if len(at) else np.zeros(0, np.int64)
     weight = weight / weight.sum()
-    w, ahead, old = np.zeros(width + 1), np.zeros(width + 1), 1.0
+    prior = np.zeros(width + 1) if prior is None else prior
+    w, ahead, old = prior.copy(), prior.copy(), 1.0
     widest = max(1.0, float(np.mean([len(h) for h in hits])) + 1 if hits else 1.0)
     for _ in range(rounds):
         z = ahead[-1] + np.bincount(at, ahead[column], len(hits))
         error = weight * (1 / (1 + np.exp(-z)) - target)
-        slope = np.append(np.bincount(column, error[at], width), error.sum()) + ridge * ahead
+        slope = np.append(np.bincount(column, error[at], width), error.sum()) + ridge * (ahead - prior)
         new, t = ahead - 4.0 / widest * slope, (1 + np.sqrt(1 + 4 * old * old)) / 2
         ahead, w, old = new + (old - 1) / t * (new - w), new, t
     return w
@@ -215,16 +220,15 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     """
     taught = labels.where(F.col("toxic").isNotNull() & ~held_out(id_col)).select(id_col, F.col("toxic").cast("int").alias("toxic"))
     known = taught.agg(F.count(F.lit(1)).alias("n"), F.avg("toxic").alias("share")).first()
-    spot = F.conv(F.substring(F.md5(F.col(id_col).cast("string")), 1, 8), 16, 10).cast("double") / 2.0**32
-    some = taught.where(spot < LABELLED_ROWS / max(known["n"], 1)).dropDuplicates([id_col])
-    labelled = docs.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(some), id_col)
+    once = taught.groupBy(id_col).agg(F.max("toxic").alias("toxic"))
+    labelled = docs.select(id_col, F.col(text_col).alias("text")).join(once, id_col)
     mined = mine_features(labelled) if known["n"] else []
     if not mined:
         share = float(known["share"] or 0.0)
         return docs.select(id_col, held_out(id_col).alias("held_out"), F.lit(share).alias("score"), F.lit(int(share >= 0.5)).alias("predicted"))
     votes = written(vote(docs, mined, id_col, text_col), "votes")
     learned = votes.where("NOT held_out")
-    classes = taught.groupBy(F.col(id_col).alias("id")).agg(F.max("toxic").alias("toxic"))
+    classes = once.withColumnRenamed(id_col, "id")
     counted = (  # at most 2^VOTERS rows
         learned.join(classes, "id", "left").groupBy("votes").agg(
             *[F.sum(F.when(c, 1).otherwise(0)).alias(n) for n, c in
@@ -243,7 +247,9 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     seen = Counter(r["votes"] for r in rows)
     total = dict(zip(patterns.tolist(), counts.tolist()))
     target = model.posterior(np.array([r["votes"] for r in rows], np.int64))
-    weights = fit_linear([r["hits"] for r in rows], target, np.array([total[r["votes"]] / seen[r["votes"]] for r in rows]), len(mined))
+    # what the sample does not meet keeps its odds, so that rare toxic words still count
+    prior = np.array([*(odds if odds >= STRONG else 0.0 for _, odds in mined), 0.0])
+    weights = fit_linear([r["hits"] for r in rows], target, np.array([total[r["votes"]] / seen[r["votes"]] for r in rows]), len(mined), prior=prior)
     linear = weights.tolist()
     kept = {i: w for i, w in enumerate(linear[:-1])}
     table = F.array(*[F.lit(kept[i]) for i in range(len(mined))])

@@ -74,3 +74,17 @@ def test_empty_texts_score_low_and_long_ones_count_whole(spark):
     df = docs(spark, rows + [(9001, ""), (9002, None), (9003, far)])
     out = {r["doc_id"]: r["score"] for r in toxicity.toxicity_scores(df, spark.createDataFrame(labels, "doc_id long, toxic int")).where(F.col("doc_id") > 9000).collect()}
     assert out[9001] == out[9002] < 0.5 < out[9003]
+
+
+def test_rare_words_are_mined_from_all_labelled_rows(spark, monkeypatch):
+    """A word in few toxic rows counts however many rows are labelled and however few the classifier is fitted on."""
+    monkeypatch.setattr(toxicity, "LABELLED_ROWS", 400, raising=False)
+    monkeypatch.setattr(toxicity, "FIT_ROWS", 400)
+    rows, labels = corpus(3000)
+    rare = [i for i in range(5000, 5030)]
+    rows += [(i, prose(i, 30) + " zorgling") for i in rare]
+    labels += [(i, 1) for i in rare]
+    out = {r["doc_id"]: r for r in toxicity.toxicity_scores(docs(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    assert any(out[i]["held_out"] for i in rare) and all(out[i]["predicted"] for i in rare)
+    truth = dict(labels)
+    assert sum(r["predicted"] == truth[i] for i, r in out.items() if r["held_out"]) >= 0.97 * sum(r["held_out"] for r in out.values())
