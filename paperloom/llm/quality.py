@@ -1,10 +1,12 @@
 """Quality rules: simple limits, then robust multivariate outliers per language and source, without Python functions.
 
-Per document a few ratios are transformed to a vector. Per (language, source) the minimum covariance determinant
-estimate is found by concentration steps: start at coordinate-wise medians and quartile ranges, then repeatedly take mean and
-covariance of the ``SHARE`` of rows with the smallest Mahalanobis distance. The covariance gets a small diagonal floor,
-because ratios such as symbols per word are zero in most clean documents and the plain determinant would vanish. Rows
-far outside the final ellipsoid are rejected.
+Per document a few ratios are transformed to a vector. Per (language, source) the minimum covariance determinant estimate
+is found by concentration steps from several starts side by side: medians with quartile ranges, the shortest half of each
+coordinate, the lower and the upper half of each, and directions from the shortest halves. A step takes mean and covariance
+of the ``(n + p + 1) / 2`` rows with the smallest Mahalanobis distance; a start ends when its determinant falls no more, or
+joins another that has come to the same one, and the smallest determinant wins. So nearly half of a group may be junk. The
+covariance gets a small diagonal floor, because ratios such as symbols per word are zero in most clean documents and the
+plain determinant would vanish. Rows far outside the final ellipsoid are rejected.
 
 Only vectors and group figures are shuffled. Each step is one partial aggregation of counts over distance bins and one of
 moments, so a group with a third of all rows costs no more than others. Distances need one triangular product per row;
@@ -25,13 +27,15 @@ SYMBOLS = "#*$%&|<>"
 PUNCTUATION = "!?.,;:"
 #: Coordinates of the vector, and the standard deviation that each is given at least.
 FLOORS = {"word_length": 0.08, "symbols": 0.05, "upper": 0.05, "marks": 0.06, "dup_lines": 0.12, "repeats": 0.12}
-SHARE = 0.75
-STEPS = 4
+#: Steps after which a start is taken as it is; a few are enough as a rule.
+MOST_STEPS = 40
 #: Rows that a group needs for an estimate of its own; below, its language's is used, then that of all rows.
 LEAST_ROWS = 200
 #: Squared distances above this times the median one, scaled to a chi-square law, are outliers.
 CUT = 110.0
-_BINS = 8  # per doubling of the squared distance
+#: A start goes on while the logarithm of its determinant falls by more; bins make differences below that chance.
+FALL = 0.01
+_BINS = 32  # per doubling of the squared distance
 _P = len(FLOORS)
 
 
@@ -104,14 +108,14 @@ def _sum(terms: list[Column]) -> Column:
 def _factor(cov: list[list[Column]], names: list[str], df: DataFrame) -> DataFrame:
     """Add ``factor``: the rows of the inverse of the Cholesky factor of ``cov``, lower triangle, as one array."""
     at = lambda a, i, j: F.col(f"__{a}{i}_{j}")
+    for j in range(_P):
+        left = {i: cov[i][j] - (_sum([at("l", i, k) * at("l", j, k) for k in range(j)]) if j else F.lit(0.0)) for i in range(j, _P)}
+        df = df.withColumn(f"__l{j}_{j}", F.sqrt(F.greatest(left[j], F.lit(1e-12))))
+        if j + 1 < _P:
+            df = df.withColumns({f"__l{i}_{j}": left[i] / at("l", j, j) for i in range(j + 1, _P)})
     for i in range(_P):
-        for j in range(i + 1):
-            v = cov[i][j] - (_sum([at("l", i, k) * at("l", j, k) for k in range(j)]) if j else F.lit(0.0))
-            df = df.withColumn(f"__l{i}_{j}", F.sqrt(F.greatest(v, F.lit(1e-12))) if i == j else v / at("l", j, j))
-    for i in range(_P):
-        for j in range(i + 1):
-            v = F.lit(1.0) if i == j else -_sum([at("l", i, k) * at("m", k, j) for k in range(j, i)])
-            df = df.withColumn(f"__m{i}_{j}", v / at("l", i, i))
+        df = df.withColumns({f"__m{i}_{j}": (F.lit(1.0) if i == j else -_sum([at("l", i, k) * at("m", k, j) for k in range(j, i)]))
+                             / at("l", i, i) for j in range(i + 1)})
     return df.select(*names, F.array(*[at("m", i, j) for i in range(_P) for j in range(i + 1)]).alias("factor"))
 
 
@@ -126,50 +130,101 @@ def _bin(d: Column) -> Column:
     return F.floor(F.log2(F.greatest(d, F.lit(1e-9))) * _BINS).cast("int")
 
 
-def _quantile_bin(rows: DataFrame, share: float) -> DataFrame:
-    """``g, cut``: the distance bin of each group in which its share of rows is reached."""
-    counts = rows.groupBy("g", "bin").agg(F.count(F.lit(1)).alias("n"))
-    upto, every = W.partitionBy("g").orderBy("bin"), W.partitionBy("g")
+def _quantile_bin(rows: DataFrame, share: float, more: float = 0.0) -> DataFrame:
+    """``g, run, cut``: the distance bin of each group and run in which ``share`` of its rows and ``more`` is reached."""
+    counts = rows.groupBy("g", "run", "bin").agg(F.count(F.lit(1)).alias("n"))
+    upto, every = W.partitionBy("g", "run").orderBy("bin"), W.partitionBy("g", "run")
     return (
         counts.withColumns({"upto": F.sum("n").over(upto), "total": F.sum("n").over(every)})
-        .where(F.col("upto") >= F.col("total") * share)
-        .groupBy("g").agg(F.min("bin").alias("cut"))
+        .where(F.col("upto") >= F.least(F.floor(F.col("total") * share + more), F.col("total")))
+        .groupBy("g", "run").agg(F.min("bin").alias("cut"))
     )
 
 
-def _estimates(vectors: DataFrame) -> DataFrame:
-    """``g, mean, factor, scale`` per group of ``g, v``; a written table. ``v`` counts for every group it is given for."""
+def _log_det() -> Column:
+    """Logarithm of the determinant of the covariance behind ``factor``."""
+    return -2 * _sum([F.log(F.col("factor")[i * (i + 3) // 2]) for i in range(_P)])
+
+
+def _starts(vectors: DataFrame) -> DataFrame:
+    """``g, run, mean, factor, det``: where the concentration steps begin, ``det`` infinite; a written table."""
     floors = list(FLOORS.values())
-    quartiles = vectors.groupBy("g").agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.percentile_approx(F.col("v")[i], [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i in range(_P)],
+    grid = [k / 40 for k in range(41)]
+    quantiles = vectors.groupBy("g").agg(
+        F.count(F.lit(1)).alias("n"), *[F.percentile_approx(F.col("v")[i], grid, 1000).alias(f"q{i}") for i in range(_P)],
     ).where(F.col("n") >= LEAST_ROWS)
-    start = quartiles.withColumn("mean", F.array(*[F.col(f"q{i}")[1] for i in range(_P)]))
-    spread = [(F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349 for i in range(_P)]
-    cov = [[spread[i] ** 2 + F.lit(floors[i] ** 2) if i == j else F.lit(0.0) for j in range(i + 1)] for i in range(_P)]
-    params = written(_factor(cov, ["g", "mean"], start), "mcd")
-    for step in range(STEPS):
-        far = vectors.join(small(params), "g").withColumn("bin", _bin(_distance()))
-        cut = written(_quantile_bin(far, SHARE), "mcd-cut")
-        near = far.join(small(cut), "g").where("bin <= cut")
-        v = lambda i: F.col("v")[i] - F.col("mean")[i]  # noqa: E731  around the last mean, against cancellation
-        moments = near.groupBy("g", "mean").agg(
-            F.count(F.lit(1)).cast("double").alias("n"),
-            *[F.sum(v(i)).alias(f"s{i}") for i in range(_P)],
-            *[F.sum(v(i) * v(j)).alias(f"s{i}_{j}") for i in range(_P) for j in range(i + 1)],
-        )
-        m = [F.col(f"s{i}") / F.col("n") for i in range(_P)]
-        cov = [[F.col(f"s{i}_{j}") / F.col("n") - m[i] * m[j] + F.lit(floors[i] ** 2 if i == j else 0.0)
-                for j in range(i + 1)] for i in range(_P)]
-        moved = moments.withColumn("old", F.col("mean")).withColumn(
-            "mean", F.array(*[F.col("old")[i] + m[i] for i in range(_P)]))
-        newer = written(_factor(cov, ["g", "mean"], moved), "mcd")
-        forget(params, cut)
-        params = newer
-    # bins of the median distance, to bring the subset's covariance to the scale of all rows
+    q = lambda i, k: F.col(f"q{i}")[k]
+    half = [F.expr(f"array_min(transform(sequence(0, 20), k -> struct(q{i}[k + 20] - q{i}[k] as width, q{i}[k + 10] as mid)))") for i in range(_P)]
+    kinds = [
+        [(q(i, 20), (q(i, 30) - q(i, 10)) / 1.349) for i in range(_P)],
+        [(half[i]["mid"], half[i]["width"] / 1.349) for i in range(_P)],
+        [(q(i, 10), (q(i, 20) - q(i, 0)) / 1.349) for i in range(_P)],
+        [(q(i, 30), (q(i, 40) - q(i, 20)) / 1.349) for i in range(_P)],
+    ]
+    runs = F.array(*[F.struct(F.lit(r).alias("run"), F.array(*[m for m, _ in kind]).alias("mean"),
+                              F.array(*[F.sqrt(s * s + floors[i] ** 2) for i, (_, s) in enumerate(kind)]).alias("sd"))
+                     for r, kind in enumerate(kinds)])
+    plain = written(quantiles.select("g", F.explode(runs).alias("r")).select("g", "r.*"), "mcd-plain")
+    diagonal = [[F.col("sd")[i] ** 2 if i == j else F.lit(0.0) for j in range(i + 1)] for i in range(_P)]
+    # directions from the shortest halves: rows at length one, so that far ones weigh no more than near ones
+    z = [(F.col("v")[i] - F.col("mean")[i]) / F.col("sd")[i] for i in range(_P)]
+    signs = vectors.join(small(plain.where("run = 1")), "g").withColumn("z", F.array(*z))
+    signs = signs.withColumn("l", F.greatest(_sum([F.col("z")[i] * F.col("z")[i] for i in range(_P)]), F.lit(1e-9)))
+    shape = signs.groupBy("g", "mean", "sd").agg(
+        *[F.avg(F.col("z")[i] * F.col("z")[j] / F.col("l")).alias(f"s{i}_{j}") for i in range(_P) for j in range(i + 1)])
+    cov = [[(F.col(f"s{i}_{j}") + F.lit(0.01 if i == j else 0.0)) * F.col("sd")[i] * F.col("sd")[j] for j in range(i + 1)] for i in range(_P)]
+    all_runs = _factor(diagonal, ["g", "run", "mean"], plain).unionByName(
+        _factor(cov, ["g", "run", "mean"], shape.withColumn("run", F.lit(len(kinds)))))
+    started = written(all_runs.withColumn("det", F.lit(float("inf"))), "mcd")
+    forget(plain)
+    return started
+
+
+def _concentrated(vectors: DataFrame, params: DataFrame, join: bool = False) -> DataFrame:
+    """``params`` after one step, and whether the determinant fell, as ``going``; a written table.
+
+    With ``join`` the runs of a group that have come to one determinant go on as one.
+    """
+    floors = list(FLOORS.values())
     far = vectors.join(small(params), "g").withColumn("bin", _bin(_distance()))
+    cut = written(_quantile_bin(far, 0.5, (_P + 1) / 2), "mcd-cut")
+    near = far.join(small(cut), ["g", "run"]).where("bin <= cut")
+    v = lambda i: F.col("v")[i] - F.col("mean")[i]  # noqa: E731  around the last mean, against cancellation
+    moments = near.groupBy("g", "run", "mean", "det").agg(
+        F.count(F.lit(1)).cast("double").alias("n"),
+        *[F.sum(v(i)).alias(f"s{i}") for i in range(_P)],
+        *[F.sum(v(i) * v(j)).alias(f"s{i}_{j}") for i in range(_P) for j in range(i + 1)],
+    )
+    m = [F.col(f"s{i}") / F.col("n") for i in range(_P)]
+    cov = [[F.col(f"s{i}_{j}") / F.col("n") - m[i] * m[j] + F.lit(floors[i] ** 2 if i == j else 0.0)
+            for j in range(i + 1)] for i in range(_P)]
+    moved = moments.withColumn("old", F.col("mean")).withColumn("mean", F.array(*[F.col("old")[i] + m[i] for i in range(_P)]))
+    moved = _factor(cov, ["g", "run", "mean", "det"], moved).withColumn("before", F.col("det")).withColumn("det", _log_det())
+    moved = moved.withColumn("going", F.col("det") < F.col("before") - FALL).drop("before")
+    if join:
+        first = W.partitionBy("g", F.round("det", 2)).orderBy("going", "run")
+        moved = moved.withColumn("k", F.row_number().over(first)).where("k = 1").drop("k")
+    newer = written(moved, "mcd")
+    forget(cut)
+    return newer
+
+
+def _estimates(vectors: DataFrame) -> DataFrame:
+    """``g, mean, factor, scale`` per group of ``g, v``; a written table. ``v`` counts for every group it is given for."""
+    params, steps = _starts(vectors), []
+    for step in range(1, MOST_STEPS + 1):
+        steps.append(_concentrated(vectors, params, step % 3 == 0))
+        params = steps[-1].where("going").drop("going")
+        if params.isEmpty():
+            break
+    best = W.partitionBy("g").orderBy("det", "run")
+    runs = reduce(DataFrame.unionByName, [s if s is steps[-1] else s.where("NOT going") for s in steps])
+    final = written(runs.withColumn("k", F.row_number().over(best)).where("k = 1").drop("k", "det", "going"), "mcd-best")
+    forget(*steps)
+    # bins of the median distance, to bring the covariance of the nearer half to the scale of all rows
+    far = vectors.join(small(final), "g").withColumn("bin", _bin(_distance()))
     median = _quantile_bin(far, 0.5).withColumn("scale", F.greatest(F.pow(F.lit(2.0), (F.col("cut") + 1) / _BINS) / chi_median(_P), F.lit(1.0)))
-    return written(params.join(median.select("g", "scale"), "g"), "mcd-final")
+    return written(final.drop("run").join(median.select("g", "scale"), "g"), "mcd-final")
 
 
 def chi_median(p: int) -> float:
@@ -200,10 +255,19 @@ def judge(
         "quality",
     )
     vectors = table.where("v IS NOT NULL").select("v", F.explode("levels").alias("g"))
-    final = _estimates(vectors)
+    final = _estimates(vectors.join(small(_judging(table)), "g", "left_semi"))
     return _verdicts(table, final)
 
 
+def _judging(table: DataFrame) -> DataFrame:
+    """``g``: the groups that some row is judged by, the first of its levels with enough rows; a written table."""
+    sizes = written(table.where("v IS NOT NULL").groupBy("levels").agg(F.count(F.lit(1)).alias("n")), "quality-sizes")
+    level = sizes.select("levels", "n", F.posexplode("levels").alias("k", "g"))
+    enough = level.groupBy("g").agg(F.sum("n").alias("all")).where(F.col("all") >= LEAST_ROWS)
+    first = level.join(enough, "g").groupBy("levels").agg(F.min_by("g", "k").alias("g"))
+    return written(first.select("g").distinct(), "quality-judging")
+
+
 def _verdicts(table: DataFrame, final: DataFrame) -> DataFrame:
     groups = small(final)
     rows = table

@@ -56,3 +56,21 @@ def test_hashes_that_lie_are_recounted(spark):
     plan = rows._jdf.queryExecution().toString()
     assert "__lied" in plan
     assert {r[0]: r[1] for r in rows.select("doc_id", "__stats.n_repeat_words").collect()} == {i: statistics(t)[4] for i, t in enumerate(texts)}
+
+
+def test_junk_of_nearly_half_a_group_is_rejected(spark):
+    """Symbol junk as in the given documents."""
+    r = random.Random(7)
+    centre, spread = [1.75, 0.02, 0.15, 0.35, 0.05, 0.1], [0.05, 0.03, 0.04, 0.05, 0.05, 0.08]
+    rows = []
+    for share in (0.0, 0.3, 0.4, 0.45):
+        for i in range(3000):
+            v = [r.gauss(m, s) for m, s in zip(centre, spread)]
+            junk = i < share * 3000
+            if junk:
+                v[0], v[1] = r.gauss(2.23, 0.05), r.gauss(1.73, 0.05)
+            rows.append((str(share), junk, v))
+    vectors = spark.createDataFrame(rows, "g string, junk boolean, v array<double>")
+    final = quality._estimates(vectors.select("g", "v"))
+    judged = vectors.join(final, "g").select("junk", (quality._distance() / F.col("scale") > quality.CUT).alias("out"))
+    assert judged.where("junk != out").count() == 0
