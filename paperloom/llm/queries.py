@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from paperloom.llm import exact, jaccard, mixing, pieces, quality, quotes, shards, suffixes, toxicity, warc
+from paperloom.llm import exact, jaccard, mixing, pieces, quality, quotes, shards, simhash, suffixes, toxicity, warc
 from paperloom.llm.store import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -135,3 +135,8 @@ def op8(spark, sf_dir):
 @query("op5_repeats")
 def op5(spark, sf_dir):
     return suffixes.repeated_spans(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("spans")
+
+
+@query("op13_simhash")
+def op13(spark, sf_dir):
+    return simhash.near_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
