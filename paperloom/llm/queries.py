@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from paperloom.llm import exact, jaccard, mixing, pieces, quality, quotes, shards, simhash, suffixes, toxicity, warc
+from paperloom.llm import balltree, exact, jaccard, mixing, pieces, quality, quotes, shards, simhash, structure, suffixes, toxicity, warc
 from paperloom.llm.store import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -140,3 +140,52 @@ def op5(spark, sf_dir):
 @query("op13_simhash")
 def op13(spark, sf_dir):
     return simhash.near_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Conversations with faults put in by a hash of conversation and turn; nulls become one space, but for ids and turns."""
+    space = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    case = F.crc32(F.concat(space("conv_id"), F.lit(":"), space("turn")).cast("binary")) % 20
+    text = F.when(case == 1, "").when(case == 2, F.translate(space("text"), ".!?", "")).otherwise(space("text"))
+    times = F.array_repeat(F.lit(0), F.when(case == 0, 0).when(case == 3, 2).otherwise(1))
+    return conversations.select(
+        "conv_id", "turn", F.when(case == 4, "user").otherwise(space("role")).alias("role"), text.alias("text"), F.explode(times).alias("copy")).drop("copy")
+
+
+def repaired_conversations(conversations: DataFrame) -> DataFrame:
+    """Every conversation with what was found, the repair's cost and edits, and a digest of the repaired rows."""
+    summary, repaired = structure.repair(damaged(conversations.select("conv_id", "turn", "role", "text")))
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    own = summary.withColumnRenamed("conv_id", "c").join(structure.digests(repaired).withColumnRenamed("conv_id", "d"), F.col("c").eqNullSafe(F.col("d")), "left")
+    return conversations.select("conv_id").distinct().join(own, F.col("conv_id").eqNullSafe(F.col("c")), "left").select(
+        "conv_id", *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in counts), F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
+@query("op11_structure")
+def op11(spark, sf_dir):
+    return repaired_conversations(table(spark, sf_dir, "conversations"))
+
+
+@query(
+    "op12_ranked_search",
+    """
+WITH d AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                           '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM documents),
+q AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                            '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM d GROUP BY ALL),
+n AS (SELECT doc_id, count(*) AS n FROM d GROUP BY ALL),
+a AS (SELECT count(*) AS docs, sum(n)::BIGINT AS len FROM n),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, a GROUP BY term),
+v AS (SELECT doc_id, term, (1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // len)) AS v FROM tf JOIN n USING (doc_id), a),
+qw AS (SELECT item_id, term, count(*) * any_value(w) AS w FROM q JOIN w USING (term) GROUP BY ALL),
+s AS (SELECT item_id, doc_id, sum(w * v)::BIGINT AS score FROM qw JOIN v USING (term) GROUP BY ALL HAVING sum(w * v) > 0)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
+FROM s QUALIFY rank <= 20""",
+)
+def op12(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return balltree.search(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
