@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from paperloom.functions.columns import is_true, non_empty
 from paperloom.operators.chunks import range_key
+from paperloom.sources.journal import Journal
 
 STAGES = ["ocr", "extraction", "evaluation", "summary"]
 
@@ -100,32 +101,51 @@ def provider(name: str) -> Callable[[str], str]:
         raise ValueError(f"unknown provider {name!r}; known: {sorted(_PROVIDERS)}") from None
 
 
-def run_stage(work: DataFrame, fn: Callable[[str], str], parallel: int, payload: str = "payload") -> DataFrame:
+_ANSWER = T.StructType([
+    T.StructField("output", T.StringType()), T.StructField("error", T.StringType()), T.StructField("seconds", T.DoubleType()),
+])
+
+
+def answer(fn: Callable[[str], str], value: str) -> tuple[str | None, str | None, float]:
+    """``(output, error, seconds)`` of one call."""
+    began = time.perf_counter()
+    try:
+        return fn(value), None, time.perf_counter() - began
+    except Exception as e:  # noqa: BLE001 - any failure of the user's function is data
+        return None, f"{type(e).__name__}: {e}", time.perf_counter() - began
+
+
+def run_stage(
+    work: DataFrame, fn: Callable[[str], str], parallel: int, payload: str = "payload", journal: Journal | None = None,
+    key: Sequence[str] = ("id", "chunk_idx", "stage"),
+) -> DataFrame:
     """Call ``fn`` on each row's payload; add ``output, error, seconds``.
 
     ``parallel`` tasks make one call at a time each. A failing call becomes a row with its
-    error, never a failed task, since retrying a task would repeat calls already paid for.
+    error, never a failed task, since retrying a task would repeat calls already paid for. With a ``journal`` no call is
+    paid for twice: an answer is stored as it comes, under its ``key`` columns and payload, and whatever is stored is
+    taken from there, by a second action, a retried task or a later run.
     """
-    schema = T.StructType([
-        *work.schema.fields,
-        T.StructField("output", T.StringType()),
-        T.StructField("error", T.StringType()),
-        T.StructField("seconds", T.DoubleType()),
-    ])
-
-    def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    schema = T.StructType([*work.schema.fields, *_ANSWER.fields])
+    if journal is None:
+        ask = lambda _, value: answer(fn, value)
+        rows, calls = work.repartition(parallel), None
+    else:
+        calls = "__call"
+        named = work.withColumn(calls, journal.call([c for c in key if c in work.columns], payload))
+        known = journal.answers()
+        stored = named.join(known, calls).select(*work.columns, *_ANSWER.fieldNames())
+        rows = named.join(known.select(calls), calls, "left_anti").repartition(parallel, calls)
+        ask = lambda call, value: journal.once(call, lambda: answer(fn, value))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            results = []
-            for value in batch[payload]:
-                began = time.perf_counter()
-                try:
-                    results.append((fn(value), None, time.perf_counter() - began))
-                except Exception as e:  # noqa: BLE001 - any failure of the user's function is data
-                    results.append((None, f"{type(e).__name__}: {e}", time.perf_counter() - began))
-            yield batch.assign(**dict(zip(("output", "error", "seconds"), map(list, zip(*results)))) if results else {
-                "output": [], "error": [], "seconds": []})
-
-    return work.repartition(parallel).mapInPandas(call, schema)
+            results = [ask(call, value) for call, value in zip(batch[calls] if calls else batch[payload], batch[payload])]
+            columns = dict(zip(_ANSWER.fieldNames(), map(list, zip(*results)))) if results else {c: [] for c in _ANSWER.fieldNames()}
+            yield batch.drop(columns=calls or []).assign(**columns)
+
+    done = rows.mapInPandas(run, schema)
+    return done if journal is None else stored.unionByName(done)
 
 
 def assemble_documents(results: DataFrame, chunk_size: Column | int = 10) -> DataFrame:

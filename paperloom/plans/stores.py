@@ -19,6 +19,8 @@ from paperloom.session import shared_dir
 from paperloom.sources import configs as SC
 from paperloom.sources import documents as SD
 from paperloom.sources import evalio as SE
+from paperloom.sources.journal import Journal
+from paperloom.sources.snapshots import SnapshotTable
 from paperloom.streaming import events as TE
 from paperloom.streaming import sinks as TS
 from paperloom.streaming import state as TT
@@ -136,6 +138,23 @@ def upsert(spark, sf):
     return SD.upsert(target, updates_of(spark, sf))
 
 
+@query("S-07_stored_upsert", views=("doc_view",), sql=_UPSERTED)
+def stored_upsert(spark, sf):
+    table = SnapshotTable(spark, shared_dir(spark, "documents"))
+    table.create(V.doc_view(spark, sf).select("id", "dataset", "num_pages"))
+    table.upsert(updates_of(spark, sf), ["version"])
+    return table.read()
+
+
+@query("S-08_stored_delete", views=("doc_view",), sql="SELECT id, dataset FROM doc_view WHERE NOT has_error")
+def stored_delete(spark, sf):
+    d = V.doc_view(spark, sf)
+    table = SnapshotTable(spark, shared_dir(spark, "documents"))
+    table.create(d.select("id", "dataset"))
+    table.delete(d.filter("has_error").select("id"))
+    return table.read()
+
+
 @query("S-08_delete_by_ids", views=("doc_view",), sql="SELECT id, dataset FROM doc_view WHERE NOT has_error")
 def delete_by_ids(spark, sf):
     d = V.doc_view(spark, sf)
@@ -275,16 +294,18 @@ def document_state(spark, sf):
 
 @query("T-03_document_state_stream", sql=_STATE)
 def document_state_stream(spark, sf):
-    log = shared_dir(spark, "states")
-    states = TT.document_state(step_updates(V.table_stream(spark, sf, "events")))
-    TS.upsert_stream(states, log, shared_dir(spark, "cp"), order=["updated_at"], output_mode="update").awaitTermination()
-    return TS.read_upserts(spark, log, order=["updated_at"]).select(_STATE_COLUMNS)
+    table = shared_dir(spark, "states")
+    TT.state_stream(step_updates(V.table_stream(spark, sf, "events")), table, shared_dir(spark, "cp")).awaitTermination()
+    return TT.read_states(spark, table).select(_STATE_COLUMNS)
 
 
-@query("T-04_stuck_documents", sql=f"""
+_STUCK = f"""
 WITH states AS ({_STATE}), last AS (SELECT CAST(user_id AS VARCHAR) AS id, max(ts) AS updated_at FROM events GROUP BY 1)
 SELECT s.id, strftime(updated_at, '%Y-%m-%d %H:%M:%S') AS updated_at FROM states s JOIN last l ON l.id = s.id
-WHERE file_landed AND NOT processing_completed AND updated_at < (SELECT max(ts) FROM events) - INTERVAL '6 hours'""")
+WHERE file_landed AND NOT processing_completed AND updated_at < (SELECT max(ts) FROM events) - INTERVAL '6 hours'"""
+
+
+@query("T-04_stuck_documents", sql=_STUCK)
 def stuck_documents(spark, sf):
     events = V.table(spark, sf, "events")
     now = events.agg(F.max("ts")).scalar()
@@ -292,6 +313,15 @@ def stuck_documents(spark, sf):
     return stuck.withColumn("updated_at", F.date_format("updated_at", SECOND))
 
 
+@query("T-04_stuck_stream", sql=_STUCK)
+def stuck_stream(spark, sf):
+    """All updates are one batch here; what is stuck then is what the batch form finds at the newest time."""
+    updates = step_updates(V.table_stream(spark, sf, "events")).withColumn("event_time", F.col("event_time").cast("timestamp"))
+    stuck = TT.stuck_stream(updates, "6 hours", "0 seconds")
+    out = TS.run_to_files(stuck, shared_dir(spark, "out"), shared_dir(spark, "cp"))
+    return out.withColumn("updated_at", F.date_format("updated_at", SECOND))
+
+
 @query("T-05_timeline_stream", views=("status_view",), sql="""
 SELECT strftime(request_timestamp, '%Y-%m-%d') AS date, count(*) AS n, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed
 FROM status_view WHERE request_timestamp + INTERVAL '3 days' <= (SELECT max(request_timestamp) FROM doc_view) GROUP BY 1""")
@@ -358,6 +388,18 @@ def run_stage(spark, sf):
     return M.run_stage(work, M.provider("UPPER"), 4).select("id", "chunk_idx", "output", "error")
 
 
+@query("M-02_resumed_stage", views=("doc_view",), sql="""
+SELECT id, CASE WHEN doc_id % 7 <> 3 THEN upper(id) END AS output, CASE WHEN doc_id % 7 = 3 THEN 'ValueError: no answer' END AS error FROM doc_view""")
+def resumed_stage(spark, sf):
+    """Half the documents are answered by a first run; the second finds those in the journal and asks for the rest."""
+    bad = F.when(F.col("doc_id") % 7 == 3, F.lit("bad ")).otherwise(F.lit(""))
+    work = V.doc_view(spark, sf).select("doc_id", "id", F.concat(bad, "id").alias("payload"))
+    journal = Journal(spark, shared_dir(spark, "journal"))
+    M.run_stage(work.filter(F.col("doc_id") % 2 == 0), _fake_model, 4, journal=journal, key=["id"]).write.format("noop").mode("overwrite").save()
+    journal.fold(spark)
+    return M.run_stage(work, _fake_model, 4, journal=journal, key=["id"]).select("id", "output", "error")
+
+
 @query("M-03_build_prompts", views=("chunk_view",), sql="""
 WITH w AS (SELECT id, chunk_idx, chunk_idx % 4 IN (0, 1) AND trim(chunk_text) <> '' AS t, chunk_idx % 4 IN (0, 2) AS i, chunk_text, s.stage FROM chunk_view, (VALUES ('extraction'), ('evaluation'), ('summary')) s(stage))
 SELECT id, chunk_idx, stage, CASE WHEN t AND i THEN 'text+images' WHEN t THEN 'text' WHEN i THEN 'images' END AS modality,

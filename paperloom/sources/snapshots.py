@@ -221,9 +221,11 @@ class SnapshotTable:
         return self._commit(version + 1, state | {"manifest": manifest})
 
     def _write(self, rows: DataFrame, seq: int = 0) -> DataFrame:
-        """Write rows by bucket and key, and list the files. The range partitioning splits a bucket of any size."""
+        """Write rows by bucket and list the files. A base is spread by ranges of bucket and key, which splits a bucket of any
+        size; a delta goes by bucket, so that its rows are computed once."""
         folder = f"data/{uuid.uuid4().hex}"
-        spread = rows.withColumn("__bucket", self._bucket()).repartitionByRange("__bucket", *self.key).sortWithinPartitions("__bucket", *self.key)
+        placed = rows.withColumn("__bucket", self._bucket())
+        spread = placed.repartition("__bucket") if seq else placed.repartitionByRange("__bucket", *self.key).sortWithinPartitions("__bucket", *self.key)
         spread.write.option("maxRecordsPerFile", FILE_ROWS).partitionBy("__bucket").parquet(f"{self.path}/{folder}")
         name = F.concat(F.lit("data/"), F.substring_index("__file", "/data/", -1))
         reader = self.spark.read.schema("__bucket int").option("basePath", f"{self.path}/{folder}")

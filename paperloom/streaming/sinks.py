@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from paperloom.operators.ordering import latest_by
+from paperloom.sources.snapshots import SnapshotTable
 
 
 def timeline_stream(rows: DataFrame, lateness: str = "2 days") -> DataFrame:
@@ -25,17 +25,20 @@ def timeline_stream(rows: DataFrame, lateness: str = "2 days") -> DataFrame:
 
 
 def upsert_stream(
-    updates: DataFrame, log_dir: str, checkpoint: str, key: str = "id", order: Sequence[str] = ("version",),
-    output_mode: str = "append",
+    updates: DataFrame, path: str, checkpoint: str, key: str | Sequence[str] = "id", order: Sequence[str] = ("version",),
+    output_mode: str = "append", compact_after: int = 16,
 ) -> StreamingQuery:
-    """Keep the newest row per key of each micro-batch in a log of batches.
+    """Upsert each micro-batch into the stored table at ``path``: of rows with one key the greatest by ``order`` stands.
 
-    A batch writes to its own folder and overwrites it when it is run again, so a lost
-    executor or a restart leaves no duplicates. Read the table with ``read_upserts``.
+    A batch becomes a delta, once, however often it runs; every ``compact_after`` deltas are folded into the table,
+    so reading costs the table and a few deltas, not the history. Read it with ``read_upserts``.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        latest_by(batch, [key], list(order)).write.mode("overwrite").parquet(f"{log_dir}/batch_id={batch_id}")
+        table = SnapshotTable(batch.sparkSession, path, key, order)
+        table.append(batch, checkpoint, batch_id)
+        if table.open_deltas() >= compact_after:
+            table.compact()
 
     return (
         updates.writeStream.foreachBatch(write).outputMode(output_mode)
@@ -43,10 +46,9 @@ def upsert_stream(
     )
 
 
-def read_upserts(spark: SparkSession, log_dir: str, key: str = "id", order: Sequence[str] = ("version",)) -> DataFrame:
-    """Newest row per key over all batches: by ``order`` first, then by batch."""
-    log = spark.read.option("basePath", log_dir).parquet(log_dir)
-    return latest_by(log, [key], [*order, "batch_id"]).drop("batch_id")
+def read_upserts(spark: SparkSession, path: str, key: str | Sequence[str] = "id", order: Sequence[str] = ("version",)) -> DataFrame:
+    """The newest row per key of a table kept by ``upsert_stream``."""
+    return SnapshotTable(spark, path, key, order).read()
 
 
 def run_to_files(stream: DataFrame, out_dir: str, checkpoint: str) -> DataFrame:

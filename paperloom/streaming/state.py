@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from paperloom.schemas import SKIP_FLAGS, STEP_FLAGS
+from paperloom.streaming.sinks import read_upserts, upsert_stream
 
 RESET = "reset"
+# The state store that keyed state with timers needs.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def document_state(updates: DataFrame) -> DataFrame:
@@ -48,35 +51,76 @@ def stuck_documents(states: DataFrame, now: Column, timeout: str) -> DataFrame:
     ).select("id", "updated_at")
 
 
+def state_stream(updates: DataFrame, path: str, checkpoint: str, compact_after: int = 16) -> StreamingQuery:
+    """Keep the document states of a stream of updates in a stored table; ``read_states`` returns them.
+
+    A state is what the newest update of each step says, whatever the order of arrival, so a batch only has to
+    store its updates by document and step: the stream itself holds no state that could grow, a document of any age may
+    be updated late, and a batch that runs again changes nothing.
+    """
+    steps = updates.select("id", F.coalesce("step", F.lit("")).alias("step"), "event_time", "value", "seconds")
+    return upsert_stream(steps, path, checkpoint, ["id", "step"], ["event_time", "value", "seconds"], compact_after=compact_after)
+
+
+def read_states(spark: SparkSession, path: str) -> DataFrame:
+    """Current document states of a table kept by ``state_stream``."""
+    return document_state(read_upserts(spark, path, ["id", "step"], ["event_time", "value", "seconds"]))
+
+
+class _Watch(StatefulProcessor):
+    """Watches one document: what of landing, completion and reset is newest, and one timer."""
+
+    def __init__(self, wait_ms: int):
+        self.wait_ms = wait_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("seen", "landed array<long>, done array<long>, reset long, last long, timer long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        landed, done, reset, last, timer = self.state.get() or (None, None, None, None, None)
+        for batch in rows:
+            newest = {step: max(zip(part["event_us"], part["on"])) for step, part in batch.groupby("step", observed=True)}
+            landed = _later(landed, newest.get("file_landed"))
+            done = _later(done, newest.get("processing_completed"))
+            reset = max(reset or 0, int(newest[RESET][0])) if RESET in newest else reset
+            last = max(last or 0, int(batch["event_us"].max()))
+        current = lambda x: x is not None and (reset is None or x[0] >= reset) and bool(x[1])
+        waiting = (current(landed) or reset is not None) and not current(done)
+        # what is finished is remembered until the watermark has passed: no update before it can still come
+        due = last // 1000 + (self.wait_ms if waiting else 0) + 1
+        if timer != due:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(due)
+        self.state.update((landed, done, reset, last, due if waiting else -due))
+        yield from ()
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        *_, last, timer = self.state.get()
+        self.state.clear()
+        if timer > 0:
+            yield pd.DataFrame({"id": [key[0]], "updated_us": [last]})
+
+    def close(self) -> None:
+        pass
+
+
+def _later(old: Sequence[int] | None, new: tuple | None) -> list[int] | None:
+    return max((list(map(int, x)) for x in (old, new) if x is not None), default=None)
+
+
 def stuck_stream(updates: DataFrame, timeout: str, watermark: str = "10 minutes") -> DataFrame:
-    """Stream of documents that went ``timeout`` of event time without finishing.
+    """Stream of documents that went ``timeout`` of event time without finishing, by the rule of ``stuck_documents``.
 
-    State is one timestamp per open document and is dropped when it finishes or is reported.
+    State is a few numbers per open document. It goes when the document is reported, or once it is finished and the watermark
+    has passed its last update; a document that lands or is reset later is watched anew. Times travel as microseconds, so
+    the session's time zone plays no part.
     """
-    wait_ms = int(pd.Timedelta(timeout).total_seconds() * 1000)
-
-    def watch(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            (last,) = state.get
-            state.remove()
-            yield pd.DataFrame({"id": [key[0]], "updated_at": [pd.Timestamp(last, unit="ms")]})
-            return
-        finished = False
-        last = state.get[0] if state.exists else 0
-        for batch in batches:
-            last = max(last, int(batch["event_time"].max().timestamp() * 1000))
-            finished |= bool(((batch["step"] == "processing_completed") & batch["value"]).any())
-        if finished:
-            if state.exists:
-                state.remove()
-            return
-        state.update((last,))
-        state.setTimeoutTimestamp(max(last + wait_ms, state.getCurrentWatermarkMs() + 1))
-
-    return (
-        updates.withWatermark("event_time", watermark)
-        .groupBy("id")
-        .applyInPandasWithState(
-            watch, "id string, updated_at timestamp", "last long", "append", GroupStateTimeout.EventTimeTimeout
-        )
-    )
+    spark = updates.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    wait_ms = int(pd.Timedelta(timeout.lower()).total_seconds() * 1000)
+    steps = updates.withWatermark("event_time", watermark).select(
+        "id", "step", "event_time", F.unix_micros("event_time").alias("event_us"), F.coalesce(F.col("value"), F.lit(False)).cast("int").alias("on"))
+    stuck = steps.groupBy("id").transformWithStateInPandas(_Watch(wait_ms), "id string, updated_us long", "append", "eventTime")
+    return stuck.select("id", F.timestamp_micros("updated_us").alias("updated_at"))

@@ -37,7 +37,7 @@ def stream(spark, path, schema):
 def dirs(tmp_path):
     def make(name):
         d = tmp_path / name
-        d.mkdir()
+        d.mkdir(exist_ok=True)
         return d
     return make
 
@@ -61,11 +61,17 @@ def test_state_does_not_depend_on_arrival(spark, dirs):
     assert want["d"]["file_landed"] and not want["d"]["ocr_completed"]
     random.Random(1).shuffle(rows)
     src = write_batches(dirs("parts"), [rows[i::4] for i in range(4)])
-    log = str(dirs("log"))
-    states = TT.document_state(stream(spark, src, UPDATE))
-    TS.upsert_stream(states, log, str(dirs("cp")), order=["updated_at"], output_mode="update").awaitTermination()
-    got = {r.id: r.asDict() for r in TS.read_upserts(spark, log, order=["updated_at"]).collect()}
-    assert got == want
+    table, cp = str(dirs("table")), str(dirs("cp"))
+    query = TT.state_stream(stream(spark, src, UPDATE), table, cp, compact_after=3)
+    query.awaitTermination()
+    assert not any(p["stateOperators"] for p in query.recentProgress)  # nothing grows in the stream
+    assert {r.id: r.asDict() for r in TT.read_states(spark, table).collect()} == want
+    late = lifecycle("d", 6)[1:2] + [{"id": "a", "step": "reset", "event_time": at(99), "value": True, "seconds": None}]
+    write_batches(dirs("parts2"), [late])
+    TT.state_stream(stream(spark, str(dirs("parts2").parent / "parts2"), UPDATE), table, str(dirs("cp2"))).awaitTermination()
+    got = {r.id: r.asDict() for r in TT.read_states(spark, table).collect()}
+    assert got["a"]["file_landed"] and not got["a"]["processing_completed"] and not got["d"]["ocr_completed"]
+    assert {k: got[k] for k in "bc"} == {k: want[k] for k in "bc"}
 
 
 def test_duplicates_are_dropped_across_batches(spark, dirs):
@@ -82,14 +88,37 @@ def test_duplicates_are_dropped_across_batches(spark, dirs):
     assert sorted(r.event_id for r in out.collect()) == ["e1", "e2", "e3"]
 
 
-def test_stuck_documents_time_out(spark, dirs):
+@pytest.fixture(params=["UTC", "America/New_York"])
+def zone(spark, request):
+    """Results must not depend on the session's time zone."""
+    spark.conf.set("spark.sql.session.timeZone", request.param)
+    yield request.param
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_stuck_documents_time_out(spark, dirs, zone):
     quiet = lifecycle("stuck", 2) + lifecycle("done", 6)
+    # an update of a finished document that arrives late, but not behind the watermark, opens nothing
+    late_step = [{"id": "done", "step": "file_landed", "event_time": at(3), "value": True, "seconds": 0.0}]
+    again = lifecycle("redo", 6, reset_at=7)
     later = [{"id": "late", "step": "file_landed", "event_time": at(500), "value": True, "seconds": 0.0}]
     last = [{"id": "late", "step": "processing_completed", "event_time": at(501), "value": True, "seconds": 0.0}]
-    src = write_batches(dirs("in"), [quiet, later, last])
+    src = write_batches(dirs("in"), [quiet, late_step + again, later, last])
     stuck = TT.stuck_stream(stream(spark, src, UPDATE), "60 minutes")
-    out = TS.run_to_files(stuck, str(dirs("out")), str(dirs("cp"))).collect()
-    assert [r.id for r in out] == ["stuck"]
+    out = TS.run_to_files(stuck, str(dirs("out")), str(dirs("cp")))
+    got = {r.id: r.t for r in out.select("id", F.unix_micros("updated_at").alias("t")).collect()}
+    assert got == {"stuck": int((START + timedelta(minutes=1)).timestamp() * 1e6), "redo": int((START + timedelta(minutes=7)).timestamp() * 1e6)}
+
+
+def test_stuck_stream_drops_its_state(spark, dirs):
+    batches = [[{"id": f"d{b}-{i}", "step": s, "event_time": at(b * 100 + j), "value": True, "seconds": 0.0}
+                for i in range(20) for j, s in enumerate(("file_landed", "processing_completed"))] for b in range(4)]
+    query = (
+        TT.stuck_stream(stream(spark, write_batches(dirs("in"), batches), UPDATE), "60 minutes", "1 minute")
+        .writeStream.format("noop").outputMode("append").option("checkpointLocation", str(dirs("cp"))).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) <= 40
 
 
 def test_stuck_batch(spark, dirs):
@@ -120,3 +149,19 @@ def test_rerun_of_upserts_adds_nothing(spark, dirs):
     for _ in range(2):
         TS.upsert_stream(stream(spark, src, "id string, v int, version int"), log, cp).awaitTermination()
     assert {(r.id, r.v) for r in TS.read_upserts(spark, log).collect()} == {("a", 2), ("b", 3)}
+
+
+def test_upserts_are_folded_and_a_batch_counts_once(spark, dirs):
+    from paperloom.sources.snapshots import SnapshotTable
+
+    batches = [[{"id": f"k{i % 5}", "v": b, "version": b} for i in range(b + 1)] for b in range(7)]
+    src, log, cp = write_batches(dirs("in"), batches), str(dirs("log")), str(dirs("cp"))
+    TS.upsert_stream(stream(spark, src, "id string, v int, version int"), log, cp, compact_after=3).awaitTermination()
+    table = SnapshotTable(spark, log)
+    assert table.open_deltas() == 1  # two folds of three, one batch since
+    want = {(f"k{i}", 6) for i in range(5)}
+    assert {(r.id, r.v) for r in TS.read_upserts(spark, log).collect()} == want
+    version = table.version()
+    assert table.append(spark.createDataFrame([("k0", 99, 99)], "id string, v int, version int"), cp, 6) == version
+    table.compact()
+    assert {(r.id, r.v) for r in TS.read_upserts(spark, log).collect()} == want and table.open_deltas() == 0
