@@ -13,11 +13,16 @@ def register_sql_functions(spark: SparkSession) -> None:
     """Make ``json_leaf_rows(text)`` and ``window_percent(a, b)`` callable from SQL.
 
     ``json_leaf_rows`` is a table function over built-in expressions: rows (path, json) of one JSON text, none
-    for a text that is not JSON. For DataFrames ``json_leaves`` and ``fuzzy_score`` do the same.
+    for a text that is not JSON. ``json_leaf_list`` gives the same as one array: for large texts, explode it, since a lateral
+    join carries the text along with each row. For DataFrames ``json_leaves`` and ``fuzzy_score`` do the same.
     """
     leaf = fragment_sql("n.node", "schema_of_variant(n.node)")
     spark.sql(f"""
         CREATE OR REPLACE TEMPORARY FUNCTION json_leaf_rows(doc STRING) RETURNS TABLE(path STRING, json STRING)
         RETURN SELECT coalesce(n.path, ''), {leaf} FROM (SELECT explode({leaf_walk_sql("doc")}) AS n)
         WHERE NOT (schema_of_variant(n.node) LIKE 'OBJECT%' OR schema_of_variant(n.node) LIKE 'ARRAY%')""")
+    is_leaf = "NOT (schema_of_variant(n.node) LIKE 'OBJECT%' OR schema_of_variant(n.node) LIKE 'ARRAY%')"
+    spark.sql(f"""
+        CREATE OR REPLACE TEMPORARY FUNCTION json_leaf_list(doc STRING) RETURNS ARRAY<STRUCT<path: STRING, json: STRING>>
+        RETURN transform(filter({leaf_walk_sql("doc")}, n -> {is_leaf}), n -> named_struct('path', coalesce(n.path, ''), 'json', {leaf}))""")
     spark.udf.register("window_percent", scoring.window_percent)

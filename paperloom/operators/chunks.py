@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from paperloom.functions.columns import python_float_sql
 from paperloom.functions.json_text import fragment_sql, kind_sql
-from paperloom.operators.jsontree import json_leaves, LIST, OBJECT, assemble_json, is_container, opened_sql, pointer_key, quoted
+from paperloom.operators.jsontree import LIST, OBJECT, assemble_json, is_container, opened_sql, pointer_key, quoted
 from paperloom.operators.predicates import chunk_size_guard
 
 MAX_IMAGES = 10
@@ -147,28 +149,57 @@ _SUM = f"""CASE WHEN forall(parts, p -> p.whole)
   ELSE {python_float_sql('aggregate(parts, CAST(0 AS DOUBLE), (s, p) -> s + p.num)')} END"""
 
 
-def merge_chunks(chunks: DataFrame, keys: Sequence[str] = ("id",), max_depth: int | None = None) -> DataFrame:
+# Levels of a merged record that are merged by built-in expressions, each grouping a field's occurrences.
+MERGE_LEVELS = 5
+
+
+def merged_value(values: list) -> object:
+    """Fold of a field's values in chunk order, for whatever lies below the levels of the plan; the rule of ``merge_chunks``."""
+    whole, *rest = values
+    for new in rest:
+        numbers = isinstance(whole, (int, float)) and isinstance(new, (int, float))
+        if numbers or isinstance(whole, list) and isinstance(new, list):
+            whole = whole + new
+        elif isinstance(whole, str) and isinstance(new, str):
+            whole = " ".join(f"{whole} {new}".split())
+        elif isinstance(whole, dict) and isinstance(new, dict):
+            both = [k for k in new if k in whole]
+            whole = whole | new | {k: merged_value([whole[k], new[k]]) for k in both}
+        else:
+            whole = new or whole
+    return whole
+
+
+@F.pandas_udf(T.StringType())
+def merged_json(parts: pd.Series) -> pd.Series:
+    """JSON text of the merged values of each list of JSON texts; null for null."""
+    def merge(texts):
+        if texts is None:
+            return None
+        return json.dumps(merged_value([json.loads(t) for t in texts]), ensure_ascii=False, separators=(",", ":"), sort_keys=True)
+
+    return parts.map(merge)
+
+
+def merge_chunks(chunks: DataFrame, keys: Sequence[str] = ("id",), levels: int = MERGE_LEVELS) -> DataFrame:
     """Deep merge of each document's chunk results in chunk order: (keys, json).
 
     ``chunks`` has ``chunk_idx`` and ``data`` (JSON text or VARIANT). Lists concatenate,
     texts join with single blanks, numbers add, objects merge field by field; otherwise a
-    newer truthy value wins. Each level groups a field's occurrences by (document, path).
-    The merged record is one row, so rows are placed by document once and no level shuffles
-    again. The levels to plan are measured by a pass over the data unless ``max_depth`` gives them.
+    newer truthy value wins. Each of ``levels`` levels groups a field's occurrences by (document, path); objects that still
+    occur several times below them are merged in one pass each, whatever their depth.
+    The merged record is one row, so rows are placed by document once and no level shuffles again.
     """
     keys = list(keys)
     kept = quoted(keys)
     data = F.col("data")
     if dict(chunks.dtypes)["data"] != "variant":
         data = F.try_parse_json(data)
-    if max_depth is None:
-        walked = json_leaves(chunks.select(data.alias("v")), "v", [])
-        max_depth = walked.agg(F.max(F.size("ords"))).first()[0] or 0
     rows = chunks.repartition(*keys).select(
         *keys, F.lit("").alias("pointer"), F.lit(False).alias("done"), F.col("chunk_idx").cast("int").alias("chunk_idx"),
         data.alias("node"), F.lit(None).cast("string").alias("json"),
     ).filter(F.col("node").isNotNull())
-    for depth in range(max_depth + 1):
+    for depth in range(levels + 1):
         rows = rows.selectExpr(*kept, "pointer", "done", "chunk_idx", "node", "json", "schema_of_variant(node) AS __t")
         part = F.expr(_PART).alias("part")
         in_order = F.array_sort(F.collect_list(part), lambda p, q: p["chunk_idx"] - q["chunk_idx"])
@@ -188,9 +219,9 @@ def merge_chunks(chunks: DataFrame, keys: Sequence[str] = ("id",), max_depth: in
             .when(F.col("kind") == "number", F.expr(_SUM))
         )
         resolved = run.select(*keys, "pointer", "parts", value.alias("value"))
-        if depth == max_depth:
-            too_deep = F.raise_error(F.lit("objects to merge below max_depth")).cast("string")
-            nodes = resolved.select(*keys, "pointer", F.coalesce("value", too_deep).alias("json"))
+        if depth == levels:
+            texts = F.when(F.col("value").isNull(), F.transform("parts", lambda p: p["json"]))
+            nodes = resolved.select(*keys, "pointer", F.coalesce("value", merged_json(texts)).alias("json"))
             break
 
         def child(p, e):
@@ -208,4 +239,4 @@ def merge_chunks(chunks: DataFrame, keys: Sequence[str] = ("id",), max_depth: in
         ))
         opened = F.when(F.col("value").isNotNull(), itself).otherwise(fields)
         rows = resolved.select(*keys, F.explode(opened).alias("n")).select(*keys, "n.*")
-    return assemble_json(nodes, keys, max_depth, placed=True)
+    return assemble_json(nodes, keys)

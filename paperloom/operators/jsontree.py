@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from paperloom.functions.json_text import fragment_sql, kind_sql, object_entries, scalar_sql
+from paperloom.functions.json_text import bind, fragment_sql, kind_sql, object_entries, scalar_sql
 
 DEFAULT_DEPTH = 8
 
@@ -73,17 +73,25 @@ def only_leaves(node: str, t: str) -> str:
     return f"NOT ({is_container(t)} AND to_json({node}) IN ('{{}}', '[]'))"
 
 
+def nesting_sql(text: str) -> str:
+    """SQL text: how deep the containers of a JSON text nest, by one scan over its brackets outside strings."""
+    strings = r'''"[^"\\\\]*+(?:\\\\.[^"\\\\]*+)*+"'''
+    brackets = f"translate(regexp_replace(regexp_replace({text}, '{strings}', ''), '[^\\\\[\\\\]{{}}]+', ''), '{{}}', '[]')"
+    step = "(a, c) -> named_struct('d', a.d + if(c = '[', 1, -1), 'm', greatest(a.m, a.d + if(c = '[', 1, -1)))"
+    return f"aggregate(filter(split({brackets}, ''), c -> c <> ''), named_struct('d', 0, 'm', 0), {step}, a -> a.m)"
+
+
 def deepened(rows: DataFrame, node: str, element: str, children: str) -> DataFrame:
     """Rows that still hold a container below the unrolled levels, opened to their last level.
 
     ``element`` is a ``named_struct`` of the row's columns, ``children`` an array of such structs
-    for the struct ``x``. Other rows pass as they are. The number of opening brackets bounds the levels left, so there
-    is no limit; only rows that are so deep pay for the repeated passes over their part.
+    for the struct ``x``. Other rows pass as they are. There are as many passes as the containers nest, so there
+    is no limit, and a row's cost is its size times its depth; only rows that are so deep pay it.
     """
-    opening = f"length(to_json({node})) - length(translate(to_json({node}), '{{[', ''))"
     filled = f"{is_container(f'schema_of_variant({node})')} AND to_json({node}) NOT IN ('{{}}', '[]')"
     opened = (
-        f"aggregate(sequence(1, {opening}), array({element}), (__acc, __i) -> flatten(transform(__acc, x -> {children})))"
+        f"aggregate(sequence(1, {nesting_sql(f'to_json({node})')}), array({element}), "
+        f"(__acc, __i) -> flatten(transform(__acc, x -> {children})))"
     )
     return rows.selectExpr(f"explode(CASE WHEN {filled} THEN {opened} ELSE array({element}) END) AS __n").select("__n.*")
 
@@ -113,10 +121,9 @@ def leaf_walk_sql(text: str) -> str:
         "named_struct('path', CAST(NULL AS STRING), 'pointer', '', 'ords', CAST(array() AS ARRAY<INT>), "
         f"'node', try_parse_json({text}))"
     )
-    brackets = f"length({text}) - length(translate({text}, '{{[', ''))"
     children = _deeper_leaf([])[1]
     return (
-        f"CASE WHEN try_parse_json({text}) IS NOT NULL THEN aggregate(sequence(0, {brackets}), array({root}), "
+        f"CASE WHEN try_parse_json({text}) IS NOT NULL THEN aggregate(sequence(0, {nesting_sql(text)}), array({root}), "
         f"(__acc, __i) -> flatten(transform(__acc, x -> {children}))) END"
     )
 
@@ -191,54 +198,42 @@ def _quoted(text: Column) -> Column:
     return F.to_json(text.cast("variant"))
 
 
-def assemble_json(
-    nodes: DataFrame, keys: Sequence[str], max_depth: int | None = None, placed: bool = False
-) -> DataFrame:
+def assemble_json(nodes: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One JSON text per key from (keys, pointer, json) fragments; inverse of the walk.
 
-    Levels are closed from the deepest up by grouping on the parent. Rows are placed by key
-    once, unless the caller has ``placed`` them already, so the levels need no further
-    shuffle. Object fields come in key order. The levels to plan are measured by a pass over the
-    pointers unless ``max_depth`` gives them.
+    A record's fragments are put in order once, by the steps of their paths. Then each one closes the containers that it has
+    left since the one before, and opens its own: a single pass, whatever the depth. Object fields come in key order.
     """
-    if max_depth is None:
-        max_depth = (nodes.agg(F.max(F.size(F.split("pointer", "/")))).first()[0] or 1) - 1
-    rows = nodes.select(*keys, "pointer", "json")
-    if not placed:
-        rows = rows.repartition(*keys)
-    for depth in range(max_depth, 0, -1):
-        steps = F.split("pointer", "/")
-        last = F.element_at(steps, -1)
-        at_depth = F.size(steps) == depth + 1
-        listed = F.startswith(last, F.lit("#"))
-        name = F.replace(F.replace(F.replace(last, F.lit("~2"), F.lit("#")), F.lit("~1"), F.lit("/")), F.lit("~0"), F.lit("~"))
-        rows = rows.select(
-            *keys,
-            F.when(at_depth, F.substring_index("pointer", "/", depth)).otherwise(F.col("pointer")).alias("__to"),
-            at_depth.alias("__close"),
-            F.struct(
-                F.when(at_depth & listed, F.substring(last, F.lit(2), F.length(last)).try_cast("int")).alias("i"),
-                F.when(at_depth & ~listed, name).alias("k"),
-                F.col("json").alias("v"),
-            ).alias("__part"),
-        )
-        grouped = rows.groupBy(*keys, "__to", "__close").agg(F.array_sort(F.collect_list("__part")).alias("p"))
-        first = F.get("p", F.lit(0))
-        fields = F.array_join(F.transform("p", lambda x: F.concat(_quoted(x["k"]), F.lit(":"), x["v"])), ",")
-        items = F.array_join(F.transform("p", lambda x: x["v"]), ",")
-        closed = F.when(first["k"].isNotNull(), F.concat(F.lit("{"), fields, F.lit("}"))).otherwise(
-            F.concat(F.lit("["), items, F.lit("]"))
-        )
-        rows = grouped.select(
-            *keys, F.col("__to").alias("pointer"), F.when(F.col("__close"), closed).otherwise(first["v"]).alias("json")
-        )
-    too_deep = F.raise_error(F.concat(F.lit("JSON deeper than max_depth at "), F.col("pointer")))
-    return rows.select(*keys, F.when(F.col("pointer") == "", F.col("json")).otherwise(too_deep).alias("json"))
+    steps = F.transform(F.slice(F.split("pointer", "/"), 2, 1 << 30), lambda s: F.struct(
+        F.when(F.startswith(s, F.lit("#")), F.substring(s, F.lit(2), F.length(s)).try_cast("int")).alias("i"),
+        F.when(~F.startswith(s, F.lit("#")), _decoded(s)).alias("k")))
+    rows = nodes.select(*keys, F.struct(F.when(F.col("pointer") == "", F.array().cast("array<struct<i:int,k:string>>")).otherwise(steps).alias("s"), F.col("json").alias("v")).alias("p"))
+    ordered = rows.groupBy(*keys).agg(F.array_sort(F.collect_list("p")).alias("p"))
+    label = lambda s: F.when(s["k"].isNull(), F.lit("")).otherwise(F.concat(_quoted(s["k"]), F.lit(":")))
+    opened = lambda part: F.array_join(F.transform(part, lambda s: F.concat(F.when(s["k"].isNull(), F.lit("[")).otherwise(F.lit("{")), label(s))), "")
+    closed = lambda part: F.array_join(F.transform(F.reverse(part), lambda s: F.when(s["k"].isNull(), F.lit("]")).otherwise(F.lit("}"))), "")
+    rest = lambda s, n: F.slice(s, n, F.greatest(F.size(s) - n + 1, F.lit(0)))
+
+    def between(x: Column, before: Column) -> Column:
+        same = F.zip_with(x["s"], before, lambda a, b: a.eqNullSafe(b))
+        parted = F.array_position(same, False).cast("int")  # 1-based step at which the two paths part
+        return bind(F.when(parted > 0, parted).otherwise(F.size("p")), lambda n: F.concat(
+            closed(rest(before, n + 1)), F.lit(","), label(F.get(x["s"], n - 1)), opened(rest(x["s"], n + 1)), x["v"]))
+
+    def written(x: Column, i: Column) -> Column:
+        return F.when(i == 0, F.concat(opened(x["s"]), x["v"])).otherwise(bind(F.get(F.col("p"), i - 1)["s"], lambda before: between(x, before)))
+
+    last = F.get("p", F.size("p") - 1)["s"]
+    return ordered.select(*keys, F.concat(F.array_join(F.transform("p", written), ""), closed(last)).alias("json"))
+
+
+def _decoded(step: Column) -> Column:
+    return F.replace(F.replace(F.replace(step, F.lit("~2"), F.lit("#")), F.lit("~1"), F.lit("/")), F.lit("~0"), F.lit("~"))
 
 
-def leaves_to_json(leaves: DataFrame, keys: Sequence[str], max_depth: int | None = None) -> DataFrame:
+def leaves_to_json(leaves: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Leaf rows back to one JSON text per key."""
-    return assemble_json(leaves, keys, max_depth)
+    return assemble_json(leaves, keys)
 
 
 def template_paths(df: DataFrame, column: str, keys: Sequence[str], max_depth: int = DEFAULT_DEPTH) -> DataFrame:

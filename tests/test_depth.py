@@ -51,3 +51,39 @@ def test_whole_numbers_add_exactly_and_merge_at_depth(spark):
     got = json.loads(CH.merge_chunks(spark.createDataFrame(rows, "id string, chunk_idx int, data string")).first()["json"])
     assert got["n"] == 9007199254740995
     assert got["d"]["d"]["d"]["d"]["d"]["d"]["d"]["d"] == [0, 1, 2]
+
+
+def test_nesting_counts_brackets_outside_strings(spark):
+    texts = ['1', '{}', '[[]]', '{"a": "[[[[{{", "b": [1]}', r'["\"[[[", {"k\\": [{"x": 1}]}]', '"' + "[" * 50 + '"', json.dumps(nested(60))]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r["n"] for r in df.selectExpr("i", f"{JT.nesting_sql('t')} AS n").orderBy("i").collect()]
+    assert got == [0, 1, 2, 2, 4, 0, 60]
+
+
+def test_wide_lists_take_linear_time(spark):
+    """Ten times the objects may not take a hundred times as long; passes follow the nesting, not the number of brackets."""
+    import time
+
+    from paperloom.functions.sqlfunctions import register_sql_functions
+    register_sql_functions(spark)
+    seconds = {}
+    for n in (1000, 1000, 10_000):
+        text = json.dumps([{"a": i, "b": ["[", {"c": i}]} for i in range(n)])
+        spark.createDataFrame([(text,)], "t string").createOrReplaceTempView("wide")
+        began = time.perf_counter()
+        assert spark.sql("SELECT size(json_leaf_list(t)) FROM wide").first()[0] == 3 * n
+        seconds[n] = time.perf_counter() - began
+    assert seconds[10_000] < 40 * max(seconds[1000], 0.3)
+
+
+def test_assembly_plans_the_same_at_any_depth(spark):
+    def planned(depth):
+        text = json.dumps({"a": nested(depth), "z": [{"q": 1}, 2, []], "k/#~": {"x": "y"}})
+        df = spark.createDataFrame([(1, text)], "id int, t string").select("id", F.parse_json("t").alias("v"))
+        leaves = spark.createDataFrame(JT.json_leaves(df, "v", ["id"], 2).select("id", "pointer", "json").collect(), "id int, pointer string, json string")
+        out = JT.leaves_to_json(leaves, ["id"])
+        want = {"a": nested(depth), "z": [{"q": 1}, 2], "k/#~": {"x": "y"}}
+        assert json.loads(out.first()["json"]) == want
+        return out._jdf.queryExecution().executedPlan().toString().count("\n")
+
+    assert planned(200) == planned(5)

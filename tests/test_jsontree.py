@@ -58,7 +58,7 @@ TREES = st.recursive(
 def test_round_trip(spark, trees):
     texts = [json.dumps(t) for t in trees]
     leaves = JT.json_leaves(variant_frame(spark, texts), "v", ["id"], 8)
-    got = {r.id: json.loads(r.json) for r in JT.leaves_to_json(leaves, ["id"], 8).collect()}
+    got = {r.id: json.loads(r.json) for r in JT.leaves_to_json(leaves, ["id"]).collect()}
     assert got == dict(enumerate(trees))
 
 

@@ -26,10 +26,10 @@ def join(old, new):
     return new or old
 
 
-def run(spark, docs):
+def run(spark, docs, levels=3):
     rows = [(d, i, json.dumps(c)) for d, chunks in enumerate(docs) for i, c in enumerate(chunks)]
     df = spark.createDataFrame(rows, "id int, chunk_idx int, data string").repartition(4)
-    return {r.id: json.loads(r.json) for r in merge_chunks(df, max_depth=3).collect()}
+    return {r.id: json.loads(r.json) for r in merge_chunks(df, levels=levels).collect()}
 
 
 VALUES = st.one_of(
@@ -58,7 +58,20 @@ def test_kinds_that_differ(spark):
         [{"v": 5.0}],
         [{}, {}],
     ]
-    assert run(spark, docs) == {i: reduce(join, c) for i, c in enumerate(docs)}
+    want = {i: reduce(join, c) for i, c in enumerate(docs)}
+    assert run(spark, docs) == want
+    assert run(spark, docs, levels=0) == want
+
+
+def test_records_of_any_depth_merge_by_one_plan(spark):
+    """What lies below the plan's levels follows the same rule."""
+    def deep(n, leaf):
+        return {"d": deep(n - 1, leaf), f"only{leaf['i']}": n} if n else leaf
+
+    docs = [[deep(200, {"i": i, "l": [i], "s": f"t{i}", "m": None if i else {"x": 1}}) for i in range(3)], [deep(2, {"i": 1}), {"d": 0}, deep(3, {"i": 2})]]
+    want = {i: reduce(join, c) for i, c in enumerate(docs)}
+    assert run(spark, docs) == want
+    assert run(spark, docs, levels=1) == want
 
 
 def test_merging_in_parts_gives_the_same(spark):
