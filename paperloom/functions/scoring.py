@@ -8,7 +8,7 @@ from collections.abc import Callable, Mapping
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from paperloom.functions.json_text import bind, kind_of, list_items, object_entries
+from paperloom.functions.json_text import bind, kind_of, kind_sql, list_items, object_entries
 
 # Option names of the exact scorer, in the order they apply, and the
 # characters each one removes. The dollar sign is removed at the start only.
@@ -21,6 +21,9 @@ REMOVALS = {
 LEADING_DOLLAR = "IGNORE_DOLLAR_SIGN"
 ALSO_ACCEPTED = "ADDITIONAL_MATCHES"
 
+# The fuzzy scorer's patterns as SQL text: letters it drops, what separates words, blanks.
+LATIN, NOT_WORD, BLANKS = "[\\\\x{80}-\\\\x{ff}]", "(?U)\\\\W", "\\\\s+"
+
 Scorer = Callable[[Column, Column, Column], Column]
 
 
@@ -45,26 +48,70 @@ def options_of(config: Column, default: Mapping | None = None) -> Column:
     return bind(object_entries(config), lambda given: F.when(F.size(given) > 0, given).otherwise(default_map))
 
 
+def truthy_sql(v: str) -> str:
+    """``truthy`` as SQL text."""
+    get = lambda kind: f"try_variant_get({v}, '$', '{kind}')"
+    return (
+        f"coalesce(CASE {kind_sql(f'schema_of_variant({v})')} WHEN 'string' THEN {get('string')} <> '' WHEN 'boolean' THEN {get('boolean')} "
+        f"WHEN 'number' THEN {get('double')} <> 0 WHEN 'object' THEN to_json({v}) <> '{{}}' WHEN 'list' THEN to_json({v}) <> '[]' END, FALSE)"
+    )
+
+
+def match_score_sql(gt: str, actual: str, options: str) -> str:
+    """``match_score`` as SQL text; ``options`` is a map<string,variant>."""
+    on = lambda name: truthy_sql(f"try_element_at({options}, '{name}')")
+    removed = ", ".join(f"if({on(name)}, '{chars}', '')" for name, chars in REMOVALS.items())
+    read = lambda text: f"trim(LEADING if({on(LEADING_DOLLAR)}, '$', '') FROM translate(lower({text}), concat({removed}), ''))"
+    truth = read(f"coalesce({gt}, 'None')")
+    also = f"try_variant_get(try_element_at({options}, '{ALSO_ACCEPTED}'), '$', 'array<variant>')"
+    listed = f"transform(filter({also}, x -> schema_of_variant(x) = 'STRING'), x -> try_variant_get(x, '$', 'string'))"
+    return f"coalesce(CAST({read(actual)} = {truth} OR coalesce(array_contains({listed}, {read(actual)}), FALSE) AS INT), 0)"
+
+
+def fuzzy_score_sql(gt: str, actual: str, window: str = "window_percent") -> str:
+    """``fuzzy_score`` as SQL text; ``window`` names the window search."""
+    def tokens(text):
+        latin = f"regexp_replace({text}, '{LATIN}', '')"
+        words = f"split(trim(lower(regexp_replace({latin}, '{NOT_WORD}', ' '))), '{BLANKS}')"
+        return f"array_sort(array_distinct(filter({words}, w -> w <> '')))"
+
+    a, b = tokens(gt), tokens(actual)
+    none = f"{gt} IS NULL OR {actual} IS NULL OR size({a}) = 0 OR size({b}) = 0"
+    # settled pairs reach the search as nulls, which it skips
+    side = lambda t: f"CASE WHEN NOT ({none} OR arrays_overlap({a}, {b})) THEN array_join({t}, ' ') END"
+    return f"CASE WHEN {none} THEN 0.0D WHEN arrays_overlap({a}, {b}) THEN 1.0D ELSE {window}({side(a)}, {side(b)}) / 100.0D END"
+
+
 def _is_on(options: Column, name: str) -> Column:
     return truthy(F.try_element_at(options, F.lit(name)))
 
 
-def match_score(gt: Column, actual: Column, options: Column) -> Column:
+def match_score(gt: Column, actual: Column, options: Column | Mapping) -> Column:
     """1 when the lower-cased texts are equal after the options' removals, else 0.
 
     A missing actual scores 0; a null ground truth reads "none". Accepted alternatives are
-    compared as they are written.
+    compared as they are written. Options that are the same for all rows may be given as a mapping: they are then read
+    once, here, and not row by row.
     """
-    removed = F.concat(*[F.when(_is_on(options, name), F.lit(chars)).otherwise(F.lit("")) for name, chars in REMOVALS.items()])
-    dollar = F.when(_is_on(options, LEADING_DOLLAR), F.lit("$")).otherwise(F.lit(""))
+    if isinstance(options, Mapping):
+        removed = F.lit("".join(chars for name, chars in REMOVALS.items() if options.get(name)))
+        dollar = F.lit("$" if options.get(LEADING_DOLLAR) else "")
+        also = options.get(ALSO_ACCEPTED)
+        texts = [x for x in also if isinstance(x, str)] if isinstance(also, list) else []
+        listed = F.array(*map(F.lit, texts)) if texts else None
+    else:
+        removed = F.concat(*[F.when(_is_on(options, name), F.lit(chars)).otherwise(F.lit("")) for name, chars in REMOVALS.items()])
+        dollar = F.when(_is_on(options, LEADING_DOLLAR), F.lit("$")).otherwise(F.lit(""))
+        listed = F.transform(
+            list_items(F.try_element_at(options, F.lit(ALSO_ACCEPTED))),
+            lambda x: F.when(kind_of(x) == "string", F.try_variant_get(x, "$", "string")),
+        )
     truth, found = [
         F.ltrim(F.call_function("translate", F.lower(c), removed, F.lit("")), dollar) for c in (F.coalesce(gt, F.lit("None")), actual)
     ]
-    listed = F.transform(
-        list_items(F.try_element_at(options, F.lit(ALSO_ACCEPTED))),
-        lambda x: F.when(kind_of(x) == "string", F.try_variant_get(x, "$", "string")),
-    )
-    hit = (found == truth) | F.coalesce(F.array_contains(listed, found), F.lit(False))
+    hit = found == truth
+    if listed is not None:
+        hit = hit | F.coalesce(F.array_contains(listed, found), F.lit(False))
     return F.coalesce(hit, F.lit(False)).cast("int")
 
 

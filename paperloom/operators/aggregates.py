@@ -80,16 +80,15 @@ def store_stats(rows: DataFrame) -> DataFrame:
 def histogram(rows: DataFrame, column: str, bins: int = 20) -> DataFrame:
     """Counts in equal-width bins between the least and greatest value; empty bins are left out.
 
-    The bounds come as one scalar subquery; the counting pass combines before it shuffles.
+    The bounds are one row beside every other, so the table is read twice; the counting pass combines before it shuffles.
     """
-    v = F.col(column).cast("double")
-    bounds = rows.agg(F.struct(F.min(v).alias("lo"), F.max(v).alias("hi")).alias("b")).scalar()
-    width = (bounds["hi"] - bounds["lo"]) / bins
-    place = F.when(width > 0, F.least(F.floor((v - bounds["lo"]) / width), F.lit(bins - 1))).otherwise(F.lit(0))
+    values = rows.select(F.col(column).cast("double").alias("v")).filter(F.col("v").isNotNull())
+    bounds = values.agg(F.min("v").alias("lo"), ((F.max("v") - F.min("v")) / bins).alias("width"))
+    place = F.when(F.col("width") > 0, F.least(F.floor((F.col("v") - F.col("lo")) / F.col("width")), F.lit(bins - 1))).otherwise(F.lit(0))
     return (
-        rows.filter(v.isNotNull())
+        values.join(F.broadcast(bounds))  # one row
         .groupBy(place.cast("int").alias("bin"))
-        .agg(F.count(F.lit(1)).alias("n"), F.min(v).alias("lowest"), F.max(v).alias("highest"))
+        .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lowest"), F.max("v").alias("highest"))
     )
 
 
@@ -97,31 +96,35 @@ def value_counts(rows: DataFrame, column: str) -> DataFrame:
     return rows.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
 
 
-def exact_percentiles(rows: DataFrame, column: str, shares: Sequence[float], buckets: int = 4096) -> DataFrame:
+def exact_percentiles(rows: DataFrame, column: str, shares: Sequence[float], accuracy: int = 10_000) -> DataFrame:
     """Exact interpolated percentiles as rows (share, value), without one task seeing all values.
 
-    Values are counted first, ranked through equal ranges between the least and greatest
-    value, and only the two neighbours of each wanted rank are kept.
+    A mergeable quantile summary gives for each share two values that enclose it; by the summary's error they hold 4 in
+    ``accuracy`` of all values between them, however these are distributed. A second pass counts the values inside, one by
+    one, and those between the enclosures as a whole, with their ends; ranks are running counts over those few rows.
     """
-    counts = rows.filter(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    bounds = counts.agg(F.struct(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("n")).alias("b")).scalar()
-    width = (bounds["hi"] - bounds["lo"]) / buckets
-    place = F.when(width > 0, F.floor((F.col("v") - bounds["lo"]) / width)).otherwise(F.lit(0))
-    ranked = skew.running_sum(counts, [], ["v"], place, "upto", F.col("n"))
-    wanted = F.explode(F.array(*[F.lit(float(s)) for s in shares]))
+    shares = sorted(set(map(float, shares)))
+    values = rows.select(F.col(column).cast("double").alias("v")).filter(F.col("v").isNotNull())
+    ends = [max(0.0, s - 2 / accuracy) for s in shares], [min(1.0, s + 2 / accuracy) for s in shares]
+    found = values.agg(F.percentile_approx("v", ends[0] + ends[1], accuracy).alias("q"), F.count("v").alias("total"))
+    bounds = found.select(F.slice("q", 1, len(shares)).alias("lo"), F.slice("q", len(shares) + 1, len(shares)).alias("hi"), "total")
+    placed = values.join(F.broadcast(bounds)).withColumn("region", F.size(F.filter("lo", lambda x: x <= F.col("v"))))  # one row
+    lo, hi = F.get("lo", F.col("region") - 1), F.get("hi", F.col("region") - 1)
+    inside = F.coalesce(F.col("v") <= hi, F.lit(False))
+    part = F.when(inside & (hi > lo), F.least(F.floor((F.col("v") - lo) / (hi - lo) * 998), F.lit(998))).when(inside, 0).otherwise(999)
+    counts = placed.groupBy((F.col("region") * 1000 + part).alias("bucket"), F.when(inside, F.col("v")).alias("at")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("v").alias("lowest"), F.max("v").alias("highest"), F.any_value("total").alias("total"))
+    ranked = skew.running_sum(counts, [], ["lowest"], F.col("bucket"), "upto", F.col("n"))
     at = F.col("share") * (F.col("total") - 1)
-    lo, hi = F.floor(at), F.ceil(at)
+    low_rank, high_rank = F.floor(at), F.ceil(at)
     first, last = F.col("upto") - F.col("n"), F.col("upto") - 1
-    near = (
-        ranked.withColumn("total", bounds["n"]).withColumn("share", wanted)
-        .filter(lo.between(first, last) | hi.between(first, last))
-    )
-    low = F.max(F.when(lo.between(first, last), F.col("v")))
-    high = F.max(F.when(hi.between(first, last), F.col("v")))
-    part = F.max(at - lo)
-    return near.groupBy("share").agg((low + (high - low) * part).alias("value"))
+    near = ranked.withColumn("share", F.explode(F.array(*map(F.lit, shares)))).filter(low_rank.between(first, last) | high_rank.between(first, last))
+
+    def value(rank: Column) -> Column:
+        known = F.when((F.col("lowest") == F.col("highest")) | (rank == last), F.col("highest")).when(rank == first, F.col("lowest"))
+        return F.max(F.when(rank.between(first, last), F.coalesce(known, F.raise_error(F.lit("rank outside its enclosure")).cast("double"))))
+
+    return near.groupBy("share").agg((value(low_rank) + (value(high_rank) - value(low_rank)) * F.max(at - low_rank)).alias("value"))
 
 
 def error_classes(rows: DataFrame) -> DataFrame:

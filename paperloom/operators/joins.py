@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from paperloom.functions import columns as C
-from paperloom.operators.ordering import latest_by
+from paperloom.operators.ordering import latest_by, run_numbers
 from paperloom.session import broadcast_if_small
 
 DEFAULT_CHUNK_PAGES = 10
@@ -45,20 +45,24 @@ def align_chunks(parts: dict[str, DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.join(b, ["id", "chunk_idx"], "full_outer"), named)
 
 
-def merge_runs(runs: DataFrame, files: Sequence[str] | None = None) -> DataFrame:
-    """Run table: a row per metric, a column ``Run n`` per file; a metric missing in a run is null.
+def merge_runs(runs: DataFrame, files: Sequence[str]) -> DataFrame:
+    """Run table: a row per metric, a column ``Run n`` per listed file; a metric missing in a run is null.
 
-    Without ``files`` the columns are the runs of the data in name order. With it, a run that is not listed fails the job.
+    A run that is not listed fails the job. ``runs_by_metric`` needs no list.
     """
-    if files is None:
-        files = [r[0] for r in runs.select("file").distinct().orderBy("file").collect()]  # as many as columns
-    else:
-        stray = F.raise_error(F.concat(F.lit("run not listed: "), F.coalesce("file", F.lit("null")))).cast("string")
-        runs = runs.withColumn("file", F.when(F.col("file").isin(*files), F.col("file")).otherwise(stray))
-    wide = runs.groupBy("metric").pivot("file", list(files)).agg(F.first("value"))
+    stray = F.raise_error(F.concat(F.lit("run not listed: "), F.coalesce("file", F.lit("null")))).cast("string")
+    listed = runs.withColumn("file", F.when(F.col("file").isin(*files), F.col("file")).otherwise(stray))
+    wide = listed.groupBy("metric").pivot("file", list(files)).agg(F.first("value"))
     return wide.select("metric", *[F.col(f"`{f}`").alias(f"Run {i}") for i, f in enumerate(files, 1)])
 
 
+def runs_by_metric(runs: DataFrame) -> DataFrame:
+    """The same table for any number of runs: (metric, runs), a map of run number to value; a run without the metric is absent."""
+    numbered = run_numbers(runs)
+    entries = F.array_sort(F.collect_list(F.struct(F.col("run_number").cast("int").alias("key"), "value")))
+    return numbered.groupBy("metric").agg(F.map_from_entries(entries).alias("runs"))
+
+
 def select_rows(df: DataFrame, chosen: DataFrame, key: str = "id") -> DataFrame:
     """Rows whose key is in the selection."""
     return df.join(chosen.select(key), key, "left_semi")

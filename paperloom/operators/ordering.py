@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from paperloom.functions import columns as C
 from paperloom.functions import skew
@@ -124,10 +126,47 @@ def lookup_with_reason(wanted: DataFrame, docs: DataFrame) -> DataFrame:
 def run_numbers(runs: DataFrame, file: str = "file") -> DataFrame:
     """Number runs by sorted file name.
 
-    Only distinct names are sorted, over range partitions, and numbered by partition offsets: no
-    name list, however long or alike in its beginnings, passes through one task.
+    Distinct names are cut into buckets by the two characters after what the least and the greatest of them begin with alike,
+    and numbered by running counts, so a long list of names is spread over tasks.
     """
-    names = runs.select(file).distinct().orderBy(file)
-    numbered = names.rdd.zipWithIndex().map(lambda x: (x[0][0], x[1] + 1))
-    ranked = runs.sparkSession.createDataFrame(numbered, names.schema.add("run_number", "long"))
-    return runs.join(ranked, file)
+    names = runs.select(file).filter(F.col(file).isNotNull()).distinct()
+    ends = names.agg(F.min(file).alias("__a"), F.max(file).alias("__z"))
+    parted = F.array_position(F.zip_with(F.split("__a", ""), F.split("__z", ""), lambda a, z: a.eqNullSafe(z)), False)
+    placed = names.join(F.broadcast(ends)).select(file, F.left(F.col(file), (parted + 1).cast("int")).alias("__start"))  # one row
+    numbered = skew.row_numbers(placed, [], [file], F.col("__start"), "run_number").drop("__start")
+    return runs.join(numbered, file)
+
+
+def first_with_total(df: DataFrame, order: str, k: int, total: str, fan: int = 64) -> DataFrame:
+    """The first ``k`` rows by ``order``, nulls first, each with the number of all rows as ``total``; one pass over ``df``.
+
+    A mergeable aggregate: a task keeps its first ``k`` rows and a count, ``fan`` tasks merge those, one task the rest. It sees
+    rows that have been projected to what is returned, so nothing else leaves the JVM.
+    """
+    count = T.StructField("__count", T.LongType())
+    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in df.schema), count])  # all may be null
+
+    def merge(raw: bool, last: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n, best = 0, None
+            for batch in batches:
+                rows = pa.Table.from_batches([batch])
+                if raw:
+                    n += len(rows)
+                else:
+                    n += pc.sum(rows["__count"]).as_py() or 0
+                    rows = rows.filter(pc.is_null(rows["__count"]))
+                best = rows if best is None else pa.concat_tables([best, rows])
+                best = best.take(pc.sort_indices(best, [(order, "ascending")], null_placement="at_start")[:k])
+            if best is None:
+                return
+            best = best.drop_columns("__count") if "__count" in best.column_names else best
+            fields = pa.schema([*(f.with_nullable(True) for f in best.schema), pa.field("__count", pa.int64())])
+            counts = pa.array([n if last else None] * len(best), pa.int64())
+            yield from pa.table([*best.columns, counts], schema=fields).combine_chunks().to_batches()
+            if not last:
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(1, f.type) for f in best.schema), pa.array([n])], schema=fields)
+        return run
+
+    merged = df.mapInArrow(merge(True, False), schema).repartition(fan).mapInArrow(merge(False, False), schema)
+    return merged.coalesce(1).mapInArrow(merge(False, True), schema).withColumnRenamed("__count", total)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from paperloom.functions import columns as C
 from paperloom.functions import skew
 from paperloom.functions.json_text import kind_of, object_entries
+from paperloom.operators.ordering import first_with_total
 from paperloom.schemas import optional
 
 # Fixed values of the storage events.
@@ -66,8 +67,7 @@ def search_content(
 
     ``docs`` has ``id, dataset, file_name, status, extraction, ocr_output``. Every row says
     where it matched and how many documents matched in all; the first ``limit`` by id are
-    kept. Hits are not shuffled: the count is a partial aggregate, and each task keeps its
-    first ``limit`` rows. Both passes filter the texts where they are read.
+    kept. The texts are read once, by ``first_with_total``, and hits are not shuffled.
     """
     needle = F.lit(q.lower())
     places = {"filename": "file_name", "extraction": "extraction", "ocr_text": "ocr_output"}
@@ -77,8 +77,7 @@ def search_content(
     matches = docs.select("id", F.col("file_name").alias("filename"), "dataset", "status", hits.alias("match_in")).filter(
         F.size("match_in") > 0
     )
-    total = matches.agg(F.count(F.lit(1))).scalar()
-    return matches.orderBy("id").limit(limit).withColumn("total_matches", total)
+    return first_with_total(matches, "id", limit, "total_matches")
 
 
 def filter_events(events: DataFrame) -> DataFrame:

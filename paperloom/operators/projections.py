@@ -86,8 +86,11 @@ def step_icons(df: DataFrame) -> DataFrame:
     return df.select("id", *steps)
 
 
-def document_rows(df: DataFrame) -> DataFrame:
-    """Flat rows for lists and reports. The text columns stay behind, so scans never read them."""
+def document_rows(df: DataFrame, flags: bool = False) -> DataFrame:
+    """Flat rows for lists and reports. The text columns stay behind, so scans never read them.
+
+    ``flags`` adds which results a document has, from the same scan.
+    """
     named = C.dataset_and_file(
         F.col("id"), optional(df, "properties.blob_name"), optional(df, "dataset"), optional(df, "file_name")
     )
@@ -105,6 +108,7 @@ def document_rows(df: DataFrame) -> DataFrame:
         optional(df, "properties.total_time_seconds", "double").alias("total_time_seconds"),
         optional(df, "properties.num_pages", "int").alias("num_pages"),
         F.coalesce(optional(df, "properties.blob_size", "bigint"), F.lit(0).cast("bigint")).alias("blob_size"),
+        *(_flags(df) if flags else ()),
     )
 
 
@@ -204,14 +208,14 @@ def _present(c: Column) -> Column:
     return F.coalesce(~c.isin("", "{}", "[]", "null"), F.lit(False))
 
 
-def presence_flags(df: DataFrame) -> DataFrame:
+def _flags(df: DataFrame) -> list[Column]:
     out = optional(df, "extracted_data.gpt_extraction_output", "variant")
     enriched = optional(df, "extracted_data.gpt_extraction_output_with_evaluation", "variant")
-    return df.select(
-        "id",
-        _present(F.to_json(out)).alias("has_extraction"),
-        _present(F.to_json(enriched)).alias("has_evaluation"),
-    )
+    return [_present(F.to_json(out)).alias("has_extraction"), _present(F.to_json(enriched)).alias("has_evaluation")]
+
+
+def presence_flags(df: DataFrame) -> DataFrame:
+    return df.select("id", *_flags(df))
 
 
 def config_presence(configs: DataFrame) -> DataFrame:

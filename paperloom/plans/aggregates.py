@@ -230,12 +230,16 @@ def scatter_points(spark, sf):
 
 
 @query("A-21_scatter_density", views=("doc_view",), sql="""
-WITH b AS (SELECT min(blob_size) AS xl, max(blob_size) AS xh, min(total_time_seconds) AS yl, max(total_time_seconds) AS yh FROM doc_view WHERE total_time_seconds IS NOT NULL)
-SELECT CAST(least(floor((blob_size - xl) / ((xh - xl) / 50.0)), 49) AS INT) AS x_bin, CAST(least(floor((total_time_seconds - yl) / ((yh - yl) / 50)), 49) AS INT) AS y_bin, count(*) AS n
-FROM doc_view, b WHERE total_time_seconds IS NOT NULL GROUP BY 1, 2""")
+WITH p AS (
+  SELECT 'size' AS series, CAST(blob_size AS DOUBLE) AS x, total_time_seconds AS y FROM doc_view WHERE total_time_seconds IS NOT NULL
+  UNION ALL SELECT 'pages', CAST(num_pages AS DOUBLE), total_time_seconds FROM doc_view WHERE num_pages <> 0 AND total_time_seconds <> 0
+  UNION ALL SELECT 'time', CAST(epoch(request_timestamp) AS DOUBLE), total_time_seconds FROM doc_view WHERE num_pages > 0 AND total_time_seconds IS NOT NULL),
+b AS (SELECT series, min(x) AS xl, max(x) AS xh, min(y) AS yl, max(y) AS yh FROM p GROUP BY series)
+SELECT series, CAST(CASE WHEN xh > xl THEN least(floor((x - xl) / ((xh - xl) / 50)), 49) ELSE 0 END AS INT) AS x_bin,
+  CAST(CASE WHEN yh > yl THEN least(floor((y - yl) / ((yh - yl) / 50)), 49) ELSE 0 END AS INT) AS y_bin, count(*) AS n
+FROM p JOIN b USING (series) GROUP BY 1, 2, 3""")
 def scatter_density(spark, sf):
-    points = A.scatter_points(rows(spark, sf)).filter(F.col("series") == "size")
-    return A.scatter_density(points).drop("series")
+    return A.scatter_density(A.scatter_points(rows(spark, sf)))
 
 
 @query("D-01_with_config", views=("doc_view", "config_view"), sql="""
@@ -263,7 +267,13 @@ def align_chunks(spark, sf):
     "SELECT metric, " + ", ".join(f"max(value) FILTER (file = '{f}') AS \"Run {i}\"" for i, f in enumerate(RUN_FILES, 1))
     + " FROM run_view GROUP BY metric"))
 def merge_runs(spark, sf):
-    return J.merge_runs(V.run_view(spark, sf))
+    return J.merge_runs(V.run_view(spark, sf), RUN_FILES)
+
+
+@query("D-06_runs_by_metric", views=("run_view",), sql="""
+SELECT metric, CAST(dense_rank() OVER (ORDER BY file) AS INT) AS run, value FROM run_view""")
+def runs_by_metric(spark, sf):
+    return J.runs_by_metric(V.run_view(spark, sf)).select("metric", F.explode("runs").alias("run", "value"))
 
 
 @query("D-07_select_rows", views=("doc_view",), sql="""

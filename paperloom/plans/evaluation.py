@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from paperloom.functions import scoring as S
@@ -114,8 +116,7 @@ SELECT item, path, CASE WHEN actual IS NULL THEN 0 WHEN lower(replace(gt, ',', '
   CASE WHEN actual IS NULL THEN 0 WHEN lower(gt) = lower(actual) THEN 1 ELSE 0 END AS plain FROM gt_leaf""")
 def match_score(spark, sf):
     def score(config):
-        options = S.options_of(F.parse_json(F.lit(config)))
-        return S.match_score(F.col("gt"), F.col("actual"), options)
+        return S.match_score(F.col("gt"), F.col("actual"), json.loads(config))
 
     return V.gt_leaf(spark, sf).select(
         "item", "path", score(NO_COMMAS).alias("commas"), score(NO_DOLLAR).alias("dollar"), score("{}").alias("plain")

@@ -120,18 +120,20 @@ def slowest(spark, sf):
     return O.slowest(rows(spark, sf))
 
 
-@query("K-05_get_document", views=("status_view",), sql="""
-SELECT id, dataset, status, num_pages FROM status_view WHERE file_name = 'doc_0.pdf'""")
+_IDS = [f"src{i}__doc_{n}.pdf" for i in range(50) for n in (0, 1, 11)]
+_ID_LIST = ", ".join(f"'{i}'" for i in _IDS)
+
+
+@query("K-05_get_document", views=("status_view",), sql=f"""
+SELECT id, dataset, status, num_pages FROM status_view WHERE id IN ({_ID_LIST})""")
 def get_document(spark, sf):
-    ids = [f"src{i}__doc_0.pdf" for i in range(50)]
-    return O.get_documents(rows(spark, sf), ids).select("id", "dataset", "status", "num_pages")
+    return O.get_documents(rows(spark, sf), _IDS).select("id", "dataset", "status", "num_pages")
 
 
-@query("K-05_get_extraction", views=("doc_view",), sql="""
-SELECT id, file_name, extraction, CASE WHEN extraction IS NULL THEN 'no extraction data' END AS reason FROM doc_view WHERE file_name IN ('doc_1.pdf', 'doc_11.pdf')""")
+@query("K-05_get_extraction", views=("doc_view",), sql=f"""
+SELECT id, file_name, extraction, CASE WHEN extraction IS NULL THEN 'no extraction data' END AS reason FROM doc_view WHERE id IN ({_ID_LIST})""")
 def get_extraction(spark, sf):
-    ids = [f"src{i}__doc_{n}.pdf" for i in range(50) for n in (1, 11)]
-    found = O.get_documents(V.documents(spark, sf), ids)
+    found = O.get_documents(V.documents(spark, sf), _IDS)
     return found.select(
         "id", F.element_at(F.split("properties.blob_name", "/"), -1).alias("file_name"),
         F.to_json("extracted_data.gpt_extraction_output").alias("extraction"),

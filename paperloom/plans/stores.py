@@ -82,6 +82,19 @@ def eval_jsonl(spark, sf):
     return E.aligned_leaves(back, ["item"]).select("item", "path", "gt", "actual")
 
 
+@query("S-04_unreadable_lines", views=("doc_view",), sql="""
+SELECT CASE doc_id % 4 WHEN 1 THEN concat('{"item":', doc_id) ELSE concat('[', doc_id, ']') END AS line,
+  CASE doc_id % 4 WHEN 1 THEN 'not JSON' ELSE 'not an object' END AS error FROM doc_view WHERE doc_id % 4 IN (1, 2)""")
+def unreadable_lines(spark, sf):
+    """Files in which one line of four is cut short and one is a list."""
+    path = shared_dir(spark, "evaldata")
+    case = F.col("doc_id") % 4
+    line = F.when(case == 1, F.concat(F.lit('{"item":'), "doc_id")).when(case == 2, F.concat(F.lit("["), "doc_id", F.lit("]"))).otherwise(
+        F.concat(F.lit('{"item":'), "doc_id", F.lit("}")))
+    SE.write_eval_jsonl(V.doc_view(spark, sf).select(line.alias("value")), path)
+    return SE.unreadable_lines(spark, path).select("line", "error")
+
+
 @query("S-05_read_eval_runs", views=("run_view",), sql="""
 SELECT metric, value, dense_rank() OVER (ORDER BY file) AS run_number FROM run_view""")
 def read_eval_runs(spark, sf):

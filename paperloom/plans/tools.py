@@ -20,11 +20,9 @@ from paperloom.schemas import has_field
 
 def tool_list_documents(docs: DataFrame, dataset: str | None = None, status: str | None = None, limit: int = 50) -> DataFrame:
     """The newest documents, by dataset and derived status."""
-    flat = P.document_rows(docs).withColumn("status", F.col("status4"))
-    flags = P.presence_flags(docs)
+    flat = P.document_rows(docs, flags=True).withColumn("status", F.col("status4"))
     listed = O.list_latest(Q.filter_docs(flat, dataset, status), limit)
-    # At most ``limit`` rows: the flags of those documents only.
-    return listed.select("id", "file_name", "dataset", "status", "num_pages").join(flags, "id")
+    return listed.select("id", "file_name", "dataset", "status", "num_pages", "has_extraction", "has_evaluation")
 
 
 def tool_get_document(docs: DataFrame, document_id: str) -> DataFrame:
@@ -100,6 +98,14 @@ def named_evaluators(spark, sf):
     return scores.groupBy("evaluator").agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("score"))
 
 
+@query("X-01_scores_in_sql", views=("gt_leaf",), sql="""
+SELECT item, path, CASE WHEN actual IS NULL THEN 0 WHEN lower(replace(gt, ',', '')) = lower(replace(actual, ',', '')) THEN 1 ELSE 0 END AS exact FROM gt_leaf""")
+def scores_in_sql(spark, sf):
+    register_sql_functions(spark)
+    V.gt_leaf(spark, sf).createOrReplaceTempView("leaf_pairs")
+    return spark.sql("""SELECT item, path, match_score(gt, actual, '{"IGNORE_COMMAS":true}') AS exact FROM leaf_pairs""")
+
+
 @query("X-02_provider_by_name", views=("doc_view",), sql="""
 SELECT id, concat(lang, '!') AS output, CAST(NULL AS VARCHAR) AS error FROM doc_view""")
 def provider_by_name(spark, sf):

@@ -40,6 +40,14 @@ def read_eval_jsonl(spark: SparkSession, path: str) -> DataFrame:
     return parsed.select("record", part("ground_truth"), part("actual"), part("eval_schema"))
 
 
+def unreadable_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, error) for every line that ``read_eval_jsonl`` finds no record in: not JSON, or not an object."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("line")).filter(F.trim("line") != "")
+    record = F.try_parse_json("line")
+    error = F.when(record.isNull(), F.lit("not JSON")).when(~F.startswith(F.schema_of_variant(record), F.lit("OBJECT")), F.lit("not an object"))
+    return lines.withColumn("error", error).filter(F.col("error").isNotNull())
+
+
 def read_eval_runs(spark: SparkSession, path: str) -> DataFrame:
     """Metrics of every run file: (file, metric, value, run_number), runs numbered by file name.
 

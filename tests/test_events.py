@@ -23,7 +23,19 @@ def test_lists_and_single_events_of_one_file_and_a_broken_line(spark, tmp_path):
     got = run(tmp_path, TE.stream_blob_events(spark, str(push)), "events")
     assert sorted(r["event_id"] for r in got) == ["e1", "e2", "e3", "e4", "e6", "e7"]
     bad = run(tmp_path, TE.stream_push_errors(spark, str(push)), "errors")
-    assert sorted(r["body"] for r in bad) == sorted([lines[2], lines[5], lines[6]]) and all(r["error"] for r in bad)
+    assert sorted(r["body"] for r in bad) == sorted([lines[2], "1", lines[6]]) and all(r["error"] for r in bad)
+
+
+def test_one_bad_element_costs_no_other(spark, tmp_path):
+    push = tmp_path / "push"
+    push.mkdir()
+    elements = [event(i) for i in range(64)]
+    elements[20] = {"eventType": "x"}
+    (push / "a.json").write_text(json.dumps(elements))
+    got = run(tmp_path, TE.stream_blob_events(spark, str(push)), "events")
+    assert sorted(r["event_id"] for r in got) == sorted(f"e{i}" for i in range(64) if i != 20)
+    bad = run(tmp_path, TE.stream_push_errors(spark, str(push)), "errors")
+    assert [(json.loads(r["body"]), r["error"]) for r in bad] == [({"eventType": "x"}, "not an event")]
 
 
 def test_no_event_is_lost_at_a_larger_scale(spark):

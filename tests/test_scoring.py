@@ -114,3 +114,29 @@ def test_truthiness(spark):
     df = spark.createDataFrame([(v,) for v in values], "v string")
     got = {r.v: r.t for r in df.select("v", S.truthy(F.parse_json("v")).alias("t")).collect()}
     assert got == values
+
+
+def test_scores_from_sql_equal_those_of_frames(spark):
+    from paperloom.functions.sqlfunctions import register_sql_functions
+
+    register_sql_functions(spark)
+    texts = [None, "", "None", "$1,234.50", "1234.50", "$$5", "Red, Widget", "widget red", "ré-d", "été", "new york mets", "yankees", "a.b-c (d)", "abc d"]
+    options = ["{}", '{"IGNORE_COMMAS":true,"IGNORE_DOTS":"False"}', '{"IGNORE_DOLLAR_SIGN":1,"IGNORE_PARENTHETHES":[0],"IGNORE_DASHES":""}', '{"ADDITIONAL_MATCHES":["abc d",7,"$$5"]}', "bad"]
+    rows = [(a, b, o) for a in texts for b in texts for o in options]
+    df = spark.createDataFrame(rows, "gt string, actual string, options string")
+    df.createOrReplaceTempView("sql_pairs")
+    got = spark.sql("SELECT gt, actual, options, match_score(gt, actual, options) AS m, fuzzy_score(gt, actual) AS f FROM sql_pairs").collect()
+    want = df.select("gt", "actual", "options", S.match_score(F.col("gt"), F.col("actual"), S.options_of(F.try_parse_json("options"))).alias("m"),
+                     S.fuzzy_score(F.col("gt"), F.col("actual")).alias("f")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, want), key=str)
+
+
+def test_literal_options_score_like_a_column(spark):
+    import json
+
+    texts = [None, "$1,234.50", "1234.50", "Red, Widget", "(a)-b", "ab", "x"]
+    df = spark.createDataFrame([(a, b) for a in texts for b in texts], "gt string, actual string")
+    for o in ({}, {"IGNORE_COMMAS": True, "IGNORE_DOTS": 0}, {"IGNORE_DOLLAR_SIGN": "x"}, {"IGNORE_PARENTHETHES": 1, "IGNORE_DASHES": [1], "ADDITIONAL_MATCHES": ["x", 3]}):
+        both = df.select(S.match_score(F.col("gt"), F.col("actual"), o).alias("a"),
+                         S.match_score(F.col("gt"), F.col("actual"), S.options_of(F.parse_json(F.lit(json.dumps(o))))).alias("b")).collect()
+        assert all(r["a"] == r["b"] for r in both)

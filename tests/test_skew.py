@@ -62,3 +62,42 @@ def test_latest_by_takes_the_newest_whole_row(spark):
     for r in rows.collect():
         best[r.document_id] = max(best.get(r.document_id, (r.ts, r.correction_id)), (r.ts, r.correction_id))
     assert newest == {k: v[1] for k, v in best.items()}
+
+
+def test_an_outlier_leaves_percentiles_balanced(spark):
+    """Only values around the wanted ranks are counted one by one, wherever the extremes lie."""
+    df = spark.range(200_000).select((F.col("id") * 7919 % 200_003).cast("double").alias("v"))
+    df = df.union(spark.createDataFrame([(1e15,)], "v double"))
+    values = sorted(r["v"] for r in df.collect())
+    for shares in ([0.5, 0.95, 0.99], [0.0, 1.0], [0.5, 0.50001]):
+        got = {r["share"]: r["value"] for r in A.exact_percentiles(df, "v", shares).collect()}
+        for s in shares:
+            at = s * (len(values) - 1)
+            lo, hi = values[int(at)], values[min(int(at) + 1, len(values) - 1)]
+            assert abs(got[s] - (lo + (hi - lo) * (at - int(at)))) < 1e-6
+    metrics = A.exact_percentiles(df, "v", [0.5, 0.95, 0.99])
+    plan = metrics._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("percentile_approx(v") and "CartesianProduct" not in plan
+
+
+def test_few_rows_and_ties(spark):
+    for n in (1, 2, 3, 7, 40):
+        values = sorted(i // 3 * 1.5 for i in range(n))
+        df = spark.createDataFrame([(v,) for v in values], "v double")
+        got = {r["share"]: r["value"] for r in A.exact_percentiles(df, "v", [0.25, 0.5, 0.95, 0.99]).collect()}
+        for s, v in got.items():
+            at = s * (n - 1)
+            assert abs(v - (values[int(at)] + (values[min(int(at) + 1, n - 1)] - values[int(at)]) * (at - int(at)))) < 1e-9
+
+
+def test_first_rows_and_total_in_one_scan(spark, tmp_path):
+    from paperloom.operators.ordering import first_with_total
+
+    df = spark.range(1000).select(F.when(F.col("id") % 100 > 1, F.col("id")).alias("id"), F.array(F.lit("x")).alias("a")).repartition(7)
+    df.write.parquet(str(tmp_path / "t"))
+    stored = spark.read.parquet(str(tmp_path / "t"))
+    out = first_with_total(stored, "id", 25, "n")
+    assert [r["id"] for r in out.collect()] == [None] * 20 + [2, 3, 4, 5, 6] and {r["n"] for r in out.collect()} == {1000}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1
+    assert first_with_total(stored.where("false"), "id", 5, "n").count() == 0
+    assert first_with_total(df, "id", 0, "n").count() == 0
