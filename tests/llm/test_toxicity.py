@@ -88,3 +88,29 @@ def test_rare_words_are_mined_from_all_labelled_rows(spark, monkeypatch):
     assert any(out[i]["held_out"] for i in rare) and all(out[i]["predicted"] for i in rare)
     truth = dict(labels)
     assert sum(r["predicted"] == truth[i] for i, r in out.items() if r["held_out"]) >= 0.97 * sum(r["held_out"] for r in out.values())
+
+
+def test_no_strong_word_is_cut(spark, monkeypatch):
+    """Strong words vote and weigh however many outrank them, also where labelled rows come a hundred times."""
+    monkeypatch.setattr(toxicity, "FEATURES", 5)
+    rows, labels = corpus(1500)
+    rare = list(range(5000, 5030))
+    rows += [(i, prose(i, 30) + " zorgling") for i in rare]
+    labels += [(i, 1) for i in rare]
+    for times in (1, 100):
+        more = [(100_000 * k + i, t) for k in range(times if times == 1 else 8) for i, t in rows]
+        taught = [(100_000 * k + i, y) for k in range(times if times == 1 else 8) for i, y in labels] * (1 if times == 1 else 12)
+        got = toxicity.toxicity_scores(docs(spark, more), spark.createDataFrame(taught, "doc_id long, toxic int"))
+        out = {r["doc_id"]: r["predicted"] for r in got.where(F.col("doc_id").isin(rare)).collect()}
+        assert len(out) == 30 and all(out.values())
+
+
+def test_packed_words_and_filter_agree_with_spark(spark):
+    import xxhash
+
+    names = ["wa", "5hello", "4été", "w" + "x" * 300]
+    got = spark.createDataFrame([(n,) for n in names], "f string").select("f", F.pmod(F.xxhash64("f"), F.lit(toxicity.MARKS)).alias("m")).collect()
+    assert all(r["m"] == xxhash.xxh64_intdigest(r["f"], 42) & (toxicity.MARKS - 1) for r in got)
+    bags = toxicity.word_bags(docs(spark, ["b A b!", None, "", "ß é_1 x"])).orderBy("row")
+    assert [sorted(s) for s in toxicity._unpacked([type("X", (), {"as_py": lambda self, w=r["words"]: bytes(w)})() for r in bags.collect()])] == [
+        ["wa", "wb"], [], [], ["wx", "wß", "wé"]]
