@@ -12,11 +12,11 @@ can be used shares one of them, unchanged, with every partner. Segments are allo
 A set whose allocation adds up to H + 1 misses no partner. What remains even then (sets that consist of very common
 parts) is joined by its rarest shingles, so nothing is lost.
 
-Copies of a set are one class, found by a 64-bit hash of the set; only classes are joined. Classes that share a signature are first compared with
-one of them; only those that are still unconnected are paired, so a cluster of n near copies costs about n comparisons.
-Before sets travel, a parity sketch (one bit per shingle hash, bits that are hit twice cancel) bounds the number of differing
-shingles from below, without error, and rules strangers out; what it leaves is compared exactly, on the sets of 64-bit shingle
-hashes, which are recomputed for just those texts.
+Copies of a set are one class, found by a 64-bit hash of the set; only classes are joined. Each class is first compared with one
+center, the one it shares most signatures with, so a cluster of n near copies costs about n comparisons. Where a signature still has
+unconnected classes, they meet in a task with their parity sketches (one bit per shingle hash, bits that are hit twice cancel), which bound the number of differing
+shingles from below, without error: rows travel there once, and only pairs that the sketches leave come out of it. These
+are compared exactly, on the sets of 64-bit shingle hashes, which are recomputed for just those texts.
 
 Signatures travel as packed arrays, by hash bucket; the number of buckets grows with the input, so that a bucket has bounded size. A signature
 that a sample shows to be very frequent is spread over several buckets.
@@ -40,6 +40,14 @@ FREQUENT = 60
 #: Signatures per bucket, and classes compared with one center in one task.
 BUCKET_ROWS = 400_000
 CENTER_ROWS = 5_000
+#: Rounds of comparing each class with a center, at most, and the share of links among the compared that makes another one worth it.
+ROUNDS = 6
+FEW = 0.02
+#: Classes of one key that a task holds; those that may be unconnected with them pass by.
+HELD_ROWS = 20_000
+#: Texts and signatures that a task turns into rows at a time.
+SLICE = 256
+PACKED = 250_000
 #: One of so many ids is sampled to find signatures that need several buckets.
 SAMPLE = 64
 GROWTH = 1.6  # of size bands
@@ -181,15 +189,22 @@ def _arrow(rows: dict[str, pa.Array]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(rows.values()), list(rows))
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``SLICE`` rows, so that what is made of whole texts stays small."""
+    for batch in batches:
+        for at in range(0, len(batch), SLICE):
+            yield batch.slice(at, SLICE)
+
+
 def _classes(rows: DataFrame) -> DataFrame:
     """``id, h, n, cls, margin, sketch`` from ``id, h, text``."""
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             n, cls, few, bits = [], [], [], []
-            for text in batch.column(2).to_pylist():
-                s = shingles(text)
+            for text in batch.column(2):
+                s = shingles(text.as_py())
                 n.append(len(s))
                 cls.append(set_hash(s))
                 few.append(margin(s) if len(s) else 0)
@@ -236,15 +251,15 @@ def _groups(rows: DataFrame, buckets: int, hot: set[int]) -> DataFrame:
 
         total = 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                s = shingles(text)
+            for text in batch.column(0):
+                s = shingles(text.as_py())
                 if not len(s) or (c := set_hash(s)) in sent:
                     continue
                 sent.add(c)
                 held.append(signatures(s))
                 owners.append((c, len(held[-1])))
                 total += len(held[-1])
-                if total >= 1_000_000:
+                if total >= PACKED:
                     yield flush()
                     total = 0
         if held:
@@ -309,8 +324,8 @@ def _sets(rows: DataFrame, needed: DataFrame) -> DataFrame:
             yield batch.filter(pa.array(mask.astype(bool))).select([0, 1, 2])
 
     def run(batches):
-        for batch in batches:
-            sets = [shingles(text).tobytes() for text in batch.column(1).to_pylist()]
+        for batch in _slices(batches):
+            sets = [shingles(text.as_py()).tobytes() for text in batch.column(1)]
             yield _arrow({"cls": batch.column(0), "tokens": pa.array(sets, pa.binary())})
 
     kind = rows.schema["id"].dataType.simpleString()
@@ -356,23 +371,99 @@ def _labelled(groups: DataFrame, labels: DataFrame) -> DataFrame:
     return groups.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
 
 
-def _cross(keyed: DataFrame, key: str, limit: int | None, margins: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Pairs of classes with different labels that share a key, and the keys with more than ``limit`` labels, left out.
+def _half(body: bytes) -> np.ndarray:
+    """A sketch folded once: half the bits, the same bound."""
+    x = np.frombuffer(body, np.uint64)
+    return x[: len(x) // 2] ^ x[len(x) // 2 :] if len(x) > 1 else x
+
+
+def _near(n: int, x: np.ndarray, sizes: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Which rows of ``held``, sketches of one length, ``may_link`` with ``(n, x)``."""
+    fits = np.flatnonzero((5 * np.minimum(n, sizes) >= 4 * np.maximum(n, sizes)))
+    rows = held[fits]
+    while len(x) > rows.shape[1]:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(x) < rows.shape[1]:
+        rows = rows[:, : rows.shape[1] // 2] ^ rows[:, rows.shape[1] // 2 :]
+    return fits[9 * np.bitwise_count(rows ^ x).sum(1, dtype=np.int64) <= n + sizes[fits]]
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of classes with different labels in one part of a key that sketches do not rule out.
 
-    With ``margins`` (``cls, margin``) a pair must share as many keys as each side's margin, less its keys left out.
+    Rows ``key, part, guest, cls, label, n, body`` come with a part's own classes before its guests, which are compared with them.
     """
-    spread = keyed.groupBy(key).agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.approx_count_distinct("label", 0.02).alias("about"))
-    mixed = written(keyed.join(spread.where("lo <> hi").select(key, "about"), key), "near-mixed")
+    at, own, blocks, sent = None, [], None, set()
+
+    def closed() -> dict:
+        """A part's own classes by length of their sketches."""
+        by: dict[int, list] = {}
+        for cls, label, n, x in own:
+            by.setdefault(len(x), []).append((cls, label, n, x))
+        return {k: (np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), np.stack([r[3] for r in rows])) for k, rows in by.items()}
+
+    for batch in batches:
+        a, b = [], []
+        for key, part, guest, cls, label, n, body in zip(*(batch.column(i).to_pylist() for i in range(7))):
+            if (key, part) != at:
+                at, own, blocks = (key, part), [], None
+            x = _half(body)
+            if not guest:
+                own.append((cls, label, n, x))
+                continue
+            blocks = blocks or closed()
+            for ids, labels, sizes, held in blocks.values():
+                near = _near(n, x, sizes, held)
+                for other in ids[near[labels[near] != label]].tolist():
+                    pair = (min(cls, other), max(cls, other))
+                    if pair not in sent:
+                        if len(sent) > 500_000:
+                            sent.clear()
+                        sent.add(pair)
+                        a.append(pair[0])
+                        b.append(pair[1])
+        yield _arrow({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _meet(keyed: DataFrame, key: str, limit: int | None, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs of classes (``cls, label``) with different labels that share a key and may be linked by their sketches, and the
+    keys with more than ``limit`` labels, left out.
+
+    A key's classes are dealt to parts of bounded size. Those that have not the label of the key's first class also
+    visit every part, so that each pair with two labels meets; classes of one label never do.
+    """
+    spread = keyed.groupBy(key).agg(
+        F.min("label").alias("lo"), F.max("label").alias("hi"), F.approx_count_distinct("label", 0.02).alias("about"), F.count(F.lit(1)).alias("rows"))
+    mixed = written(keyed.join(spread.where("lo <> hi").drop("lo", "hi"), key), "near-mixed")
     often = F.col("about") > (F.lit(limit) if limit is not None else F.col("about"))
-    used = mixed.where(~often).withColumn("least", F.lit(1))
-    if margins is not None:
-        own = mixed.groupBy("cls").agg(F.sum(often.cast("int")).alias("lost")).join(margins, "cls")
-        used = used.drop("least").join(own.select("cls", (F.col("margin") - F.col("lost")).alias("least")), "cls")
-    left = used.select(key, F.col("cls").alias("a"), F.col("label").alias("la"), F.col("least").alias("na"))
-    right = used.select(key, F.col("cls").alias("b"), F.col("label").alias("lb"), F.col("least").alias("nb"))
-    met = left.join(right, key).where("a < b AND la <> lb").groupBy("a", "b").agg(
-        F.count(F.lit(1)).alias("n"), F.max(F.greatest("na", "nb")).alias("least"))
-    return met.where("n >= least").select("a", "b"), mixed.where(often).select(key).distinct()
+    used = mixed.where(~often)
+    per_label = used.groupBy(key, "label").agg(F.count(F.lit(1)).alias("m")).groupBy(key).agg(F.max_by("label", F.struct("m", "label")).alias("most"))
+    parts = F.ceil(F.col("rows") / HELD_ROWS)
+    placed = used.join(per_label, key).join(classes.select("cls", "n", "body"), "cls").withColumn("home", F.pmod(F.xxhash64("cls"), parts))
+    own = F.array(F.struct(F.col("home").alias("part"), F.lit(0).alias("guest")))
+    visits = F.transform(F.sequence(F.lit(0).cast("long"), parts - 1), lambda p: F.struct(p.alias("part"), F.lit(1).alias("guest")))
+    every = F.when(F.col("label") == F.col("most"), own).otherwise(F.concat(own, visits))
+    sent = placed.select(F.col(key).alias("key"), F.explode(every).alias("p"), "cls", "label", "n", "body").select(
+        "key", "p.part", "p.guest", "cls", "label", "n", "body")
+    met = sent.repartition("key", "part").sortWithinPartitions("key", "part", "guest").mapInArrow(_met, "a long, b long").distinct()
+    return met, mixed.where(often).select(key).distinct()
+
+
+def _stars(groups: DataFrame, labels: DataFrame | None, turn: int) -> DataFrame:
+    """``a, b``: each class b that shares a signature with a center of another label, and the center it shares most with.
+
+    The center of a signature is a class of its largest component, another one in every ``turn``.
+    """
+    if labels is None:
+        marked = groups.withColumns({"label": F.col("cls"), "size": F.lit(1).cast("long")})
+    else:
+        sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
+        own = labels.join(sizes, "label").select(F.col("node").alias("cls"), "label", "size")
+        marked = groups.join(own, "cls", "left").withColumns({"label": F.coalesce("label", "cls"), "size": F.coalesce("size", F.lit(1).cast("long"))})
+    rank = F.struct("size", F.xxhash64("cls", F.lit(turn)).alias("h"), F.col("cls").alias("a"), F.col("label").alias("la"))
+    centers = marked.groupBy("sig").agg(F.max(rank).alias("c")).select("sig", "c.a", "c.la")
+    met = marked.join(centers, "sig").where("label <> la").groupBy("a", F.col("cls").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    return met.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b")
 
 
 class _Join:
@@ -387,22 +478,28 @@ class _Join:
         self.classes = written(classes, "near-sketches")
         self.links: DataFrame | None = None
         self.labels: DataFrame | None = None
+        self.n_links = 0
 
     def sets(self, wanted: DataFrame) -> DataFrame:
         needed = self.classes.join(wanted.select("cls").distinct(), "cls").select("r.id", "r.h", "cls")
         return _sets(self.rows, needed).select("cls", F.lit(0).alias("n"), F.col("tokens").alias("body"))
 
-    def verify(self, pairs: DataFrame) -> None:
-        """Add the links among ``pairs`` and, if there are any, label the components anew."""
-        pairs = written(pairs, "near-pairs")
-        near = _compare(pairs, self.classes.select("cls", "n", "body"), exact=False)
-        forget(pairs)
+    def verify(self, pairs: DataFrame, sketched: bool = True) -> None:
+        """Add the links among ``pairs`` and, if there are any, label the components anew.
+
+        ``sketched``: the pairs have passed a folded sketch; otherwise sketches are compared first.
+        """
+        near = written(pairs, "near-pairs")
+        if not sketched:
+            pairs, near = near, _compare(near, self.classes.select("cls", "n", "body"), exact=False)
+            forget(pairs)
         found = near
         if not near.isEmpty():
             sets = self.sets(near.select(F.col("a").alias("cls")).union(near.select("b")))
             found = _compare(near, sets, exact=True)
             forget(sets)
-        some = not found.isEmpty()
+        new = found.count()
+        some, self.n_links = new > 0, self.n_links + new
         if some:
             self.links = found if self.links is None else self.links.unionByName(found)
         if some or self.labels is None:
@@ -420,20 +517,24 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     hot = _hot_signatures(join.rows, BUCKET_ROWS // 4)
     groups = written(_groups(join.rows, buckets, hot), "near-groups")
 
-    # stars from two classes of each group, then whatever is still apart
-    centers = groups.groupBy("sig").agg(F.array(F.min("cls"), F.max("cls")).alias("ends"))
-    stars = groups.join(centers, "sig").select(F.explode("ends").alias("a"), F.col("cls").alias("b"))
-    join.verify(stars.where("a <> b").distinct())
-    pairs, frequent = _cross(_labelled(groups, join.labels), "sig", FREQUENT, join.classes.select("cls", "margin"))
+    # each class with one center, the one it shares most signatures with, in rounds; then whatever is still apart
+    for turn in range(ROUNDS):
+        pairs = written(_stars(groups, join.labels, turn), "near-stars")
+        before = join.n_links
+        join.verify(pairs, sketched=False)
+        if join.n_links - before <= FEW * pairs.count():
+            break
+        forget(pairs)
+    pairs, frequent = _meet(_labelled(groups, join.labels), "sig", FREQUENT, join.classes)
     unused = written(frequent, "near-frequent")
     join.verify(pairs)
 
     rest, sets = _uncovered(join, groups, unused)
     if not rest.isEmpty():
-        rest, pairs = _by_neighbourhoods(rest, sets, join.labels)
+        rest, pairs = _by_neighbourhoods(join, rest, sets)
         join.verify(pairs)
         if not rest.isEmpty():
-            join.verify(_by_rarest(rest, sets, join.labels))
+            join.verify(_by_rarest(join, rest, sets))
     forget(groups, sets, unused)
     return join.table, join.labels
 
@@ -454,7 +555,7 @@ def _uncovered(join: _Join, groups: DataFrame, unused: DataFrame) -> tuple[DataF
     return written(fewer.union(few).distinct(), "near-rest"), sets
 
 
-def _by_neighbourhoods(rest: DataFrame, sets: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _by_neighbourhoods(join: _Join, rest: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Classes that even one-deletion neighbourhoods do not cover, and the pairs those give."""
     def run(batches):
         for batch in batches:
@@ -464,7 +565,7 @@ def _by_neighbourhoods(rest: DataFrame, sets: DataFrame, labels: DataFrame) -> t
                               "key": pa.array(keys, pa.int64()), "exact": pa.array(exact, pa.bool_())})
 
     keyed = written(sets.join(rest, "cls").select("cls", "tokens").mapInArrow(run, "cls long, need long, at long, key long, exact boolean"), "near-deletions")
-    pairs, frequent = _cross(_labelled(keyed.select("cls", "key").distinct(), labels), "key", FREQUENT)
+    pairs, frequent = _meet(_labelled(keyed.select("cls", "key").distinct(), join.labels), "key", FREQUENT, join.classes)
     lost = keyed.join(frequent.withColumn("off", F.lit(1)), "key", "left")
     share = lost.groupBy("cls", "need", "at").agg(
         F.max(F.when(F.col("exact"), F.col("off"))).alias("exact_off"), F.max("off").alias("any_off"), F.count(F.lit(1)).alias("size"))
@@ -474,7 +575,7 @@ def _by_neighbourhoods(rest: DataFrame, sets: DataFrame, labels: DataFrame) -> t
     return written(got.where("got < need").select("cls").distinct(), "near-rest"), pairs
 
 
-def _by_rarest(rest: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
+def _by_rarest(join: _Join, rest: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs among the rest by their rarest shingles: two linked sets share one among the first n - ceil(0.8 n) + 1."""
     def run(batches):
         for batch in batches:
@@ -487,7 +588,7 @@ def _by_rarest(rest: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame
     ranked = tokens.join(counts, "token").groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("count", "token"))).alias("all"))  # one set
     first = F.expr("slice(all, 1, cast(size(all) - ceil(size(all) * 4 / 5.0) + 1 as int))")
     keyed = ranked.select("cls", F.explode(first).alias("t")).select("cls", F.col("t.token").alias("key"))
-    return _cross(_labelled(keyed, labels), "key", None)[0]
+    return _meet(_labelled(keyed, join.labels), "key", None, join.classes)[0]
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

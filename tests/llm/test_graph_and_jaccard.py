@@ -46,6 +46,7 @@ def test_several_buckets_and_spread_signatures(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BUCKET_ROWS", 40)
     monkeypatch.setattr(jaccard, "SAMPLE", 1)
     monkeypatch.setattr(jaccard, "CENTER_ROWS", 2)
+    monkeypatch.setattr(jaccard, "HELD_ROWS", 3)
     run(spark, corpus(2, 6))
 
 
