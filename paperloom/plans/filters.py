@@ -63,6 +63,18 @@ def filter_events(spark, sf):
     return Q.filter_events(V.blob_event_view(spark, sf))
 
 
+@query("F-05_subjects", views=("blob_event_view",), sql="""
+SELECT event_id, concat('p', event_id, '.pdf') AS filename, concat('s', event_id % 4) AS dataset, concat('s', event_id % 4, '/sub/p', event_id, '.pdf') AS blob_name
+FROM blob_event_view WHERE event_type = 'Microsoft.Storage.BlobCreated' AND event_id % 4 > 0""")
+def filter_event_subjects(spark, sf):
+    """Events without a URL: the place is read from the subject; one in four lies in another container."""
+    container = F.when(F.col("event_id") % 4 > 0, F.lit("datasets")).otherwise(F.lit("other"))
+    subject = F.concat(
+        F.lit("/blobServices/default/containers/"), container, F.lit("/blobs/s"), F.col("event_id") % 4, F.lit("/sub/p"), "event_id", F.lit(".pdf"))
+    events = V.blob_event_view(spark, sf).withColumns({"subject": subject, "url": F.lit(None).cast("string")})
+    return Q.filter_events(events).select("event_id", "filename", "dataset", "blob_name")
+
+
 @query("F-06_validate_requests", views=("doc_view",), sql="""
 SELECT id, CASE doc_id % 4 WHEN 1 THEN 'missing: filename' WHEN 2 THEN 'missing: dataset, blob_path' WHEN 3 THEN 'invalid blob path' END AS reason FROM doc_view""")
 def validate_requests(spark, sf):

@@ -69,6 +69,17 @@ def dataset_and_file(spark, sf):
     return V.doc_view(spark, sf).select("id", named.alias("n")).select("id", "n.*")
 
 
+@query("P-05_skip_container", views=("doc_view",), sql="""
+SELECT id, dataset, CASE doc_id % 3 WHEN 0 THEN concat('sub/', file_name) ELSE file_name END AS file_name FROM doc_view""")
+def skip_container(spark, sf):
+    """Blob names of four segments lose the second one; of two they stay, and without any the id is read."""
+    case = F.col("doc_id") % 3
+    blob = F.when(case == 0, F.concat("dataset", F.lit("/datasets/sub/"), "file_name")).when(case == 1, F.concat("dataset", F.lit("/"), "file_name"))
+    empty = F.lit(None).cast("string")
+    pair = C.dataset_and_file(F.col("id"), blob, empty, empty, skip_container=True)
+    return V.doc_view(spark, sf).select("id", pair["dataset"].alias("dataset"), pair["file_name"].alias("file_name"))
+
+
 @query("P-06_flatten_structs", views=("doc_view",), sql="""
 SELECT id, dataset, blob_name AS "properties.blob_name", blob_size AS "properties.blob_size", num_pages AS "properties.num_pages",
   total_time_seconds AS "properties.total_time_seconds", processing_completed AS "state.processing_completed",

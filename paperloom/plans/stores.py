@@ -206,6 +206,36 @@ def export_result(spark, sf):
     return back.select("id", "dataset", F.to_json("extraction").alias("extraction"))
 
 
+@query("S-10_export_evaluation", views=("doc_view",), sql="""
+SELECT id, dataset, extraction AS evaluation FROM doc_view WHERE extraction IS NOT NULL AND gpt_evaluation_completed""")
+def export_evaluation(spark, sf):
+    path = shared_dir(spark, "export")
+    SD.export_result(V.documents(spark, sf), path, "evaluation")
+    back = spark.read.schema("id string, evaluation variant, dataset string").json(path)
+    return back.select("id", "dataset", F.to_json("evaluation").alias("evaluation"))
+
+
+@query("S-10_export_summary", views=("doc_view",), sql="""
+SELECT dataset, CASE n WHEN 0 THEN concat('# ', id) WHEN 1 THEN '' WHEN 2 THEN lang ELSE '' END AS line
+FROM doc_view, range(4) t(n) WHERE gpt_summary_completed""")
+def export_summary(spark, sf):
+    """Each summary is a heading, an empty line, the text and an empty line."""
+    path = shared_dir(spark, "export")
+    SD.export_result(V.documents(spark, sf), path, "summary")
+    return spark.read.text(path).select("dataset", F.col("value").alias("line"))
+
+
+@query("S-11_refresh_dataset_configs", views=("config_view",), sql="""
+SELECT concat('set=', dataset) AS dataset, 'Default model prompt.' AS model_prompt, CAST(10 AS INT) AS max_pages_per_chunk FROM config_view""")
+def refresh_dataset_configs(spark, sf):
+    """A stored table of other configurations is replaced by those of the folders."""
+    root, table = shared_dir(spark, "configs"), shared_dir(spark, "config-table")
+    V.config_view(spark, sf).write.mode("overwrite").parquet(table)
+    prompts = V.config_view(spark, sf).select(F.col("dataset").alias("set"), F.col("model_prompt").alias("value"))
+    prompts.write.mode("overwrite").partitionBy("set").text(root)
+    return SC.refresh_dataset_configs(spark, root, table).select("dataset", "model_prompt", "max_pages_per_chunk")
+
+
 @query("S-11_upsert_dataset_configs", views=("config_view",), sql="""
 SELECT dataset, CASE WHEN max_pages_per_chunk % 2 = 0 THEN concat('Updated for ', dataset) ELSE model_prompt END AS model_prompt, max_pages_per_chunk FROM config_view
 UNION ALL SELECT concat(dataset, '-copy'), concat('Updated for ', dataset), max_pages_per_chunk FROM config_view WHERE max_pages_per_chunk % 2 = 1""")
@@ -222,11 +252,10 @@ def upsert_dataset_configs(spark, sf):
 @query("S-11_create_dataset_configs", views=("doc_view", "config_view"), sql="""
 SELECT d.doc_id, CASE WHEN d.doc_id % 8 IN (0, 7) THEN length(concat('Extract all of set-', d.doc_id)) WHEN d.doc_id % 8 = 4 AND c.dataset IS NULL THEN length(concat('Extract all of set-', d.doc_id)) END AS prompt_length,
   CASE WHEN d.doc_id % 8 IN (0, 7) OR (d.doc_id % 8 = 4 AND c.dataset IS NULL) THEN 'total' END AS schema_fields
-FROM doc_view d LEFT JOIN config_view c ON c.dataset = d.dataset WHERE d.doc_id % 8 <> 1""")
+FROM doc_view d LEFT JOIN config_view c ON c.dataset = d.dataset""")
 def create_dataset_configs(spark, sf):
     configs = V.config_view(spark, sf).withColumn("example_schema", F.lit("{}"))
-    new = new_configs(spark, sf).filter(F.col("doc_id") % 8 != 1)
-    _, report = SC.create_dataset_configs(configs, new)
+    _, report = SC.create_dataset_configs(configs, new_configs(spark, sf))
     return report.select("doc_id", "prompt_length", "schema_fields")
 
 
