@@ -24,7 +24,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
@@ -232,16 +232,18 @@ def encode_texts(
     """The columns in ``carry`` (all by default), then ``n_ids`` (long), ``n_bytes_ids`` (ids of byte fallback), ``ids`` (array,
     unless switched off), ``ids_sha256`` of the ids as little-endian 32-bit integers, and ``round_trip``: decoding gives the text.
 
-    Null and empty texts have no ids and come back as empty. U+2581 in a text decodes as a blank, so those rows do
+    A carried column named like one of these is returned as ``<name>_carried``; other names may be any. Null and empty texts
+    have no ids and come back as empty. Repeated rows are returned as often as they come, an empty table gives an empty result. U+2581 in a text decodes as a blank, so those rows do
     not come back. No shuffle; the model (bounded by its vocabulary) travels with the task.
     """
     carry = docs.columns if carry is None else carry
     with open(model_file, "rb") as f:
         model = f.read()
     fixed = tuple(sorted((rules or {}).items()))
-    rows = docs.select(*[docs[c] for c in carry], docs[text_col].alias("__text"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema]
-    fields += ["n_ids long", "n_bytes_ids long"] + ["ids array<int>"] * ids + ["ids_sha256 string", "round_trip boolean"]
+    inside = [f"c{i}" for i in range(len(carry))]  # names of our own between here and the result
+    rows = docs.select(*[docs[f"`{c}`"].alias(i) for c, i in zip(carry, inside)], docs[f"`{text_col}`"].alias("text"))
+    own = {"n_ids": "long", "n_bytes_ids": "long", **({"ids": "array<int>"} if ids else {}), "ids_sha256": "string", "round_trip": "boolean"}
+    fields = [f"{i} {rows.schema[i].dataType.simpleString()}" for i in inside] + [f"{name} {kind}" for name, kind in own.items()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fst = _compiled(model, fixed)
@@ -262,7 +264,8 @@ def encode_texts(
                     flat = np.concatenate([c[0] for c in coded]) if coded else np.array([], "<i4")
                     columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32())))
                 columns += [pa.array([c[2] for c in coded]), pa.array([c[3] for c in coded])]
-                names = [*carry, "n_ids", "n_bytes_ids", *["ids"] * ids, "ids_sha256", "round_trip"]
-                yield pa.RecordBatch.from_arrays(columns, names)
+                yield pa.RecordBatch.from_arrays(columns, [*inside, *own])
 
-    return rows.mapInArrow(run, ", ".join(fields))
+    taken = {n.lower() for n in own}
+    named = [F.col(i).alias(f"{c}_carried" if c.lower() in taken else c) for c, i in zip(carry, inside)]
+    return rows.mapInArrow(run, ", ".join(fields)).select(*named, *own)

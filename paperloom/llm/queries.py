@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from paperloom.llm import balltree, exact, jaccard, mixing, pieces, quality, quotes, shards, simhash, structure, suffixes, toxicity, warc
-from paperloom.llm.store import new_path
+from paperloom.functions.skew import row_numbers
+from paperloom.llm.store import new_path, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -82,11 +83,17 @@ def op2(spark, sf_dir):
 
 
 def quoting_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The conversations as mail: every turn quotes the one before it, and below it, one level deeper, the one before that."""
-    turns = W.partitionBy("conv_id").orderBy("turn")
-    quoted = lambda k, mark: F.regexp_replace(F.lag("text", k).over(turns), "(?m)^", mark)
-    text = F.concat_ws("\n", quoted(1, "> "), quoted(2, "> > "), F.when(F.col("turn") > 0, ""), F.col("text"))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", text.alias("text"))
+    """The conversations as mail: every turn quotes the one before it, and below it, one level deeper, the one before that.
+
+    Turns are numbered without their texts, in spans, so that a long conversation is spread; texts then meet by number.
+    """
+    raw = written(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text", F.monotonically_increasing_id().alias("row")), "quoting")
+    thin = raw.select("conv_id", "turn", "row").withColumn("conv", F.coalesce(F.col("conv_id").cast("string"), F.lit("")))
+    at = row_numbers(thin, ["conv"], ["turn", "row"], F.floor(F.coalesce("turn", F.lit(-(1 << 62))) / 1000), "at").select("row", "conv", "at")
+    placed = raw.join(at, "row")
+    quoted = lambda k, mark: placed.select("conv", (F.col("at") + k).alias("at"), F.regexp_replace("text", "(?m)^", mark).alias(f"q{k}"))
+    text = F.concat_ws("\n", "q1", "q2", F.when(F.col("turn") > 0, ""), "text")
+    return placed.join(quoted(1, "> "), ["conv", "at"], "left").join(quoted(2, "> > "), ["conv", "at"], "left").select("conv_id", "turn", "role", text.alias("text"))
 
 
 @query("op3_quotes")

@@ -72,3 +72,11 @@ def test_rows(spark, library):
         assert got[i]["ids"] == library.encode(t or "") and got[i]["n_ids"] == len(got[i]["ids"])
         assert got[i]["round_trip"] == ("▁" not in (t or ""))
     assert encode_texts(rows.limit(0), carry=["doc_id"]).count() == 0
+
+
+def test_carried_columns_may_have_any_names(spark):
+    rows = docs(spark, ["one two", None, "one two", ""]).withColumnsRenamed({"lang": "ids", "source": "__text", "n_chars": "Round_Trip"})
+    out = encode_texts(rows)
+    assert out.columns == ["doc_id", "text", "ids_carried", "__text", "Round_Trip_carried", "n_ids", "n_bytes_ids", "ids", "ids_sha256", "round_trip"]
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert got[0]["ids"] == got[2]["ids"] and got[1]["ids"] == got[3]["ids"] == [] and all(r["round_trip"] and r["ids_carried"] == "en" for r in got.values())

@@ -62,3 +62,21 @@ def test_derived_mail_links_every_turn_to_the_one_before(spark, sf):
         if k and len(set(says.values())) == len(says):
             assert r["parent"] == turns[k - 1] and r["root"] == turns[0] and r["depth"] == k
         assert r["reply"] == raw[conv][turn].strip()
+
+
+def test_parts_of_a_passage_and_messages_of_other_conversations(spark):
+    rows = [
+        (1, 0, "First line here.\nSecond line. It has two sentences.", "a"),
+        (1, 1, "Unrelated words\nFirst line here.", "b"),
+        (1, 2, "> second LINE. It has two sentences.\none line", "c"),
+        (1, 3, "> It has two sentences.\none sentence", "d"),
+        (1, 4, "> Unrelated words\n> First line here.\nwhole passage", "e"),
+        (1, 5, "> Unrelated words\n> It has two sentences.\n> Second line.\nmost characters", "f"),
+        (2, 6, "> one sentence\nfrom elsewhere", "g"),
+    ]
+    got = linked(spark, rows)
+    assert {k: (r["parent"], r["n_linked"]) for k, r in got.items()} == {
+        "a": (None, 0), "b": (None, 0), "c": (0, 1), "d": (0, 1), "e": (1, 1), "f": (1, 1), "g": (None, 0)}
+    df = spark.createDataFrame(rows, SCHEMA)
+    all_ = {r["__row"]["id"]: r for r in link_quotes(df, conv_col=None).collect()}
+    assert (all_["g"]["parent"], all_["g"]["root"], all_["g"]["depth"]) == (3, 0, 2)
