@@ -24,6 +24,7 @@ that a sample shows to be very frequent is spread over several buckets.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,13 +37,13 @@ from paperloom.llm.store import forget, written
 
 SHINGLE = 5
 #: Unconnected classes that may share a signature before it is allocated 0.
-FREQUENT = 60
+FREQUENT = 1_000
 #: Signatures per bucket, and classes compared with one center in one task.
 BUCKET_ROWS = 400_000
 CENTER_ROWS = 5_000
 #: Rounds of comparing each class with a center, at most, and the share of links among the compared that makes another one worth it.
 ROUNDS = 6
-FEW = 0.02
+FEW = 0.05
 #: Classes of one key that a task holds; those that may be unconnected with them pass by.
 HELD_ROWS = 20_000
 #: Texts and signatures that a task turns into rows at a time.
@@ -367,10 +368,6 @@ def _compare(pairs: DataFrame, table: DataFrame, exact: bool) -> DataFrame:
     return written(moved.mapInArrow(run, "a long, b long"), "near-pairs")
 
 
-def _labelled(groups: DataFrame, labels: DataFrame) -> DataFrame:
-    return groups.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-
-
 def _half(body: bytes) -> np.ndarray:
     """A sketch folded once: half the bits, the same bound."""
     x = np.frombuffer(body, np.uint64)
@@ -388,65 +385,109 @@ def _near(n: int, x: np.ndarray, sizes: np.ndarray, held: np.ndarray) -> np.ndar
     return fits[9 * np.bitwise_count(rows ^ x).sum(1, dtype=np.int64) <= n + sizes[fits]]
 
 
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of classes with different labels in one part of a key that sketches do not rule out.
+def _met(limit: int | None):
+    """Per key, or part of a large key: pairs of classes with different labels that sketches do not rule out, as ``a, b``, and the key
+    as ``often`` if it has more than ``limit`` labels, in place of its pairs.
 
-    Rows ``key, part, guest, cls, label, n, body`` come with a part's own classes before its guests, which are compared with them.
+    Rows ``key, part, guest, cls, label, n, body`` come with a part's own classes before its guests, which are compared with
+    them. Where a key has one part, guests are told here: all classes that have not the most frequent label.
     """
-    at, own, blocks, sent = None, [], None, set()
-
-    def closed() -> dict:
-        """A part's own classes by length of their sketches."""
+    def pairs(rows: list, sent: set, a: list, b: list) -> None:
+        own, guests = [r for r in rows if not r[0]], [r for r in rows if r[0]]
+        if not guests:
+            labels = Counter(r[2] for r in own)
+            if len(labels) == 1:
+                return
+            most = labels.most_common(1)[0][0]
+            guests = [r for r in own if r[2] != most]
         by: dict[int, list] = {}
-        for cls, label, n, x in own:
-            by.setdefault(len(x), []).append((cls, label, n, x))
-        return {k: (np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), np.stack([r[3] for r in rows])) for k, rows in by.items()}
-
-    for batch in batches:
-        a, b = [], []
-        for key, part, guest, cls, label, n, body in zip(*(batch.column(i).to_pylist() for i in range(7))):
-            if (key, part) != at:
-                at, own, blocks = (key, part), [], None
-            x = _half(body)
-            if not guest:
-                own.append((cls, label, n, x))
-                continue
-            blocks = blocks or closed()
-            for ids, labels, sizes, held in blocks.values():
-                near = _near(n, x, sizes, held)
+        for r in own:
+            by.setdefault(len(r[4]), []).append(r)
+        for block in by.values():
+            ids, labels, sizes = (np.array([r[i] for r in block]) for i in (1, 2, 3))
+            held = np.frombuffer(b"".join(r[4] for r in block), np.uint64).reshape(len(block), -1)
+            held = held[:, : held.shape[1] // 2] ^ held[:, held.shape[1] // 2 :] if held.shape[1] > 1 else held
+            for _, cls, label, n, body in guests:
+                near = _near(n, _half(body), sizes, held)
                 for other in ids[near[labels[near] != label]].tolist():
                     pair = (min(cls, other), max(cls, other))
                     if pair not in sent:
-                        if len(sent) > 500_000:
-                            sent.clear()
                         sent.add(pair)
                         a.append(pair[0])
                         b.append(pair[1])
-        yield _arrow({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, rows, sent = None, [], set()
+        a, b, often = [], [], []
+
+        def close() -> None:
+            if limit is not None and len({r[2] for r in rows}) > limit:
+                often.append(at[0])
+            elif len(rows) > 1:
+                pairs(rows, sent, a, b)
+            rows.clear()
+
+        def out() -> pa.RecordBatch:
+            found = _arrow({"a": pa.array(a + [None] * len(often), pa.int64()), "b": pa.array(b + [None] * len(often), pa.int64()),
+                            "often": pa.array([None] * len(a) + often, pa.int64())})
+            for x in (a, b, often):
+                x.clear()
+            if len(sent) > 200_000:
+                sent.clear()
+            return found
 
-def _meet(keyed: DataFrame, key: str, limit: int | None, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs of classes (``cls, label``) with different labels that share a key and may be linked by their sketches, and the
-    keys with more than ``limit`` labels, left out.
-
-    A key's classes are dealt to parts of bounded size. Those that have not the label of the key's first class also
-    visit every part, so that each pair with two labels meets; classes of one label never do.
+        for batch in batches:
+            for small in (batch.slice(i, 1024) for i in range(0, len(batch), 1024)):
+                for key, part, *row in zip(*(small.column(i).to_pylist() for i in range(7))):
+                    if (key, part) != at:
+                        if rows:
+                            close()
+                        at = (key, part)
+                    rows.append(row)
+                    if row[0] and len(rows) > 2 * HELD_ROWS:  # guests pass by in turn
+                        pairs(rows, sent, a, b)
+                        rows[:] = [r for r in rows if not r[0]]
+                if a or often:
+                    yield out()
+        if rows:
+            close()
+            yield out()
+
+    return run
+
+
+def _meet(keyed: DataFrame, key: str, limit: int | None, classes: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs of classes with different labels that share a key and may be linked by their sketches, and the
+    keys with more than ``limit`` labels, left out; ``keyed`` has ``cls`` and the key.
+
+    Rows travel to their key once, with their sketches. A key of more than ``HELD_ROWS`` classes is dealt to parts of that size;
+    its classes that have not its most frequent label also visit every part, so that each pair with two labels meets.
     """
-    spread = keyed.groupBy(key).agg(
-        F.min("label").alias("lo"), F.max("label").alias("hi"), F.approx_count_distinct("label", 0.02).alias("about"), F.count(F.lit(1)).alias("rows"))
-    mixed = written(keyed.join(spread.where("lo <> hi").drop("lo", "hi"), key), "near-mixed")
-    often = F.col("about") > (F.lit(limit) if limit is not None else F.col("about"))
-    used = mixed.where(~often)
-    per_label = used.groupBy(key, "label").agg(F.count(F.lit(1)).alias("m")).groupBy(key).agg(F.max_by("label", F.struct("m", "label")).alias("most"))
-    parts = F.ceil(F.col("rows") / HELD_ROWS)
-    placed = used.join(per_label, key).join(classes.select("cls", "n", "body"), "cls").withColumn("home", F.pmod(F.xxhash64("cls"), parts))
-    own = F.array(F.struct(F.col("home").alias("part"), F.lit(0).alias("guest")))
-    visits = F.transform(F.sequence(F.lit(0).cast("long"), parts - 1), lambda p: F.struct(p.alias("part"), F.lit(1).alias("guest")))
-    every = F.when(F.col("label") == F.col("most"), own).otherwise(F.concat(own, visits))
-    sent = placed.select(F.col(key).alias("key"), F.explode(every).alias("p"), "cls", "label", "n", "body").select(
-        "key", "p.part", "p.guest", "cls", "label", "n", "body")
-    met = sent.repartition("key", "part").sortWithinPartitions("key", "part", "guest").mapInArrow(_met, "a long, b long").distinct()
-    return met, mixed.where(often).select(key).distinct()
+    marked = classes.select("cls", "n", "body").join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    placed = keyed.select(F.col(key).alias("key"), "cls").join(marked, "cls")
+    large = written(keyed.groupBy(F.col(key).alias("key")).count().where(F.col("count") > HELD_ROWS), "near-large")
+    row = ["cls", "label", "n", "body"]
+    if large.isEmpty():
+        sent, beyond = placed.select("key", F.lit(0).cast("long").alias("part"), F.lit(0).alias("guest"), *row), None
+    else:
+        hot = placed.join(F.broadcast(large) if large.count() <= 50_000 else large, "key")
+        per = hot.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.max_by("label", F.struct("m", "label")).alias("most"), F.count(F.lit(1)).alias("about"))
+        per = written(per, "near-labels-of-large")
+        beyond = per.where(F.col("about") > F.lit(limit)).select("key") if limit is not None else per.where("false").select("key")
+        parts = F.ceil(F.col("count") / HELD_ROWS)
+        dealt = hot.join(per, "key").join(beyond, "key", "left_anti").withColumn("home", F.pmod(F.xxhash64("cls"), parts))
+        own = F.array(F.struct(F.col("home").alias("part"), F.lit(0).alias("guest")))
+        visits = F.transform(F.sequence(F.lit(0).cast("long"), parts - 1), lambda p: F.struct(p.alias("part"), F.lit(1).alias("guest")))
+        every = F.when(F.col("label") == F.col("most"), own).otherwise(F.concat(own, visits))
+        split = dealt.select("key", F.explode(every).alias("p"), *row).select("key", "p.part", "p.guest", *row)
+        rest = placed.join(large.select("key"), "key", "left_anti").select("key", F.lit(0).cast("long").alias("part"), F.lit(0).alias("guest"), *row)
+        sent = rest.unionByName(split)
+    met = sent.repartition("key", "part").sortWithinPartitions("key", "part", "guest").mapInArrow(_met(limit), "a long, b long, often long")
+    met = written(met, "near-met")
+    often = met.where("often IS NOT NULL").select(F.col("often").alias(key))
+    if beyond is not None:
+        often = often.unionByName(beyond.select(F.col("key").alias(key)))
+    return met.where("a IS NOT NULL").select("a", "b").distinct(), often.distinct()
 
 
 def _stars(groups: DataFrame, labels: DataFrame | None, turn: int) -> DataFrame:
@@ -525,7 +566,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         if join.n_links - before <= FEW * pairs.count():
             break
         forget(pairs)
-    pairs, frequent = _meet(_labelled(groups, join.labels), "sig", FREQUENT, join.classes)
+    pairs, frequent = _meet(groups, "sig", FREQUENT, join.classes, join.labels)
     unused = written(frequent, "near-frequent")
     join.verify(pairs)
 
@@ -565,7 +606,7 @@ def _by_neighbourhoods(join: _Join, rest: DataFrame, sets: DataFrame) -> tuple[D
                               "key": pa.array(keys, pa.int64()), "exact": pa.array(exact, pa.bool_())})
 
     keyed = written(sets.join(rest, "cls").select("cls", "tokens").mapInArrow(run, "cls long, need long, at long, key long, exact boolean"), "near-deletions")
-    pairs, frequent = _meet(_labelled(keyed.select("cls", "key").distinct(), join.labels), "key", FREQUENT, join.classes)
+    pairs, frequent = _meet(keyed.select("cls", "key").distinct(), "key", FREQUENT, join.classes, join.labels)
     lost = keyed.join(frequent.withColumn("off", F.lit(1)), "key", "left")
     share = lost.groupBy("cls", "need", "at").agg(
         F.max(F.when(F.col("exact"), F.col("off"))).alias("exact_off"), F.max("off").alias("any_off"), F.count(F.lit(1)).alias("size"))
@@ -588,7 +629,7 @@ def _by_rarest(join: _Join, rest: DataFrame, sets: DataFrame) -> DataFrame:
     ranked = tokens.join(counts, "token").groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("count", "token"))).alias("all"))  # one set
     first = F.expr("slice(all, 1, cast(size(all) - ceil(size(all) * 4 / 5.0) + 1 as int))")
     keyed = ranked.select("cls", F.explode(first).alias("t")).select("cls", F.col("t.token").alias("key"))
-    return _meet(_labelled(keyed, join.labels), "key", None, join.classes)[0]
+    return _meet(keyed, "key", None, join.classes, join.labels)[0]
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
