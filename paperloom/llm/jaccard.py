@@ -493,10 +493,13 @@ def _meet(keyed: DataFrame, key: str, limit: int | None, classes: DataFrame, lab
 def _stars(groups: DataFrame, labels: DataFrame | None, turn: int) -> DataFrame:
     """``a, b``: each class b that shares a signature with a center of another label, and the center it shares most with.
 
-    The center of a signature is a class of its largest component, another one in every ``turn``.
+    The center of a signature is a class of its largest component, another one in every ``turn``. In the first it is the class
+    that meets most others over all its signatures: what the rest of a cluster was copied from.
     """
     if labels is None:
-        marked = groups.withColumns({"label": F.col("cls"), "size": F.lit(1).cast("long")})
+        sizes = groups.groupBy("sig").agg(F.count(F.lit(1)).alias("m"))
+        popular = groups.join(sizes, "sig").groupBy("cls").agg(F.sum("m").alias("size"))
+        marked = groups.join(popular, "cls").withColumn("label", F.col("cls"))
     else:
         sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
         own = labels.join(sizes, "label").select(F.col("node").alias("cls"), "label", "size")
