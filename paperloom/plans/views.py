@@ -97,9 +97,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The table's file as a stream."""
+    """The table as a stream, whether it is one file or a folder of them; a plain path would have to be a folder."""
     schema = table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{{{name}.parquet}}")
 
 
 def doc_view(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -165,3 +165,13 @@ def test_upserts_are_folded_and_a_batch_counts_once(spark, dirs):
     assert table.append(spark.createDataFrame([("k0", 99, 99)], "id string, v int, version int"), cp, 6) == version
     table.compact()
     assert {(r.id, r.v) for r in TS.read_upserts(spark, log).collect()} == want and table.open_deltas() == 0
+
+
+@pytest.mark.parametrize("name", ["T-05_timeline_stream", "T-06_upsert_stream", "T-03_document_state_stream", "T-04_stuck_stream"])
+def test_a_table_may_be_one_file_or_a_folder(spark, sf, tmp_path, name):
+    import __spark_entry__ as entry
+
+    for table in ("documents", "events"):
+        spark.read.parquet(f"{sf}/{table}.parquet").repartition(3).write.parquet(f"{tmp_path}/{table}.parquet")
+    rows = [sorted(map(str, entry.queries()[name](spark, at).collect())) for at in (sf, str(tmp_path))]
+    assert rows[0] and rows[0] == rows[1]
