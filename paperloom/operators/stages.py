@@ -128,21 +128,28 @@ def run_stage(
     """
     schema = T.StructType([*work.schema.fields, *_ANSWER.fields])
     if journal is None:
-        ask = lambda _, value: answer(fn, value)
         rows, calls = work.repartition(parallel), None
     else:
         calls = "__call"
         named = work.withColumn(calls, journal.call([c for c in key if c in work.columns], payload))
         known = journal.answers()
         stored = named.join(known, calls).select(*work.columns, *_ANSWER.fieldNames())
-        rows = named.join(known.select(calls), calls, "left_anti").repartition(parallel, calls)
-        ask = lambda call, value: journal.once(call, lambda: answer(fn, value))
+        asked = named.join(known.select(calls), calls, "left_anti")
+        rows = asked.repartitionById(parallel, journal.task(calls, parallel)).sortWithinPartitions(calls)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            results = [ask(call, value) for call, value in zip(batch[calls] if calls else batch[payload], batch[payload])]
-            columns = dict(zip(_ANSWER.fieldNames(), map(list, zip(*results)))) if results else {c: [] for c in _ANSWER.fieldNames()}
-            yield batch.drop(columns=calls or []).assign(**columns)
+        ledger = journal.opened() if journal is not None else None
+        try:
+            for batch in batches:
+                if ledger is None:
+                    results = [answer(fn, value) for value in batch[payload]]
+                else:
+                    results = [ledger.once(call, lambda: answer(fn, value)) for call, value in zip(batch[calls], batch[payload])]
+                columns = dict(zip(_ANSWER.fieldNames(), map(list, zip(*results)))) if results else {c: [] for c in _ANSWER.fieldNames()}
+                yield batch.drop(columns=calls or []).assign(**columns)
+        finally:
+            if ledger is not None:
+                ledger.close()
 
     done = rows.mapInPandas(run, schema)
     return done if journal is None else stored.unionByName(done)

@@ -84,3 +84,15 @@ def test_errors_can_be_tried_again_and_payloads_tell_calls_apart(spark, work, ca
     run_stage(changed, model(calls), 4, journal=Journal(spark, path)).collect()
     assert made(calls)["p3-new"] == 1 and made(calls)["p3"] == 1
     assert run_stage(work.limit(0), model(calls), 2, journal=Journal(spark, path)).count() == 0
+
+
+def test_files_do_not_grow_with_calls(spark, tmp_path):
+    work = spark.range(20_000).selectExpr("concat('d', id) AS id", "0 AS chunk_idx", "'ocr' AS stage", "concat('p', id) AS payload")
+    journal = Journal(spark, f"{tmp_path}/journal")
+    done = run_stage(work, str.upper, 4, journal=journal)
+    assert done.where("output = upper(payload)").count() == 20_000
+    files = [f for _, _, names in os.walk(f"{tmp_path}/journal/calls") for f in names if f.endswith(".json")]
+    assert len(files) <= 4096 + 4
+    with open(f"{tmp_path}/journal/calls/{files[0]}", "a") as f:
+        f.write('{"output": "cut o')  # a task died here
+    assert done.where("output = upper(payload)").count() == 20_000 and journal.fold(spark) == 20_000
