@@ -106,7 +106,7 @@ def template_paths(spark, sf):
         size, F.lit('":{"type":"string","format":"date"}}}}}'),
     )
     text = F.when(F.col("p_partkey") % 2 == 0, schema).otherwise(example)
-    templates = V.table(spark, sf, "part").select("p_partkey", F.try_parse_json(text).alias("v"))
+    templates = spread(V.table(spark, sf, "part").select("p_partkey")).select("p_partkey", F.try_parse_json(text).alias("v"))
     return JT.template_paths(templates, "v", ["p_partkey"])
 
 

@@ -140,3 +140,10 @@ def test_leaf_join_agrees_with_aligned_walk(spark):
     walked = {(r.path, r.gt, r.actual) for r in E.aligned_leaves(items, ["item"]).collect()}
     sides = [JT.json_leaves(items.select("item", F.parse_json(c).alias("v")), "v", ["item"]) for c in ("ground_truth", "actual")]
     assert {(r.path, r.gt, r.actual) for r in E.compare_leaves(*sides, ["item"]).collect()} == walked
+
+
+def test_templates_of_a_small_file_are_walked_by_all_cores(spark, sf):
+    from paperloom.plans import QUERIES
+
+    plan = QUERIES["J-07_template_paths"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("RoundRobinPartitioning") > plan.rindex("Generate")  # the scan's rows are dealt out before the walk
