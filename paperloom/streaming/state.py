@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from paperloom.schemas import SKIP_FLAGS, STEP_FLAGS
 from paperloom.streaming.sinks import read_upserts, upsert_stream
 
 RESET = "reset"
-# The state store that keyed state with timers needs.
+# The state store that keeps keyed state off the heap.
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -67,60 +68,61 @@ def read_states(spark: SparkSession, path: str) -> DataFrame:
     return document_state(read_upserts(spark, path, ["id", "step"], ["event_time", "value", "seconds"]))
 
 
-class _Watch(StatefulProcessor):
-    """Watches one document: what of landing, completion and reset is newest, and one timer."""
+# Below any time: a document was never landed, finished or reset.
+_NEVER = -(1 << 61)
+_TIMES = ["landed", "done", "reset", "last"]
+_WATCHED = "id array<string>, " + ", ".join(f"{c} array<long>" for c in _TIMES)
 
-    def __init__(self, wait_ms: int):
-        self.wait_ms = wait_ms
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("seen", "landed array<long>, done array<long>, reset long, last long, timer long")
+def _watch(wait_ms: int):
+    """Watches the documents of one bucket: the newest landing, completion, reset and update of each, one timeout for all.
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        landed, done, reset, last, timer = self.state.get() or (None, None, None, None, None)
-        for batch in rows:
-            newest = {step: max(zip(part["event_us"], part["on"])) for step, part in batch.groupby("step", observed=True)}
-            landed = _later(landed, newest.get("file_landed"))
-            done = _later(done, newest.get("processing_completed"))
-            reset = max(reset or 0, int(newest[RESET][0])) if RESET in newest else reset
-            last = max(last or 0, int(batch["event_us"].max()))
-        current = lambda x: x is not None and (reset is None or x[0] >= reset) and bool(x[1])
-        waiting = (current(landed) or reset is not None) and not current(done)
-        # what is finished is remembered until the watermark has passed: no update before it can still come
-        due = last // 1000 + (self.wait_ms if waiting else 0) + 1
-        if timer != due:
-            if timer is not None:
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(due)
-        self.state.update((landed, done, reset, last, due if waiting else -due))
-        yield from ()
-
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        *_, last, timer = self.state.get()
-        self.state.clear()
-        if timer > 0:
-            yield pd.DataFrame({"id": [key[0]], "updated_us": [last]})
-
-    def close(self) -> None:
-        pass
-
-
-def _later(old: Sequence[int] | None, new: tuple | None) -> list[int] | None:
-    return max((list(map(int, x)) for x in (old, new) if x is not None), default=None)
+    Landing and completion are microseconds times two, plus one if the flag was on, so every column's newest is its maximum.
+    """
 
+    def newest(parts: list[pd.DataFrame]) -> pd.DataFrame:
+        return pd.concat(parts, ignore_index=True).groupby("id", dropna=False, sort=False)[_TIMES].max().reset_index()
 
-def stuck_stream(updates: DataFrame, timeout: str, watermark: str = "10 minutes") -> DataFrame:
+    def watch(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        docs = pd.DataFrame(dict(zip(["id", *_TIMES], map(list, state.get)))) if state.exists else None
+        if not state.hasTimedOut:
+            for batch in batches:
+                docs = newest([batch[["id", *_TIMES]]] if docs is None else [docs, batch[["id", *_TIMES]]])
+        current = lambda x: (x % 2 == 1) & (x // 2 >= docs["reset"])
+        waiting = (current(docs["landed"]) | (docs["reset"] != _NEVER)) & ~current(docs["done"])
+        # what is finished is remembered until the watermark has passed: no update before it can still come
+        due = docs["last"] // 1000 + waiting * wait_ms
+        over = due < state.getCurrentWatermarkMs()
+        kept = docs[~over]
+        if len(kept):
+            ids = [i if isinstance(i, str) else None for i in kept["id"]]
+            state.update((ids, *(kept[c].tolist() for c in _TIMES)))
+            state.setTimeoutTimestamp(int(due[~over].min()))
+        elif state.exists:
+            state.remove()
+        stuck = docs[over & waiting]
+        if len(stuck):
+            yield pd.DataFrame({"id": stuck["id"], "updated_us": stuck["last"]})
+
+    return watch
+
+
+def stuck_stream(updates: DataFrame, timeout: str, watermark: str = "10 minutes", buckets: int = 1024) -> DataFrame:
     """Stream of documents that went ``timeout`` of event time without finishing, by the rule of ``stuck_documents``.
 
     State is a few numbers per open document. It goes when the document is reported, or once it is finished and the watermark
-    has passed its last update; a document that lands or is reset later is watched anew. Times travel as microseconds, so
-    the session's time zone plays no part.
+    has passed its last update; a document that lands or is reset later is watched anew. Documents are
+    watched by bucket, as a call of Python per document costs milliseconds; ``buckets`` stays the same for a checkpoint. Times travel as microseconds, so the session's time zone plays no part.
     """
     spark = updates.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     wait_ms = int(pd.Timedelta(timeout.lower()).total_seconds() * 1000)
-    steps = updates.withWatermark("event_time", watermark).select(
-        "id", "step", "event_time", F.unix_micros("event_time").alias("event_us"), F.coalesce(F.col("value"), F.lit(False)).cast("int").alias("on"))
-    stuck = steps.groupBy("id").transformWithStateInPandas(_Watch(wait_ms), "id string, updated_us long", "append", "eventTime")
+    us = F.unix_micros("event_time")
+    flagged = us * 2 + F.coalesce(F.col("value"), F.lit(False)).cast("int")
+    only = lambda step, value: F.when(F.col("step") == step, value).otherwise(F.lit(_NEVER))
+    times = (only("file_landed", flagged), only("processing_completed", flagged), only(RESET, us), us)
+    steps = updates.filter(F.col("event_time").isNotNull()).withWatermark("event_time", watermark).select(
+        F.pmod(F.xxhash64("id"), F.lit(buckets)).alias("bucket"), "id", "event_time", *(t.alias(c) for t, c in zip(times, _TIMES)))
+    stuck = steps.groupBy("bucket").applyInPandasWithState(
+        _watch(wait_ms), "id string, updated_us long", _WATCHED, "append", GroupStateTimeout.EventTimeTimeout)
     return stuck.select("id", F.timestamp_micros("updated_us").alias("updated_at"))

@@ -175,3 +175,21 @@ def test_a_table_may_be_one_file_or_a_folder(spark, sf, tmp_path, name):
         spark.read.parquet(f"{sf}/{table}.parquet").repartition(3).write.parquet(f"{tmp_path}/{table}.parquet")
     rows = [sorted(map(str, entry.queries()[name](spark, at).collect())) for at in (sf, str(tmp_path))]
     assert rows[0] and rows[0] == rows[1]
+
+
+def test_stuck_documents_are_watched_by_bucket(spark, dirs):
+    rows = [u for i in range(300) for u in lifecycle(f"d{i}" if i else None, i % 7, reset_at=2.5 if i % 5 == 0 else None)]
+    rows += [{"id": "clock", "step": "reset", "event_time": at(m), "value": True, "seconds": None} for m in (0, 60)]
+    path = write_batches(dirs("in"), [rows[::2], rows[1::2], rows[-1:]])
+    batch = spark.read.schema(UPDATE).json(path)
+    now = batch.agg(F.max("event_time")).scalar()
+    want = {(r.id, r.updated_at) for r in TT.stuck_documents(TT.document_state(batch), now, "30 MINUTES").collect()}
+    out, cp = str(dirs("out")), str(dirs("cp"))
+    query = TT.stuck_stream(stream(spark, path, UPDATE), "30 minutes", "1 hour", buckets=8).writeStream.format("parquet").option(
+        "checkpointLocation", cp).trigger(availableNow=True).start(out)
+    query.awaitTermination()
+    assert all(p.stateOperators[0].numRowsTotal <= 8 for p in query.recentProgress)
+    late = stream(spark, write_batches(dirs("late"), [[{"id": "clock", "step": "reset", "event_time": at(120), "value": True, "seconds": None}]]), UPDATE)
+    whole = stream(spark, path, UPDATE).union(late)
+    got = {(r.id, r.updated_at) for r in TS.run_to_files(TT.stuck_stream(whole, "30 minutes", "1 hour", buckets=8), str(dirs("out2")), str(dirs("cp2"))).collect()}
+    assert len(want) > 100 and {r for r in got if r[0] != "clock"} == want
