@@ -100,6 +100,7 @@ class Transducer:
         self.cut = re.compile(f"{BLANK}+{inner}*|{inner}+" + (f"|[{lone}]" if lone else "") if apart else "(?s).+").findall
         self.replace = re.compile("|".join(map(re.escape, sorted(self.rules, key=len, reverse=True)))).sub if self.rules else None
         self.accepted: dict[int, bool] = {}
+        self.accepted_older: dict[int, bool] = {}
         self.solved: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -113,11 +114,14 @@ class Transducer:
 
         There is one if merging both texts gives these two pieces.
         """
-        if len(self.accepted) >= KEPT:
-            self.accepted.clear()
-        want = [right] if left < 0 else [left, right]
-        ok = self._merged("".join(self.texts[i] for i in want)) == want
-        self.accepted[(left << 32) + right] = ok
+        if len(self.accepted) >= KEPT:  # what was not met since the last turn goes
+            self.accepted_older, self.accepted = self.accepted, {}
+        arc = (left << 32) + right
+        ok = self.accepted_older.get(arc)
+        if ok is None:
+            want = [right] if left < 0 else [left, right]
+            ok = self._merged("".join(self.texts[i] for i in want)) == want
+        self.accepted[arc] = ok
         return ok
 
     def _merged(self, text: str) -> list[int]:

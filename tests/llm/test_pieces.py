@@ -80,3 +80,19 @@ def test_carried_columns_may_have_any_names(spark):
     assert out.columns == ["doc_id", "text", "ids_carried", "__text", "Round_Trip_carried", "n_ids", "n_bytes_ids", "ids", "ids_sha256", "round_trip"]
     got = {r["doc_id"]: r for r in out.collect()}
     assert got[0]["ids"] == got[2]["ids"] and got[1]["ids"] == got[3]["ids"] == [] and all(r["round_trip"] and r["ids_carried"] == "en" for r in got.values())
+
+
+def test_a_frequent_arc_is_compiled_once(monkeypatch):
+    from paperloom.llm import pieces
+
+    monkeypatch.setattr(pieces, "KEPT", 4)
+    with open(pieces.MODEL, "rb") as f:
+        fst = pieces.Transducer(f.read())
+    compiled, merged = [], fst._merged
+    fst._merged = lambda text: compiled.append(text) or merged(text)
+    left, right = fst.ids["▁the"], fst.ids["re"]
+    for i in range(40):
+        if fst.accepted.get((left << 32) + right) is None:
+            fst._accepts(left, right)
+        fst._accepts(right, 1000 + i)
+    assert compiled.count("▁there") == 1
