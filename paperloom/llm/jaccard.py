@@ -49,6 +49,8 @@ HELD_ROWS = 20_000
 #: Texts and signatures that a task turns into rows at a time.
 SLICE = 256
 PACKED = 250_000
+#: Comparisons up to which a key's sketches are compared one by one instead of in blocks.
+FEW_PAIRS = 64
 #: One of so many ids is sampled to find signatures that need several buckets.
 SAMPLE = 64
 GROWTH = 1.6  # of size bands
@@ -84,7 +86,8 @@ def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     acc = np.full(n, k, np.uint64)
     for i in range(k):
         acc = _mix(acc + h[i : i + n])
-    return np.unique(acc)
+    acc.sort()
+    return acc[np.r_[True, acc[1:] != acc[:-1]]]
 
 
 def set_hash(tokens: np.ndarray) -> int:
@@ -121,12 +124,8 @@ def may_link(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray]) -> bool:
     return 9 * int(np.bitwise_count(x ^ y).sum()) <= n + m
 
 
-def subsets(tokens: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """Per band a set takes part in: ``(band, H, segments, starts, mixed)``.
-
-    ``mixed`` holds token hashes by segment, ``starts`` where each non-empty segment begins. A set is in its own band,
-    where the smaller set of a pair is, and in the one below if that may hold a partner.
-    """
+def _bands(tokens: np.ndarray) -> Iterator[tuple[int, int, int, np.ndarray]]:
+    """``(band, H, number of segments, segment of each token)`` of the bands that ``subsets`` names."""
     n = len(tokens)
     own = int(np.searchsorted(TOPS, n))
     for band in (own, own - 1):
@@ -136,8 +135,17 @@ def subsets(tokens: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarr
         most = top // 4  # at 0.8, |r| <= 1.25 |s|: H <= (|r| + |s|) / 9 <= |s| / 4
         segments = most + 3 + most // 8  # some more than H + 1, for the empty and the frequent
         h = min(n // 4, most) if band == own else min((n + top) // 9, most)
-        where = (_mix(tokens + np.uint64(band + 1)) % np.uint64(segments)).astype(np.int64)
-        order = np.argsort(where, kind="stable")
+        yield band, h, segments, (_mix(tokens + np.uint64(band + 1)) % np.uint64(segments)).astype(np.int64)
+
+
+def subsets(tokens: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Per band a set takes part in: ``(band, H, segments, starts, mixed)``.
+
+    ``mixed`` holds token hashes by segment, ``starts`` where each non-empty segment begins. A set is in its own band,
+    where the smaller set of a pair is, and in the one below if that may hold a partner.
+    """
+    for band, h, segments, where in _bands(tokens):
+        order = np.argsort(where.astype(np.uint16) if segments < 1 << 16 else where, kind="stable")  # 16 bits: by digits
         where = where[order]
         starts = np.flatnonzero(np.r_[True, where[1:] != where[:-1]])
         yield band, h, where[starts], starts, _mix(tokens[order])
@@ -155,10 +163,12 @@ def signatures(tokens: np.ndarray) -> np.ndarray:
 
 def margin(tokens: np.ndarray, unused: set[int] = frozenset()) -> int:
     """Signatures that a partner shares at least, in the worst band: what is neither empty nor ``unused``, less H."""
+    if not unused:
+        return min(int(np.count_nonzero(np.bincount(where, minlength=segments))) - h for _, h, segments, where in _bands(tokens))
     found = []
     for band, h, segs, starts, mixed in subsets(tokens):
         keys = _key(np.add.reduceat(mixed, starts), segs, band)
-        found.append(len(keys) - h - (sum(k in unused for k in keys.astype(np.int64).tolist()) if unused else 0))
+        found.append(len(keys) - h - sum(k in unused for k in keys.astype(np.int64).tolist()))
     return min(found)
 
 
@@ -385,9 +395,42 @@ def _near(n: int, x: np.ndarray, sizes: np.ndarray, held: np.ndarray) -> np.ndar
     return fits[9 * np.bitwise_count(rows ^ x).sum(1, dtype=np.int64) <= n + sizes[fits]]
 
 
-def _met(limit: int | None):
-    """Per key, or part of a large key: pairs of classes with different labels that sketches do not rule out, as ``a, b``, and the key
-    as ``often`` if it has more than ``limit`` labels, in place of its pairs.
+def _by_blocks(own: list, guests: list) -> Iterator[tuple[int, int]]:
+    """Pairs of a guest and an own class, of other labels, that sketches do not rule out: folded ones first, then whole ones."""
+    by: dict[int, list] = {}
+    for r in own:
+        by.setdefault(len(r[4]), []).append(r)
+    for block in by.values():
+        ids, labels, sizes = (np.array([r[i] for r in block]) for i in (1, 2, 3))
+        held = np.frombuffer(b"".join(r[4] for r in block), np.uint64).reshape(len(block), -1)
+        half = held[:, : held.shape[1] // 2] ^ held[:, held.shape[1] // 2 :] if held.shape[1] > 1 else held
+        for _, cls, label, n, body in guests:
+            near = _near(n, _half(body), sizes, half)
+            near = near[labels[near] != label]
+            if len(near):
+                for other in ids[near[_near(n, np.frombuffer(body, np.uint64), sizes[near], held[near])]].tolist():
+                    yield cls, other
+
+
+def _one_by_one(own: list, guests: list) -> Iterator[tuple[int, int]]:
+    """The same for a few rows, with sketches as whole numbers."""
+    bits = {r[1]: int.from_bytes(r[4], "little") for r in own + guests}
+    for _, cls, label, n, body in guests:
+        for _, other, theirs, m, their_body in own:
+            if theirs == label or 5 * min(n, m) < 4 * max(n, m):
+                continue
+            x, y, wide, narrow = bits[cls], bits[other], 8 * len(body), 8 * len(their_body)
+            if wide < narrow:
+                x, y, wide, narrow = y, x, narrow, wide
+            while wide > narrow:
+                wide //= 2
+                x = (x >> wide) ^ (x & ((1 << wide) - 1))
+            if 9 * (x ^ y).bit_count() <= n + m:
+                yield cls, other
+
+
+def _met():
+    """Per key, or part of a large key: pairs of classes with different labels that sketches do not rule out, as ``a, b``.
 
     Rows ``key, part, guest, cls, label, n, body`` come with a part's own classes before its guests, which are compared with
     them. Where a key has one part, guests are told here: all classes that have not the most frequent label.
@@ -400,38 +443,27 @@ def _met(limit: int | None):
                 return
             most = labels.most_common(1)[0][0]
             guests = [r for r in own if r[2] != most]
-        by: dict[int, list] = {}
-        for r in own:
-            by.setdefault(len(r[4]), []).append(r)
-        for block in by.values():
-            ids, labels, sizes = (np.array([r[i] for r in block]) for i in (1, 2, 3))
-            held = np.frombuffer(b"".join(r[4] for r in block), np.uint64).reshape(len(block), -1)
-            held = held[:, : held.shape[1] // 2] ^ held[:, held.shape[1] // 2 :] if held.shape[1] > 1 else held
-            for _, cls, label, n, body in guests:
-                near = _near(n, _half(body), sizes, held)
-                for other in ids[near[labels[near] != label]].tolist():
-                    pair = (min(cls, other), max(cls, other))
-                    if pair not in sent:
-                        sent.add(pair)
-                        a.append(pair[0])
-                        b.append(pair[1])
+        found = _one_by_one if len(own) * len(guests) <= FEW_PAIRS else _by_blocks
+        for cls, other in found(own, guests):
+            pair = (min(cls, other), max(cls, other))
+            if pair not in sent:
+                sent.add(pair)
+                a.append(pair[0])
+                b.append(pair[1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, rows, sent = None, [], set()
-        a, b, often = [], [], []
+        a, b = [], []
 
         def close() -> None:
-            if limit is not None and len({r[2] for r in rows}) > limit:
-                often.append(at[0])
-            elif len(rows) > 1:
+            if len(rows) > 1:
                 pairs(rows, sent, a, b)
             rows.clear()
 
         def out() -> pa.RecordBatch:
-            found = _arrow({"a": pa.array(a + [None] * len(often), pa.int64()), "b": pa.array(b + [None] * len(often), pa.int64()),
-                            "often": pa.array([None] * len(a) + often, pa.int64())})
-            for x in (a, b, often):
-                x.clear()
+            found = _arrow({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            a.clear()
+            b.clear()
             if len(sent) > 200_000:
                 sent.clear()
             return found
@@ -447,7 +479,7 @@ def _met(limit: int | None):
                     if row[0] and len(rows) > 2 * HELD_ROWS:  # guests pass by in turn
                         pairs(rows, sent, a, b)
                         rows[:] = [r for r in rows if not r[0]]
-                if a or often:
+                if a:
                     yield out()
         if rows:
             close()
@@ -460,34 +492,40 @@ def _meet(keyed: DataFrame, key: str, limit: int | None, classes: DataFrame, lab
     """Pairs of classes with different labels that share a key and may be linked by their sketches, and the
     keys with more than ``limit`` labels, left out; ``keyed`` has ``cls`` and the key.
 
-    Rows travel to their key once, with their sketches. A key of more than ``HELD_ROWS`` classes is dealt to parts of that size;
-    its classes that have not its most frequent label also visit every part, so that each pair with two labels meets.
+    Only rows of keys with several labels travel to their key, once, with their sketches. A key of more than ``HELD_ROWS`` classes is
+    dealt to parts of that size; its classes that have not its most frequent label also visit every part, so that each pair with
+    two labels meets.
     """
-    marked = classes.select("cls", "n", "body").join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    placed = keyed.select(F.col(key).alias("key"), "cls").join(marked, "cls")
-    large = written(keyed.groupBy(F.col(key).alias("key")).count().where(F.col("count") > HELD_ROWS), "near-large")
+    named = _labelled(keyed.select(F.col(key).alias("key"), "cls"), labels)
+    shares = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m"))
+    per = shares.groupBy("key").agg(F.sum("m").alias("m"), F.count(F.lit(1)).alias("labels"), F.max_by("label", F.struct("m", "label")).alias("most"))
+    per = written(per.where("labels > 1"), "near-apart")
+    often = per.where("false" if limit is None else F.col("labels") > limit).select(F.col("key").alias(key))
+    used = per if limit is None else per.where(F.col("labels") <= limit)
     row = ["cls", "label", "n", "body"]
-    if large.isEmpty():
-        sent, beyond = placed.select("key", F.lit(0).cast("long").alias("part"), F.lit(0).alias("guest"), *row), None
+    sent = named.join(used, "key").join(classes.select("cls", "n", "body"), "cls")
+    if used.where(F.col("m") <= HELD_ROWS).count() == used.count():
+        sent = sent.select("key", F.lit(0).cast("long").alias("part"), F.lit(0).alias("guest"), *row)
     else:
-        hot = placed.join(F.broadcast(large) if large.count() <= 50_000 else large, "key")
-        per = hot.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.max_by("label", F.struct("m", "label")).alias("most"), F.count(F.lit(1)).alias("about"))
-        per = written(per, "near-labels-of-large")
-        beyond = per.where(F.col("about") > F.lit(limit)).select("key") if limit is not None else per.where("false").select("key")
-        parts = F.ceil(F.col("count") / HELD_ROWS)
-        dealt = hot.join(per, "key").join(beyond, "key", "left_anti").withColumn("home", F.pmod(F.xxhash64("cls"), parts))
+        parts = F.ceil(F.col("m") / HELD_ROWS)
+        dealt = sent.withColumn("home", F.pmod(F.xxhash64("cls"), parts))
         own = F.array(F.struct(F.col("home").alias("part"), F.lit(0).alias("guest")))
         visits = F.transform(F.sequence(F.lit(0).cast("long"), parts - 1), lambda p: F.struct(p.alias("part"), F.lit(1).alias("guest")))
-        every = F.when(F.col("label") == F.col("most"), own).otherwise(F.concat(own, visits))
-        split = dealt.select("key", F.explode(every).alias("p"), *row).select("key", "p.part", "p.guest", *row)
-        rest = placed.join(large.select("key"), "key", "left_anti").select("key", F.lit(0).cast("long").alias("part"), F.lit(0).alias("guest"), *row)
-        sent = rest.unionByName(split)
-    met = sent.repartition("key", "part").sortWithinPartitions("key", "part", "guest").mapInArrow(_met(limit), "a long, b long, often long")
-    met = written(met, "near-met")
-    often = met.where("often IS NOT NULL").select(F.col("often").alias(key))
-    if beyond is not None:
-        often = often.unionByName(beyond.select(F.col("key").alias(key)))
-    return met.where("a IS NOT NULL").select("a", "b").distinct(), often.distinct()
+        every = F.when((F.col("label") == F.col("most")) | (parts == 1), own).otherwise(F.concat(own, visits))
+        sent = dealt.select("key", F.explode(every).alias("p"), *row).select("key", "p.part", "p.guest", *row)
+    met = sent.repartition("key", "part").sortWithinPartitions("key", "part", "guest").mapInArrow(_met(), "a long, b long")
+    return written(met, "near-met").distinct(), often
+
+
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """``rows`` (with ``cls``) and the label of the class, its own if it has no links."""
+    return rows.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+
+
+def _open(groups: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``groups`` whose signature still has classes of several labels; written."""
+    marked = _labelled(groups, labels).groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    return written(groups.join(marked.where("low < high").select("sig"), "sig").select("sig", "cls"), "near-open")
 
 
 def _stars(groups: DataFrame, labels: DataFrame | None, turn: int) -> DataFrame:
@@ -569,6 +607,9 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         if join.n_links - before <= FEW * pairs.count():
             break
         forget(pairs)
+        if not turn:  # what the first round has connected needs no more comparisons
+            done, groups = groups, _open(groups, join.labels)
+            forget(done)
     pairs, frequent = _meet(groups, "sig", FREQUENT, join.classes, join.labels)
     unused = written(frequent, "near-frequent")
     join.verify(pairs)

@@ -84,3 +84,37 @@ def test_components_of_paths_stars_and_rings(spark):
     got = {x["node"]: x["label"] for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 100 for i in range(100, 161)} | {500: 500} | {i: 500 for i in range(600, 700)} | {900 + i: 900 for i in range(9)}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def sketched(seed, sizes=(40, 44, 100, 130)):
+    """Rows ``guest, cls, label, n, body`` of sets that differ by about as much as the threshold allows."""
+    r = np.random.default_rng(seed)
+    base, rows = r.integers(0, 2**63, 400).astype(np.uint64), []
+    for i in range(40):
+        n = sizes[i % len(sizes)]
+        s = np.unique(np.concatenate([base[:n][r.random(n) > 0.12], r.integers(0, 2**63, n // 9).astype(np.uint64)]))
+        rows.append((0, i, i % 7, len(s), jaccard.sketch(s)))
+    return rows
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_meeting_classes_are_held_against_whole_sketches(seed):
+    """Only pairs that whole sketches leave come out of a task, by blocks or one by one; folded ones alone leave more."""
+    rows = sketched(seed)
+    body = {r[1]: (r[3], np.frombuffer(r[4], np.uint64)) for r in rows}
+    want = {(a[1], b[1]) for a in rows for b in rows if a[2] != b[2] and jaccard.may_link(body[a[1]], body[b[1]])}
+    folded = {(a[1], b[1]) for a in rows for b in rows if a[2] != b[2] and jaccard.may_link((a[3], jaccard._half(a[4])), (b[3], jaccard._half(b[4])))}
+    assert want < folded
+    assert set(jaccard._by_blocks(rows, rows)) == set(jaccard._one_by_one(rows, rows)) == want
+
+
+def test_margin_counts_signatures():
+    for n in (1, 5, 60, 700):
+        s = np.unique(np.random.default_rng(n).integers(0, 2**63, n).astype(np.uint64))
+        assert jaccard.margin(s) == min(len(segs) - h for _, h, segs, _, _ in jaccard.subsets(s))
+
+
+def test_only_signatures_with_several_labels_stay_open(spark):
+    groups = spark.createDataFrame([(1, 10), (1, 11), (2, 10), (2, 12), (3, 12), (3, 13)], "sig long, cls long")
+    labels = spark.createDataFrame([(10, 10), (11, 10)], "node long, label long")
+    assert {tuple(r) for r in jaccard._open(groups, labels).collect()} == {(2, 10), (2, 12), (3, 12), (3, 13)}
