@@ -28,6 +28,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
@@ -699,11 +700,24 @@ def _with_components(table: DataFrame, labels: DataFrame) -> DataFrame:
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of ``docs`` without near copies: of each component the row with the smallest id stays, once.
 
-    Rows without words all stay, but repeated ones (same id, same text) once.
+    Rows without words all stay, but repeated ones (same id, same text) once. Only rows that a filter of fixed size marks as
+    dropped or repeated meet the table of these; the join alone decides.
     """
     table, labels = near_classes(docs, id_col, text_col)
-    first = _with_components(table, labels).select("first.id", "first.h").distinct()
+    seen = _with_components(table, labels).groupBy("id", "h").agg(F.count(F.lit(1)).alias("times"), F.first("first").alias("first"))
+    stays = (F.col("first.h") == F.col("h")) & F.col("first.id").eqNullSafe(F.col("id"))
+    marks = written(seen.select("id", "h", stays.alias("stays"), "times").where("NOT stays OR times > 1").select("id", "h", "stays"), "near-marks")
+    bits = docs.sparkSession.sparkContext.broadcast(_bitmap(marks))
     names = docs.columns
     packed = docs.select(F.struct(*names).alias("__doc"), F.col(id_col).alias("__id"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("__h"))
-    kept = packed.join(first, (F.col("__h") == F.col("h")) & F.col("__id").eqNullSafe(F.col("id"))).dropDuplicates(["__h", "__id"])
+
+    @F.pandas_udf("boolean")
+    def marked(at: pd.Series) -> pd.Series:
+        at = at.to_numpy() - 1
+        return pd.Series(((bits.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool))
+
+    packed = packed.withColumn("__marked", marked(_bit("__h")))
+    some = packed.where("__marked")
+    met = some.join(marks, (F.col("__h") == F.col("h")) & F.col("__id").eqNullSafe(F.col("id")), "left").where("coalesce(stays, true)")
+    kept = packed.where("NOT __marked").select("__doc").unionByName(met.dropDuplicates(["__h", "__id"]).select("__doc"))
     return kept.select(*[F.col("__doc").getField(c).alias(c) for c in names])

@@ -118,3 +118,12 @@ def test_only_signatures_with_several_labels_stay_open(spark):
     groups = spark.createDataFrame([(1, 10), (1, 11), (2, 10), (2, 12), (3, 12), (3, 13)], "sig long, cls long")
     labels = spark.createDataFrame([(10, 10), (11, 10)], "node long, label long")
     assert {tuple(r) for r in jaccard._open(groups, labels).collect()} == {(2, 10), (2, 12), (3, 12), (3, 13)}
+
+
+def test_rows_that_stay_are_not_shuffled(spark):
+    """Of a thousand rows without copies none is dealt out again after the join; repeated ones come once."""
+    rows = docs(spark, [*(prose(i, 20, 10**6) for i in range(1000)), (0, prose(0, 20, 10**6)), (5000, prose(7, 20, 10**6))])
+    left = jaccard.drop_near_copies(rows)
+    assert sorted(r["doc_id"] for r in left.collect()) == list(range(1000))
+    plan = left._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan
