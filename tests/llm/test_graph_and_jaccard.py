@@ -125,5 +125,9 @@ def test_rows_that_stay_are_not_shuffled(spark):
     rows = docs(spark, [*(prose(i, 20, 10**6) for i in range(1000)), (0, prose(0, 20, 10**6)), (5000, prose(7, 20, 10**6))])
     left = jaccard.drop_near_copies(rows)
     assert sorted(r["doc_id"] for r in left.collect()) == list(range(1000))
-    plan = left._jdf.queryExecution().optimizedPlan().toString()
-    assert "Union" in plan
+    plan = left._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() != "Union":
+        assert plan.children().size() == 1
+        plan = plan.children().apply(0)
+    stay = plan.children().apply(0).toString()
+    assert "Join" not in stay and "Aggregate" not in stay
